@@ -484,7 +484,7 @@ def correct_schema(spark, sf):
 
 @query(
     "scalar_arithmetic",
-    """SELECT o_orderkey, round(o_totalprice / nullif(o_custkey, 0), 9) AS ratio,
+    """SELECT o_orderkey, o_totalprice / nullif(o_custkey, 0) AS ratio,
        CAST(((o_orderkey - 700) % 7 + 7) % 7 AS BIGINT) AS floor_mod, round(pow(o_custkey, 0.5), 6) AS power,
        -o_custkey AS negated, o_totalprice > 100000 AND NOT (o_orderstatus = 'F') OR o_custkey <> 5 AS logic,
        CASE WHEN o_orderstatus = 'P' THEN 'part' ELSE 'whole' END AS branch FROM orders""",
@@ -494,7 +494,7 @@ def scalar_arithmetic(spark, sf):
     logic = (F.col("o_totalprice") > 100000) & ~(F.col("o_orderstatus") == "F") | (F.col("o_custkey") != 5)
     return o.select(
         "o_orderkey",
-        F.round(scalar.divide("o_totalprice", "o_custkey"), 9).alias("ratio"),
+        scalar.divide("o_totalprice", "o_custkey").alias("ratio"),
         scalar.floor_mod(F.col("o_orderkey") - 700, F.lit(7)).cast("long").alias("floor_mod"),
         F.round(F.pow(F.col("o_custkey"), F.lit(0.5)), 6).alias("power"),
         (-F.col("o_custkey")).alias("negated"),
