@@ -56,6 +56,7 @@ class Context:
     reference_frames: Mapping[str, DataFrame] = field(default_factory=dict)
     reference_profile: Mapping[str, Mapping] = field(default_factory=dict)
     exposure: str = "exposure_years"
+    memo: dict = field(default_factory=dict, repr=False, compare=False)
 
 
 @dataclass(frozen=True)
@@ -279,24 +280,34 @@ def _no_overlap(rule, ctx):
 
 
 def _links(rule, ctx):
+    """Unlinked and multi-linked claims, computed once for all rules on the same pair of tables."""
     p = rule.params
-    return cover_counts(
-        ctx.tables[p["exposure"]], ctx.tables[rule.table], key=p.get("key", "policy_id"), loss_date=p.get("loss_date", "date_of_loss"),
-        start=p.get("start", "exposure_start"), end=p.get("end", "exposure_end"), period=p.get("period", "period_id"),
-    ).agg(
-        F.count(F.when(F.col("n_periods") == 0, 1)).alias("unlinked"), F.count(F.when(F.col("n_periods") > 1, 1)).alias("multi")
-    ).first()
+    key = p.get("key", "policy_id")
+    memo = (rule.table, *sorted((k, str(v)) for k, v in p.items()))
+    if memo not in ctx.memo:
+        exposure = ctx.tables[p["exposure"]]
+        counted = cover_counts(
+            exposure, ctx.tables[rule.table], key=key, loss_date=p.get("loss_date", "date_of_loss"),
+            start=p.get("start", "exposure_start"), end=p.get("end", "exposure_end"), period=p.get("period", "period_id"),
+        )
+        known = exposure.select(key).distinct().withColumn("__known", F.lit(1))
+        none = F.col("n_periods") == 0
+        ctx.memo[memo] = (
+            counted.join(known, key, "left")
+            .agg(
+                F.count(F.when(none, 1)).alias("unlinked"),
+                F.count(F.when(none & F.col("__known").isNotNull(), 1)).alias("outside"),
+                F.count(F.when(F.col("n_periods") > 1, 1)).alias("multi"),
+            )
+            .first()
+        )
+    return ctx.memo[memo]
 
 
 @check("claim_date_in_exposure")
 def _claim_dates(rule, ctx):
     """Claims on a known policy whose loss date is outside every period of it."""
-    p = rule.params
-    key = p.get("key", "policy_id")
-    known = ctx.tables[p["exposure"]].select(key).distinct()
-    claims = ctx.tables[rule.table].join(known, key, "left_semi")
-    inner = Context({**ctx.tables, rule.table: claims})
-    return Finding(_links(rule, inner)["unlinked"])
+    return Finding(_links(rule, ctx)["outside"])
 
 
 @check("claim_linkage_complete")

@@ -1,6 +1,6 @@
 """Imports every module that registers queries."""
 
 from premia.plans.registry import REGISTRY
-from premia.plans import preparation, profiling, validation  # noqa: F401
+from premia.plans import factors, preparation, profiling, validation  # noqa: F401
 
 __all__ = ["REGISTRY"]
