@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from premia.operators.banding import Banding, band_label
@@ -52,7 +53,8 @@ def needed_columns(factors: Sequence[Factor], offsets: Sequence[str] = ()) -> li
     """Source columns a fit reads."""
     out = dict.fromkeys(offsets)
     for f in factors:
-        for c in (f.column, f.banding and f.banding.column, f.grouping and f.grouping.column):
+        banded = f.banding.column if f.banding and f.kind == "banding" else None
+        for c in (f.column, banded, f.grouping and f.grouping.column):
             if c:
                 out[c] = None
     return list(out)
@@ -146,23 +148,37 @@ def unseen_counts(df: DataFrame, columns: Sequence[str], fitted: DataFrame, expo
     )
 
 
+def key_grid(spark: SparkSession, levels: Mapping[str, Sequence[str]], first: int | None = None) -> DataFrame:
+    """Level combinations in lexicographic order, all or the first few.
+
+    Combination number `i` is decoded into one level per column, so nothing is joined.
+    """
+    lists = {c: sorted(set(v)) for c, v in levels.items()}
+    total = math.prod(len(v) for v in lists.values())
+    rows = spark.range(total if first is None else min(total, first))
+    left = F.col("id")
+    out: dict[str, Column] = {}
+    for c, v in reversed(lists.items()):
+        out[c] = F.element_at(F.array(*[F.lit(x) for x in v]), (F.pmod(left, F.lit(len(v))) + 1).cast("int"))
+        left = F.floor(left / len(v))
+    return rows.select(*[out[c].alias(c) for c in lists])
+
+
 def unseen_cells(levels: Mapping[str, Sequence[str]], fitted: DataFrame, columns: Sequence[str], names: int = 20) -> tuple[int, list[tuple]]:
     """Producible level combinations the fit has no cell for: their exact number, and the first few.
 
-    `levels` are closed domains declared by the factors. The count is products minus fitted cells;
-    the examples come from an anti join that stops after a few rows.
+    `levels` are closed domains declared by the factors. With m fitted cells, the first m + `names`
+    combinations must hold the first `names` unseen ones, so the whole grid is never made.
     """
-    total = 1
     inside = F.lit(True)
     for c in columns:
-        total *= len(set(levels[c]))
         inside = inside & F.col(c).isin(list(levels[c]))
     seen = fitted.where(inside).select(*columns).distinct()
-    count = total - seen.count()
-    grid = None
-    spark = fitted.sparkSession
-    for c in columns:
-        side = spark.createDataFrame([(x,) for x in sorted(set(levels[c]))], f"`{c}` string")
-        grid = side if grid is None else grid.join(F.broadcast(side))
-    examples = grid.join(seen, list(columns), "left_anti").orderBy(*columns).limit(names).collect() if count else []
+    total = math.prod(len(set(levels[c])) for c in columns)
+    fitted_cells = seen.count()
+    count = total - fitted_cells
+    if not count:
+        return 0, []
+    grid = key_grid(fitted.sparkSession, {c: levels[c] for c in columns}, fitted_cells + names)
+    examples = grid.join(seen, list(columns), "left_anti").orderBy(*columns).limit(names).collect()
     return count, [tuple(r) for r in examples]

@@ -150,12 +150,11 @@ def partition_rejects(df: DataFrame, required: Sequence[str] = ()) -> tuple[Data
 
 def reject_rate(clean: DataFrame, rejected: DataFrame) -> DataFrame:
     """One row: clean rows, rejected rows, and their share (0 for nothing read)."""
-    a = clean.agg(F.count(F.lit(1)).alias("clean_rows"))
-    b = rejected.agg(F.count(F.lit(1)).alias("rejected_rows"))
+    none = F.lit(0).cast("long")
+    both = clean.agg(F.count(F.lit(1)).alias("c"), none.alias("r")).unionAll(rejected.agg(none, F.count(F.lit(1))))
+    counts = both.agg(F.sum("c").alias("clean_rows"), F.sum("r").alias("rejected_rows"))
     total = F.col("clean_rows") + F.col("rejected_rows")
-    return a.crossJoin(b).withColumn(
-        "reject_rate", F.when(total == 0, F.lit(0.0)).otherwise(F.col("rejected_rows") / total)
-    )
+    return counts.withColumn("reject_rate", F.when(total == 0, F.lit(0.0)).otherwise(F.col("rejected_rows") / total))
 
 
 def reject_sample(rejected: DataFrame, order_by: str, n: int = 10) -> DataFrame:

@@ -285,12 +285,13 @@ def explode_period(
 
 def exposure_balance(before: DataFrame, after: DataFrame, exposure: str = "exposure_years") -> DataFrame:
     """One row with both totals at six places and whether they are equal."""
-    a = before.agg(F.bround(exact_sum(exposure, 17), 6).alias("exposure_before"))
-    b = after.agg(F.bround(exact_sum(exposure, 17), 6).alias("exposure_after"))
-    return a.crossJoin(b).select(
-        F.col("exposure_before").cast("string").alias("exposure_before"),
-        F.col("exposure_after").cast("string").alias("exposure_after"),
-        F.col("exposure_before").eqNullSafe(F.col("exposure_after")).alias("preserved"),
+    none = F.lit(None).cast("decimal(38,6)")
+    total = F.bround(exact_sum(exposure, 17), 6).cast("decimal(38,6)")
+    both = before.agg(total.alias("a"), none.alias("b")).unionAll(after.agg(none, total))
+    return both.agg(F.max("a").alias("a"), F.max("b").alias("b")).select(
+        F.col("a").cast("string").alias("exposure_before"),
+        F.col("b").cast("string").alias("exposure_after"),
+        F.col("a").eqNullSafe(F.col("b")).alias("preserved"),
     )
 
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from premia.operators.ordering import running_totals
-from premia.session import small
+from premia.session import BROADCAST_ROWS
 
 FAR = "9999-12-31"
 
@@ -33,11 +33,31 @@ def overlaps(
     ).where("overlapping_rows > 0")
 
 
+def _counted_overlaps(df: DataFrame, keys: Sequence[str], start: str, end: str) -> tuple[int, list]:
+    """(rows, a few overlapping keys). A table counted to be small is checked in the same job."""
+    closed = F.coalesce(F.col(end).cast("date"), F.lit(FAR).cast("date"))
+    head = df.select(*keys, start, closed.alias("__end")).limit(BROADCAST_ROWS + 1)
+    before = Window.partitionBy(*keys).orderBy(start, "__end").rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.max("__end").over(before) > F.col(start), F.lit(False))
+    row = head.withColumn("__in", inside).agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("__in"), F.struct(*keys))).alias("bad")
+    ).first()
+    if row["n"] <= BROADCAST_ROWS:
+        return row["n"], [row["bad"]] if row["bad"] is not None else []
+    return row["n"], overlaps(df, keys, start, end).limit(5).collect()
+
+
 def refuse_overlaps(df: DataFrame, keys: Sequence[str], start: str = "effective_from", end: str = "effective_to") -> DataFrame:
-    bad = overlaps(df, keys, start, end).limit(5).collect()
+    checked_side(df, keys, start, end)
+    return df
+
+
+def checked_side(df: DataFrame, keys: Sequence[str], start: str = "effective_from", end: str = "effective_to") -> DataFrame:
+    """`df` with a broadcast hint if it is small, after refusing overlapping rows of one key."""
+    n, bad = _counted_overlaps(df, keys, start, end)
     if bad:
         raise ReferenceError(f"validity intervals overlap, for example {[tuple(r[k] for k in keys) for r in bad]}")
-    return df
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
 def lookup_as_at(
@@ -55,9 +75,7 @@ def lookup_as_at(
     An equality join on the key with the date range as a residual condition. Overlapping rows are
     refused before the join, so each input row has at most one match.
     """
-    if not checked:
-        refuse_overlaps(rows, keys, start, end)
-    side = rows.withColumnsRenamed({k: f"__{k}" for k in keys})
+    side = (rows if checked else checked_side(rows, keys, start, end)).withColumnsRenamed({k: f"__{k}" for k in keys})
     condition = (F.col(start) <= F.col(as_at)) & (F.col(end).isNull() | (F.col(as_at) < F.col(end)))
     for k in keys:
         condition = condition & (F.col(k) == F.col(f"__{k}"))
@@ -90,9 +108,9 @@ def version_stats(rows: DataFrame, start: str = "effective_from", end: str = "ef
 def route_by_date(df: DataFrame, versions: DataFrame, as_at: str, start: str = "effective_from", end: str = "effective_to") -> DataFrame:
     """`df` plus the version whose period holds its date. Versions must not overlap; their table is
     broadcast after its size has been counted."""
-    refuse_overlaps(versions.withColumn("__all", F.lit(1)), ["__all"], start, end)
+    side = checked_side(versions.withColumn("__all", F.lit(1)), ["__all"], start, end).drop("__all")
     condition = (F.col(start) <= F.col(as_at)) & (F.col(end).isNull() | (F.col(as_at) < F.col(end)))
-    return df.join(small(versions), condition, "left")
+    return df.join(side, condition, "left")
 
 
 def load_version(rows: DataFrame, keys: Sequence[str], path: str) -> str:

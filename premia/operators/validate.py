@@ -373,9 +373,9 @@ def _zero_cohort(rule, ctx):
         return Finding(None, skipped="no reference version")
     now = prof.one_way(ctx.tables[rule.table], rule.column)
     before = prof.one_way(ctx.reference_frames[rule.table], rule.column).select("level", F.col("claim_count").alias("before"))
-    total = now.agg(F.sum("exposure_years").alias("t"))
-    cold = now.join(before, "level").crossJoin(F.broadcast(total)).where(
-        (F.col("claim_count") == 0) & (F.col("before") > 0) & (F.col("exposure_years") > F.col("t") * rule.params.get("min_exposure_share", 0.01))
+    total = ctx.tables[rule.table].agg(F.sum(ctx.exposure)).first()[0] or 0.0
+    cold = now.join(before, "level").where(
+        (F.col("claim_count") == 0) & (F.col("before") > 0) & (F.col("exposure_years") > total * rule.params.get("min_exposure_share", 0.01))
     )
     return Finding(cold.count())
 
