@@ -6,13 +6,22 @@ They run over aggregated rows (levels, bins, coefficients), never over raw recor
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import functions as F
 
+# UDFs defined here carry their helpers with them, so workers need no copy of this package.
+register_pickle_by_value(sys.modules[__name__])
+
 _TINY = 1e-300
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+
+def _lgamma(x):
+    return np.vectorize(math.lgamma, otypes=[float])(x)
+
 
 
 def gamma_cdf(shape, x):
