@@ -23,7 +23,7 @@ from premia.functions.special import chi2_tail, normal_ppf
 from premia.session import cut_lineage
 
 MAX_ITERATIONS = 50
-TOLERANCE = 1e-9
+TOLERANCE = 1e-8
 LITERAL_LEVELS = 200
 NULL_LEVEL = "(null)"
 
@@ -314,12 +314,15 @@ def fit_variants(df: DataFrame, spec: Spec, variants: Sequence[Variant], *, fold
             use = active[v.name] & independent(np.where(active[v.name][:, None] & active[v.name][None, :], a, 0.0))
             ridge = np.diag(np.where(np.arange(p) == 0, 0.0, v.penalty))[np.ix_(use, use)]
             new = np.zeros(p)
-            new[use] = np.linalg.solve(a[np.ix_(use, use)] + ridge, b[use])
-            move = np.max(np.abs(new - beta[v.name]))
+            size = np.sqrt(np.diag(a)[use])  # columns are brought to one scale before solving
+            scaled = (a[np.ix_(use, use)] + ridge) / np.outer(size, size)
+            new[use] = np.linalg.solve(scaled, b[use] / size) / size
+            # A step is measured by what it does to a typical linear predictor.
+            move = np.max(np.abs(new - beta[v.name]) * np.sqrt(np.diag(a) / a[0, 0]))
             beta[v.name] = new
             if not np.all(np.isfinite(new)):
                 raise GlmError(f"variant {v.name!r} did not converge")
-            if move < TOLERANCE * (1 + np.max(np.abs(new))):
+            if move < TOLERANCE:
                 done[v.name] = iteration
     out = []
     for v in variants:
