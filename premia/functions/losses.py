@@ -64,7 +64,7 @@ def _y_log(y: Column, ratio: Column) -> Column:
     return F.when(y > 0, y * F.ln(ratio)).otherwise(F.lit(0.0))
 
 
-def unit_deviance(y, mu, family: str, *, power: float = 1.5, theta: float = 1.0) -> Column:
+def unit_deviance(y, mu, family: str, *, power: Column | float = 1.5, theta: float = 1.0) -> Column:
     """A row's deviance for weight 1."""
     y, mu = col(y).cast("double"), col(mu).cast("double")
     if family == "gaussian":
@@ -74,9 +74,9 @@ def unit_deviance(y, mu, family: str, *, power: float = 1.5, theta: float = 1.0)
     if family == "gamma":
         return 2 * ((y - mu) / mu - F.ln(y / mu))
     if family == "tweedie":
-        p = float(power)
-        own = F.when(y > 0, F.pow(y, F.lit(2 - p))).otherwise(F.lit(0.0)) / ((1 - p) * (2 - p))
-        return 2 * (own - y * F.pow(mu, F.lit(1 - p)) / (1 - p) + F.pow(mu, F.lit(2 - p)) / (2 - p))
+        p = power if isinstance(power, Column) else F.lit(float(power))
+        own = F.when(y > 0, F.pow(y, 2 - p)).otherwise(F.lit(0.0)) / ((1 - p) * (2 - p))
+        return 2 * (own - y * F.pow(mu, 1 - p) / (1 - p) + F.pow(mu, 2 - p) / (2 - p))
     if family == "binomial":
         return 2 * (_y_log(y, y / mu) + _y_log(1 - y, (1 - y) / (1 - mu)))
     if family == "negative_binomial":

@@ -302,14 +302,22 @@ def fit_variants(df: DataFrame, spec: Spec, variants: Sequence[Variant], *, fold
     for v in variants:
         beta[v.name][0] = losses.link_value(start, spec.link)
     gram = {v.name: np.zeros((p, p)) for v in variants}
+    columns = _sums(slots, p, spec)
     done: dict[str, int] = {}
+    last: dict[str, tuple[float, np.ndarray]] = {}
     for iteration in range(1, MAX_ITERATIONS + 1):
         todo = [v for v in variants if v.name not in done]
         if not todo:
             break
-        sums = _iteration(cells, slots, p, spec, todo, beta, active, bool(fold))
+        sums = _iteration(cells, columns, p, spec, todo, beta, bool(fold))
         for k, v in enumerate(todo):
-            a, b = sums[k]
+            a, b, deviance = sums[k]
+            before = last.get(v.name)
+            if before is not None and not deviance <= before[0] + 1e-9 * (1 + abs(before[0])):
+                # The step went too far: go half way back and look again.
+                beta[v.name] = (beta[v.name] + before[1]) / 2
+                continue
+            last[v.name] = (deviance, beta[v.name])
             gram[v.name] = a
             use = active[v.name] & independent(np.where(active[v.name][:, None] & active[v.name][None, :], a, 0.0))
             ridge = np.diag(np.where(np.arange(p) == 0, 0.0, v.penalty))[np.ix_(use, use)]
@@ -351,38 +359,50 @@ def _owners(spec: Spec, levels, p: int) -> list[str]:
     return owner + list(spec.numerics)
 
 
-def _iteration(cells, slots, p, spec, variants, beta, active, folded) -> list[tuple[np.ndarray, np.ndarray]]:
-    """`X'WX` and `X'Wz` of every variant at its current coefficients, from one aggregate."""
-    table = json.dumps(
-        [
-            {"m": k, "b": beta[v.name].tolist(), "power": float(v.power if v.power is not None else spec.power), "fold": v.leave_out_fold if v.leave_out_fold is not None else -1}
-            for k, v in enumerate(variants)
-        ]
-    )
-    rows = cells.select("*", F.inline(F.from_json(F.lit(table), "array<struct<m:int,b:array<double>,power:double,fold:int>>")))
-    if folded:
-        rows = rows.where(F.col("__fold") != F.col("fold"))
+def _sums(slots, p: int, spec: Spec) -> dict[str, Column]:
+    """The columns every iteration adds: they name the coefficients (`b`), not their values."""
     eta = F.col("o")
     for i, x in slots:
         eta = eta + F.when(i >= 0, F.get("b", i) * x).otherwise(F.lit(0.0))
-    rows = rows.withColumn("__eta", eta).withColumn("__mu", losses.inverse_link(F.col("__eta"), spec.link))
-    slope = losses.mean_slope(F.col("__mu"), spec.link)
-    rows = rows.withColumns(
-        {
-            "__wt": F.col("w") * slope * slope / losses.variance(F.col("__mu"), spec.family, power=F.col("power"), theta=spec.theta),
-            "__z": F.col("__eta") - F.col("o") + (F.col("y") - F.col("__mu")) / slope,
-        }
-    )
+    mu = F.col("__mu")
+    slope = losses.mean_slope(mu, spec.link)
+    power = F.col("power") if spec.family == "tweedie" else spec.power
+    weight = F.col("w") * slope * slope / losses.variance(mu, spec.family, power=power, theta=spec.theta)
     entries = []
     for a, (i, x) in enumerate(slots):
         for j, x2 in slots[a:]:
             entries.append(F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), (F.col("__wt") * x * x2).alias("v")))
         entries.append(F.struct(i.cast("int").alias("i"), F.lit(p).alias("j"), (F.col("__wt") * F.col("__z") * x).alias("v")))
-    summed = rows.select("m", F.inline(F.array(*entries))).where("i >= 0 and j >= 0").groupBy("m", "i", "j").agg(F.sum("v").alias("v"))
-    out = [(np.zeros((p, p)), np.zeros(p)) for _ in variants]
+    loss = losses.unit_deviance("y", "__mu", spec.family, power=power, theta=spec.theta)
+    entries.append(F.struct(F.lit(p).alias("i"), F.lit(p).alias("j"), (F.col("w") * loss).alias("v")))
+    return {
+        "__eta": eta,
+        "__mu": losses.inverse_link(F.col("__eta"), spec.link),
+        "__wt": weight,
+        "__z": F.col("__eta") - F.col("o") + (F.col("y") - mu) / slope,
+        "entries": F.inline(F.array(*entries)),
+    }
+
+
+def _iteration(cells, sums, p, spec, variants, beta, folded) -> list[list]:
+    """`X'WX`, `X'Wz` and the deviance of every variant at its current coefficients, from one aggregate."""
+    table = json.dumps(
+        [
+            {"m": k, "b": beta[v.name].tolist(), "power": float(v.power if v.power is not None else spec.power), "fold": v.leave_out_fold if v.leave_out_fold is not None else -1}
+            for k, v in enumerate(variants)
+        ]
+    )
+    rows = cells.select("*", F.inline(F.from_json(F.lit(table), "array<struct<m:int,b:array<double>,power:double,fold:int>>")))
+    if folded:
+        rows = rows.where("__fold <> fold")
+    rows = rows.withColumn("__eta", sums["__eta"]).withColumn("__mu", sums["__mu"]).withColumns({"__wt": sums["__wt"], "__z": sums["__z"]})
+    summed = rows.select("m", sums["entries"]).where("i >= 0 and j >= 0").groupBy("m", "i", "j").agg(F.sum("v").alias("v"))
+    out = [[np.zeros((p, p)), np.zeros(p), 0.0] for _ in variants]
     for r in summed.collect():  # p x p numbers per variant, whatever the rows
-        a, b = out[r["m"]]
-        if r["j"] == p:
+        a, b, _ = out[r["m"]]
+        if r["i"] == p:
+            out[r["m"]][2] = r["v"]
+        elif r["j"] == p:
             b[r["i"]] += r["v"]
         else:
             a[r["i"], r["j"]] += r["v"]
