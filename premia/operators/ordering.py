@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from premia.session import shuffle_buckets
+from premia.session import cut_lineage, shuffle_buckets
 
 
 def numeric_key(df: DataFrame, name: str) -> Column:
@@ -69,19 +69,22 @@ def running_totals(
     *,
     within: Sequence[str] = (),
     maxima: Mapping[str, Column] | None = None,
+    xors: Mapping[str, Column] | None = None,
     buckets: int | None = None,
 ) -> DataFrame:
     """One row per distinct (`within`, `order`) value with its totals and the totals before it.
 
-    Result columns: `within`, `order`, every name in `sums` and `maxima`, and `<name>_before`
-    (sum: 0 where nothing precedes; max: null where nothing precedes). Null order values come
+    Result columns: `within`, `order`, every name in `sums`, `maxima` and `xors`, and
+    `<name>_before` (sum and xor: 0 where nothing precedes; max: null). Null order values come
     first, as their own pool.
     """
-    maxima = dict(maxima or {})
+    maxima, xors = dict(maxima or {}), dict(xors or {})
+    zeroed = {**{n: F.sum for n in sums}, **{n: F.bit_xor for n in xors}}
     ranged, names = with_ranges(df, [order], buckets)
     rng = "__range"
     ranged = ranged.withColumn(rng, F.coalesce(F.col(names[order]), F.lit(-1.0))).drop(names[order])
     aggs = [F.sum(e).alias(n) for n, e in sums.items()] + [F.max(e).alias(n) for n, e in maxima.items()]
+    aggs += [F.bit_xor(e).alias(n) for n, e in xors.items()]
     pooled = ranged.groupBy(*within, rng, order).agg(*aggs)
 
     inside = Window.partitionBy(*within, rng).orderBy(F.col(order).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
@@ -92,7 +95,7 @@ def running_totals(
         .select(
             *within,
             rng,
-            *[F.coalesce(F.sum(n).over(across), F.lit(0)).alias(f"__off_{n}") for n in sums],
+            *[F.coalesce(f(n).over(across), F.lit(0)).alias(f"__off_{n}") for n, f in zeroed.items()],
             *[F.max(n).over(across).alias(f"__off_{n}") for n in maxima],
         )
     )
@@ -100,9 +103,9 @@ def running_totals(
         *within,
         rng,
         order,
-        *sums,
+        *zeroed,
         *maxima,
-        *[F.coalesce(F.sum(n).over(inside), F.lit(0)).alias(f"__in_{n}") for n in sums],
+        *[F.coalesce(f(n).over(inside), F.lit(0)).alias(f"__in_{n}") for n, f in zeroed.items()],
         *[F.max(n).over(inside).alias(f"__in_{n}") for n in maxima],
     )
     condition = F.lit(True)
@@ -112,8 +115,9 @@ def running_totals(
     return joined.select(
         *[F.col(f"s.{c}") for c in within],
         F.col(f"s.{order}"),
-        *[F.col(f"s.{n}") for n in (*sums, *maxima)],
+        *[F.col(f"s.{n}") for n in (*zeroed, *maxima)],
         *[(F.col(f"s.__in_{n}") + F.col(f"o.__off_{n}")).alias(f"{n}_before") for n in sums],
+        *[F.col(f"s.__in_{n}").bitwiseXOR(F.col(f"o.__off_{n}")).alias(f"{n}_before") for n in xors],
         *[F.greatest(f"s.__in_{n}", f"o.__off_{n}").alias(f"{n}_before") for n in maxima],
     )
 
@@ -269,6 +273,8 @@ def rank_cuts(df: DataFrame, order: str, tie: str, ends: Callable[[int], Sequenc
 
     `tie` must be unique and numeric; rows with a null `order` are left out.
     """
+    # Two columns are written once, so that what computes them does not run again in every job.
+    df = cut_lineage(df.where(F.col(order).isNotNull()).select(order, tie))
     order_values, totals = first_reaching(df, {order: lambda total: ends(int(total))})
     n = int(totals[order])
     if n == 0:

@@ -106,7 +106,8 @@ def apply_recipe(
         before = Observation()
         if observe:
             df = df.observe(before, *_balance())
-        df = _step(kind, df, step.get("params", {}), working)
+        keyed = name in (row_keys or {}) and name not in fanned
+        df = _step(kind, df, step.get("params", {}), working, keyed)
         if kind in ("join_table", "explode_period", "attach_claims"):
             fanned.add(name)
         if kind in ("cast", "parse_date") and name in fanned:
@@ -163,7 +164,7 @@ def _parse(df: DataFrame, kind: str, parsed: Sequence[tuple[str, Column, str]])
     return df.withColumns({REJECT: first, **{name: value for name, value, _ in parsed}})
 
 
-def _step(kind: str, df: DataFrame, params: Mapping, tables: Mapping[str, DataFrame]) -> DataFrame:
+def _step(kind: str, df: DataFrame, params: Mapping, tables: Mapping[str, DataFrame], keyed: bool) -> DataFrame:
     if kind == "rename":
         return df.withColumnsRenamed(dict(params["columns"]))
     if kind == "cast":
@@ -187,7 +188,7 @@ def _step(kind: str, df: DataFrame, params: Mapping, tables: Mapping[str, DataFr
     if kind == "filter_rows":
         return df.where(F.col(REJECT).isNotNull() | _expression(params["expression"]))
     if kind == "deduplicate":
-        return deduplicate(df, params.get("columns"))
+        return deduplicate(df, params.get("columns"), unique_order=keyed)
     if kind == "join_table":
         other = tables[params["other"]]
         other = other.where(F.col(REJECT).isNull()).drop(*_HIDDEN)
@@ -218,19 +219,27 @@ def map_from_table(df: DataFrame, column: str, mapping: DataFrame, *, source: st
     return df.join(lookup, column, "left").withColumn(column, F.coalesce("__to", column)).drop("__to")
 
 
-def deduplicate(df: DataFrame, columns: Sequence[str] | None = None, *, order_by: str = ROW) -> DataFrame:
+def deduplicate(
+    df: DataFrame, columns: Sequence[str] | None = None, *, order_by: str = ROW, unique_order: bool = False
+) -> DataFrame:
     """Keep the first row of each key in row order. Quarantined rows neither count nor leave.
 
-    The smallest row per key is an aggregate, so copies are dropped before the shuffle and a key
-    held by a third of all rows never sits in one task.
+    The first position per key is an aggregate that starts on the map side, so a key held by a third
+    of all rows never sits in one task. With `unique_order` the positions select the rows through a
+    join; otherwise the whole row travels with its position, because positions that were only
+    assigned may differ when they are computed again.
     """
     hidden = [c for c in _HIDDEN if c in df.columns and c != order_by]
     data = [c for c in df.columns if c not in hidden and c != order_by]
     keys = list(columns) if columns else data
-    rest = [c for c in df.columns if c not in keys]
     live = df.where(F.col(REJECT).isNull()) if REJECT in df.columns else df
-    first = live.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order_by)).alias("__first"))
-    kept = first.select(*[F.col(c) if c in keys else F.col(f"__first.{c}").alias(c) for c in df.columns])
+    if unique_order:
+        first = live.groupBy(*keys).agg(F.min(order_by).alias(order_by)).select(order_by)
+        kept = live.join(first, order_by, "left_semi").select(*df.columns)
+    else:
+        rest = [c for c in df.columns if c not in keys]
+        best = live.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order_by)).alias("__first"))
+        kept = best.select(*[F.col(c) if c in keys else F.col(f"__first.{c}").alias(c) for c in df.columns])
     if REJECT in df.columns:
         return kept.unionByName(df.where(F.col(REJECT).isNotNull()))
     return kept
@@ -251,36 +260,40 @@ def explode_period(
     """
     if not boundaries:
         return df
-    cuts = F.array(*[F.lit(str(b)).cast("date") for b in sorted({str(b) for b in boundaries})])
-    inner = F.filter(cuts, lambda b: (b > F.col(start)) & (b < F.col(end)))
-    edges = F.concat(F.array(F.col(start)), F.coalesce(inner, F.array().cast("array<date>")), F.array(F.col(end)))
+    cuts = [F.lit(b).cast("date") for b in sorted({str(b) for b in boundaries})]
+    a, z = F.col(start), F.col(end)
     whole = F.col(exposure).cast("string").cast("decimal(20,17)")
-    span = F.datediff(F.col(end), F.col(start)).cast("decimal(6,0)")
-
-    def fragment(i: Column) -> Column:
-        a, b = F.get("__edges", i), F.get("__edges", i + 1)
-        share = F.try_divide(whole * F.datediff(b, a).cast("decimal(6,0)"), span)
-        return F.struct(a.alias("a"), b.alias("b"), F.bround(share, 6).cast("decimal(20,17)").alias("e"))
-
-    pieces = F.transform(F.sequence(F.lit(0), F.size("__edges") - 2), fragment)
-    shared = df.withColumn("__edges", edges).withColumn("__pieces", pieces)
-    allocated = F.aggregate(
-        F.slice("__pieces", 1, F.size("__pieces") - 1),
-        F.lit(0).cast("decimal(20,17)"),
-        lambda total, p: (total + p["e"]).cast("decimal(20,17)"),
+    span = F.datediff(z, a).cast("decimal(6,0)")
+
+    def share(since: Column, until: Column) -> Column:
+        days = F.datediff(until, since).cast("decimal(6,0)")
+        return F.bround(F.try_divide(whole * days, span), 6).cast("decimal(20,17)")
+
+    # Fragment i lies between cut i - 1 and cut i; a row covers fragments first..last.
+    first, last, edge_before, edge_after = F.lit(0), F.lit(0), F.lit(None).cast("date"), F.lit(None).cast("date")
+    before_last = F.lit(0).cast("decimal(20,17)")
+    i = F.col("__i")
+    for k, cut in enumerate(cuts):
+        first = first + F.when(cut <= a, 1).otherwise(0)
+        last = last + F.when(cut < z, 1).otherwise(0)
+        edge_before = F.when(i == k + 1, cut).otherwise(edge_before)
+        edge_after = F.when(i == k, cut).otherwise(edge_after)
+        inside = (cut > a) & (cut < z)
+        since = F.greatest(a, cuts[k - 1]) if k else a
+        before_last = (before_last + F.when(inside, share(since, cut)).otherwise(F.lit(0))).cast("decimal(20,17)")
+    pieces = df.withColumns({"__first": first, "__last": F.greatest(first, last)}).select(
+        "*", F.explode(F.sequence("__first", "__last")).alias("__i")
     )
-    shared = shared.withColumn("__last", (whole - allocated).cast("double"))
-    shared = shared.withColumn("__n", F.size("__pieces")).select(
-        "*", F.posexplode("__pieces").alias("__i", "__p")
+    since = F.when(i == F.col("__first"), a).otherwise(edge_before)
+    until = F.when(i == F.col("__last"), z).otherwise(edge_after)
+    kept = (
+        F.when(F.col("__first") == F.col("__last"), F.col(exposure))
+        .when(i == F.col("__last"), (whole - before_last).cast("double"))
+        .otherwise(share(since, until).cast("double"))
     )
-    new_exposure = (
-        F.when(F.col("__n") == 1, F.col(exposure))
-        .when(F.col("__i") == F.col("__n") - 1, F.col("__last"))
-        .otherwise(F.col("__p.e").cast("double"))
+    return pieces.withColumns({"__since": since, "__until": until, "__kept": kept}).select(
+        *[F.col({start: "__since", end: "__until", exposure: "__kept"}.get(c, c)).alias(c) for c in df.columns]
     )
-    return shared.withColumns(
-        {start: F.col("__p.a"), end: F.col("__p.b"), exposure: new_exposure}
-    ).select(*df.columns)
 
 
 def exposure_balance(before: DataFrame, after: DataFrame, exposure: str = "exposure_years") -> DataFrame:
@@ -309,24 +322,25 @@ def cover_counts(
 ) -> DataFrame:
     """Claims plus `n_periods` covering the loss date and, where that is one, `__period` (a hash).
 
-    Period starts and ends are +1 and -1 in a running total per key, and so are the period's
-    hashed identity: where one period is open, the running identity is that period's. No claim
-    meets a period it does not fall in, and a key with very many rows is cut by date.
+    Period starts and ends are +1 and -1 in a running total per key. A period's hashed identity is
+    also folded in at both with exclusive or, so it cancels once the period is over: where one
+    period is open, what remains is that period's. No claim meets a period it does not fall in, and
+    a key with very many rows is cut by date.
     """
-    identity = F.xxhash64(F.col(period)).cast("decimal(38,0)")
+    identity = F.xxhash64(F.col(period))
     usable = exposure.where(F.col(start) < F.col(end))
     starts = usable.select(key, F.col(start).alias("__d"), F.lit(1).alias("__open"), identity.alias("__id"))
-    ends = usable.select(key, F.col(end).alias("__d"), F.lit(-1).alias("__open"), (-identity).cast("decimal(38,0)").alias("__id"))
+    ends = usable.select(key, F.col(end).alias("__d"), F.lit(-1).alias("__open"), identity.alias("__id"))
     probes = claims.where(F.col(loss_date).isNotNull() & F.col(key).isNotNull()).select(
-        key, F.col(loss_date).alias("__d"), F.lit(0).alias("__open"), F.lit(0).cast("decimal(38,0)").alias("__id")
+        key, F.col(loss_date).alias("__d"), F.lit(0).alias("__open"), F.lit(0).cast("long").alias("__id")
     )
     events = starts.unionAll(ends).unionAll(probes)
-    totals = running_totals(events, "__d", {"o": F.col("__open"), "i": F.col("__id")}, within=[key])
+    totals = running_totals(events, "__d", {"o": F.col("__open")}, within=[key], xors={"i": F.col("__id")})
     state = totals.select(
         key,
         F.col("__d").alias(loss_date),
         (F.col("o") + F.col("o_before")).alias("n_periods"),
-        F.when(F.col("o") + F.col("o_before") == 1, F.col("i") + F.col("i_before")).cast("long").alias("__period"),
+        F.when(F.col("o") + F.col("o_before") == 1, F.col("i").bitwiseXOR(F.col("i_before"))).alias("__period"),
     )
     return claims.join(state, [key, loss_date], "left").withColumn("n_periods", F.coalesce("n_periods", F.lit(0)))
 

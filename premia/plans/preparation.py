@@ -338,7 +338,7 @@ def quarantine_write(spark, sf):
 )
 def first_row_per_key(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    return prepare.deduplicate(o, ["o_custkey"], order_by="o_orderkey")
+    return prepare.deduplicate(o, ["o_custkey"], order_by="o_orderkey", unique_order=True)
 
 
 @query(

@@ -10,6 +10,8 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from premia.sources.files import spread
+
 
 _TABLES: dict[tuple[str, str], DataFrame] = {}
 
@@ -18,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table. Its footer is read once per application, its rows whenever a query runs."""
     key = (spark.sparkContext.applicationId, f"{sf_dir}/{name}.parquet")
     if key not in _TABLES:
-        _TABLES[key] = spark.read.parquet(key[1])
+        _TABLES[key] = spread(spark.read.parquet(key[1]))
     return _TABLES[key]
 
 

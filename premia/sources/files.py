@@ -43,6 +43,23 @@ def read_parquet(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.parquet(*paths)
 
 
+#: A split with more rows than this is dealt out when cores would otherwise be idle.
+ROWS_PER_SPLIT = 100_000
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df`, dealt out evenly if its files give fewer splits than there are cores.
+
+    A parquet file with one row group is one task whatever its size. A table of many files, which
+    is how a large one is stored, comes back as it is. Rows are counted from the footers.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df.rdd.getNumPartitions()
+    if splits >= cores or df.count() < ROWS_PER_SPLIT * splits:
+        return df
+    return df.repartition(cores)
+
+
 def footer_schema(spark: SparkSession, path: str) -> T.StructType:
     """Column types from file footers; no row is read."""
     return spark.read.parquet(path).schema
