@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from premia.functions.scalar import ceiling_change_pct
 from premia.operators.ordering import nearest_rank_quantiles
 from premia.operators.rating import Algorithm, score
-from premia.session import cut_lineage
 
 #: Quantiles of the absolute change (fixed values).
 QUANTILE_KEYS = ("0.5", "0.9", "0.95", "0.99", "0.999", "1")
@@ -148,8 +147,9 @@ def abs_change_quantiles(frame: DataFrame) -> dict[str, str | None]:
     Rounding up keeps order, so the quantile of the rounded values is the rounded quantile.
     """
     text = banded(frame).select(ceiling_change_pct("change_minor", "baseline_minor").cast("decimal(28,6)").alias("x"))
-    text = cut_lineage(text)  # one column, written once instead of rating the portfolio per job
+    text = text.persist()  # one column, kept so that the portfolio is rated once
     found = nearest_rank_quantiles(text, "x", QUANTILE_KEYS)
+    text.unpersist()
     return {k: None if v is None else f"{v:.6f}" for k, v in found.items()}
 
 

@@ -81,27 +81,22 @@ def infer_schema(df: DataFrame, *, columns: Sequence[str] | None = None) -> Data
     A candidate key has more than one row, no null and only distinct values.
     """
     columns = list(columns or df.columns)
-    counts = level_counts(df, columns)
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    type_of = F.create_map(*[F.lit(x) for c in columns for x in (c, types[c])])
-    return (
-        counts.groupBy("column")
-        .agg(
-            F.sum("n").alias("n_rows"),
-            F.coalesce(F.sum(F.when(F.col("level").isNull(), F.col("n"))), F.lit(0)).alias("null_count"),
-            F.count(F.lit(1)).alias("distinct_count"),
-        )
-        .select(
-            "column",
-            type_of[F.col("column")].alias("dtype"),
-            "null_count",
-            "distinct_count",
-            (F.col("null_count") > 0).alias("nullable"),
-            ((F.col("n_rows") > 1) & (F.col("null_count") == 0) & (F.col("distinct_count") == F.col("n_rows"))).alias(
-                "is_candidate_key"
-            ),
-        )
+    row = df.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[a for i, c in enumerate(columns) for a in (F.count(f"`{c}`").alias(f"k{i}"), F.count_distinct(F.col(f"`{c}`")).alias(f"d{i}"))],
     )
+    entries = []
+    for i, c in enumerate(columns):
+        nulls = F.col("n") - F.col(f"k{i}")
+        distinct = F.col(f"d{i}") + F.when(nulls > 0, 1).otherwise(0)
+        entries.append(
+            F.struct(
+                F.lit(c).alias("column"), F.lit(types[c]).alias("dtype"), nulls.alias("null_count"), distinct.alias("distinct_count"), (nulls > 0).alias("nullable"),
+                ((F.col("n") > 1) & (nulls == 0) & (distinct == F.col("n"))).alias("is_candidate_key"),
+            )
+        )
+    return row.select(F.inline(F.array(*entries)))
 
 
 def sample_values(df: DataFrame, column: str, order_by: str, n: int = 3) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from premia.session import cut_lineage, shuffle_buckets
+from premia.session import shuffle_buckets
 
 
 def numeric_key(df: DataFrame, name: str) -> Column:
@@ -36,29 +36,36 @@ def numeric_key(df: DataFrame, name: str) -> Column:
     raise TypeError(f"column {name!r} of type {dtype.simpleString()} has no numeric order")
 
 
-def with_ranges(df: DataFrame, columns: Sequence[str], buckets: int | None = None) -> tuple[DataFrame, dict[str, str]]:
+def range_cuts(df: DataFrame, columns: Sequence[str], buckets: int | None = None) -> dict[str, Column]:
+    """One aggregate per column that finds approximate cuts of its values into equal shares."""
+    n = buckets or shuffle_buckets(df.sparkSession)
+    probs = F.array(*[F.lit(i / n) for i in range(1, n)])
+    return {c: F.percentile_approx(numeric_key(df, c), probs, F.lit(max(100, 10 * n))) for c in columns}
+
+
+def with_ranges(
+    df: DataFrame, columns: Sequence[str], buckets: int | None = None, cuts: Mapping[str, Sequence[float]] | None = None
+) -> tuple[DataFrame, dict[str, str]]:
     """`df` plus one range number per column; the mapping names the added columns.
 
-    One small aggregate finds the cuts. Nulls get a null range.
+    One small aggregate finds the cuts unless they are given. Nulls get a null range.
     """
-    n = buckets or shuffle_buckets(df.sparkSession)
-    probs = [i / n for i in range(1, n)]
     keys = {c: f"__key_{i}" for i, c in enumerate(columns)}
     names = {c: f"__range_{i}" for i, c in enumerate(columns)}
+    if cuts is None:
+        row = df.agg(*[e.alias(keys[c]) for c, e in range_cuts(df, columns, buckets).items()]).first()
+        cuts = {c: row[keys[c]] or [] for c in columns}
     keyed = df.withColumns({keys[c]: numeric_key(df, c) for c in columns})
-    cuts_row = keyed.agg(
-        *[F.percentile_approx(keys[c], F.array(*[F.lit(p) for p in probs]), F.lit(max(100, 10 * n))).alias(keys[c]) for c in columns]
-    ).first()
     out = keyed
     for c in columns:
-        cuts = sorted({float(v) for v in (cuts_row[keys[c]] or []) if v is not None and math.isfinite(v)})
-        splits = [-math.inf, *cuts, math.inf]
+        inner = sorted({float(v) for v in cuts[c] or [] if v is not None and math.isfinite(v)})
+        splits = [-math.inf, *inner, math.inf]
         if len(splits) < 3:
-            out = out.withColumn(names[c], F.when(F.col(keys[c]).isNotNull(), F.lit(0.0)))
+            out = out.withColumn(names[c], F.when(F.col(keys[c]).isNotNull(), F.lit(0)))
             continue
         known = Bucketizer(splits=splits, inputCol=keys[c], outputCol=names[c], handleInvalid="keep")
         out = known.transform(out)
-        out = out.withColumn(names[c], F.when(F.col(keys[c]).isNotNull(), F.col(names[c])))
+        out = out.withColumn(names[c], F.when(F.col(keys[c]).isNotNull(), F.col(names[c]).cast("int")))
     return out.drop(*keys.values()), names
 
 
@@ -81,45 +88,27 @@ def running_totals(
     maxima, xors = dict(maxima or {}), dict(xors or {})
     zeroed = {**{n: F.sum for n in sums}, **{n: F.bit_xor for n in xors}}
     ranged, names = with_ranges(df, [order], buckets)
-    rng = "__range"
-    ranged = ranged.withColumn(rng, F.coalesce(F.col(names[order]), F.lit(-1.0))).drop(names[order])
-    aggs = [F.sum(e).alias(n) for n, e in sums.items()] + [F.max(e).alias(n) for n, e in maxima.items()]
-    aggs += [F.bit_xor(e).alias(n) for n, e in xors.items()]
+    rng, head = "__range", "__head"
+    ranged = ranged.withColumn(rng, F.coalesce(F.col(names[order]), F.lit(-1))).drop(names[order])
+    aggs = [f(e).alias(n) for f, group in ((F.sum, sums), (F.bit_xor, xors), (F.max, maxima)) for n, e in group.items()]
     pooled = ranged.groupBy(*within, rng, order).agg(*aggs)
 
-    inside = Window.partitionBy(*within, rng).orderBy(F.col(order).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    # One extra row per range carries the totals of all ranges before it and is ordered first, so
+    # a single window gives totals over the whole group and nothing is joined back.
+    merge = {**zeroed, **{n: F.max for n in maxima}}
     across = Window.partitionBy(*within).orderBy(rng).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        ranged.groupBy(*within, rng)
-        .agg(*aggs)
-        .select(
-            *within,
-            rng,
-            *[F.coalesce(f(n).over(across), F.lit(0)).alias(f"__off_{n}") for n, f in zeroed.items()],
-            *[F.max(n).over(across).alias(f"__off_{n}") for n in maxima],
-        )
-    )
-    stepped = pooled.select(
-        *within,
-        rng,
-        order,
-        *zeroed,
-        *maxima,
-        *[F.coalesce(f(n).over(inside), F.lit(0)).alias(f"__in_{n}") for n, f in zeroed.items()],
-        *[F.max(n).over(inside).alias(f"__in_{n}") for n in maxima],
+    carried = (
+        pooled.groupBy(*within, rng)
+        .agg(*[f(n).alias(n) for n, f in merge.items()])
+        .select(*within, rng, F.lit(None).cast(df.schema[order].dataType).alias(order), *[f(n).over(across).alias(n) for n, f in merge.items()], F.lit(True).alias(head))
     )
-    condition = F.lit(True)
-    for c in [*within, rng]:
-        condition = condition & F.col(f"s.{c}").eqNullSafe(F.col(f"o.{c}"))
-    joined = stepped.alias("s").join(offsets.alias("o"), condition)
-    return joined.select(
-        *[F.col(f"s.{c}") for c in within],
-        F.col(f"s.{order}"),
-        *[F.col(f"s.{n}") for n in (*zeroed, *maxima)],
-        *[(F.col(f"s.__in_{n}") + F.col(f"o.__off_{n}")).alias(f"{n}_before") for n in sums],
-        *[F.col(f"s.__in_{n}").bitwiseXOR(F.col(f"o.__off_{n}")).alias(f"{n}_before") for n in xors],
-        *[F.greatest(f"s.__in_{n}", f"o.__off_{n}").alias(f"{n}_before") for n in maxima],
+    both = pooled.select(*within, rng, order, *merge, F.lit(False).alias(head)).unionAll(carried)
+    inside = (
+        Window.partitionBy(*within, rng).orderBy(F.col(head).desc(), F.col(order).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     )
+    before = {n: F.coalesce(f(n).over(inside), F.lit(0)) for n, f in zeroed.items()} | {n: F.max(n).over(inside) for n in maxima}
+    stepped = both.select(*within, order, *merge, *[e.alias(f"{n}_before") for n, e in before.items()], head)
+    return stepped.where(~F.col(head)).drop(head)
 
 
 def first_reaching(
@@ -129,16 +118,22 @@ def first_reaching(
     weight: Column | None = None,
     buckets: int | None = None,
 ) -> tuple[dict[str, list], dict[str, Decimal]]:
-    """Per column, the first values whose cumulative weight reaches each target.
+    """Per column, the first values whose cumulative weight reaches each target, and the total weight.
 
     `targets[column](total)` lists cumulative weights. Three jobs for all columns together: the
     cuts, one total per range, and the rows of the few ranges that hold a target. Only ranges'
     totals and the selected values reach the driver. `weight` defaults to one per row and must be
     exact (integer or decimal).
     """
+    found, totals = _reach(df, targets, weight, buckets)
+    return {c: [f and f[0] for f in values] for c, values in found.items()}, totals
+
+
+def _reach(df, targets, weight=None, buckets=None, cuts=None) -> tuple[dict[str, list], dict[str, Decimal]]:
+    """Per column and target: (value, weight before the value, weight of the value)."""
     columns = list(targets)
     w = (F.lit(1) if weight is None else weight).cast("decimal(38,6)")
-    ranged, names = with_ranges(df.withColumn("__w", w), columns, buckets)
+    ranged, names = with_ranges(df.withColumn("__w", w), columns, buckets, cuts)
 
     pieces = F.array(*[F.struct(F.lit(i).alias("c"), F.col(names[c]).alias("r")) for i, c in enumerate(columns)])
     totals = (
@@ -149,11 +144,12 @@ def first_reaching(
         .agg(F.sum("__w").alias("w"))
         .collect()
     )
-    by_column: dict[int, list[tuple[float, Decimal]]] = {}
+    by_column: dict[int, list[tuple[int, Decimal]]] = {}
     for row in totals:
         by_column.setdefault(row["c"], []).append((row["r"], row["w"]))
 
-    wanted: list[tuple[int, int, float, Decimal]] = []  # column, target index, range, target inside it
+    wanted: list[tuple[int, int, int, Decimal]] = []  # column, target index, range, target inside it
+    ahead: dict[tuple[int, int], Decimal] = {}  # weight of the ranges before
     total_of: dict[str, Decimal] = {}
     for i, c in enumerate(columns):
         ranges = sorted(by_column.get(i, []))
@@ -167,6 +163,7 @@ def first_reaching(
             for r, amount in ranges:
                 if running + amount >= target:
                     wanted.append((i, k, r, target - running))
+                    ahead[i, k] = running
                     break
                 running += amount
     result: dict[str, list] = {c: [None] * len(targets[c](total_of[c])) if total_of[c] > 0 else [] for c in columns}
@@ -205,14 +202,15 @@ def first_reaching(
     stepped = pooled.withColumn("upto", F.sum("w").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     asked = json.dumps([{"c2": i, "k": k, "r2": r, "t": str(t)} for i, k, r, t in wanted])
     targets_df = df.sparkSession.range(1).select(
-        F.inline(F.from_json(F.lit(asked), "array<struct<c2:int,k:int,r2:double,t:decimal(38,6)>>"))
+        F.inline(F.from_json(F.lit(asked), "array<struct<c2:int,k:int,r2:int,t:decimal(38,6)>>"))
     )
     hit = (F.col("c") == F.col("c2")) & (F.col("r") == F.col("r2")) & (F.col("t") <= F.col("upto")) & (F.col("t") > F.col("upto") - F.col("w"))
     picked = stepped.join(F.broadcast(targets_df), hit)
     text = F.coalesce(*[F.col(x).cast("string") for x in slots])
-    for row in picked.select("c", "k", text.alias("v")).collect():
-        result[columns[row["c"]]][row["k"]] = row["v"]
-    return {c: [_typed(df, c, v) for v in values] for c, values in result.items()}, total_of
+    for row in picked.select("c", "k", text.alias("v"), "w", "upto").collect():
+        c = columns[row["c"]]
+        result[c][row["k"]] = (_typed(df, c, row["v"]), ahead[row["c"], row["k"]] + row["upto"] - row["w"], row["w"])
+    return result, total_of
 
 
 def _typed(df: DataFrame, column: str, text):
@@ -228,8 +226,10 @@ def _typed(df: DataFrame, column: str, text):
     return text
 
 
-def linear_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
-    """Exact linearly interpolated quantiles of several columns, from the same three jobs."""
+def linear_quantiles(
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], cuts: Mapping[str, Sequence[float]] | None = None
+) -> dict[str, list[float | None]]:
+    """Exact linearly interpolated quantiles of several columns, from the same jobs."""
 
     def ranks(total):
         n = int(total)
@@ -240,7 +240,8 @@ def linear_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[floa
             out += [low + 1, min(low + 2, n)]
         return out
 
-    values, totals = first_reaching(df, {c: ranks for c in columns})
+    reached, totals = _reach(df, {c: ranks for c in columns}, cuts=cuts)
+    values = {c: [f[0] for f in found] for c, found in reached.items()}
     result: dict[str, list[float | None]] = {}
     for c in columns:
         n = int(totals[c])
@@ -271,34 +272,39 @@ def nearest_rank_quantiles(df: DataFrame, column: str, probs: Sequence[str]) ->
 def rank_cuts(df: DataFrame, order: str, tie: str, ends: Callable[[int], Sequence[int]]) -> tuple[int, list[tuple]]:
     """The (order, tie) values of the rows at the 1-based ranks `ends(n)`, without ranking rows.
 
-    `tie` must be unique and numeric; rows with a null `order` are left out.
+    `tie` must be unique and numeric; rows with a null `order` are left out. The tie is None where
+    the cut includes every row of its order value.
     """
-    # Two columns are written once, so that what computes them does not run again in every job.
-    df = cut_lineage(df.where(F.col(order).isNotNull()).select(order, tie))
-    order_values, totals = first_reaching(df, {order: lambda total: ends(int(total))})
-    n = int(totals[order])
-    if n == 0:
-        return 0, []
-    edges = order_values[order]
-    ranks = [min(r, n) for r in ends(n)]
-    distinct = list(dict.fromkeys(edges))
-    literal = {v: _literal(df, order, v) for v in distinct}
-    below = df.agg(*[F.count(F.when(F.col(order) < literal[v], 1)).alias(f"b{i}") for i, v in enumerate(distinct)]).first()
-    before = {v: below[f"b{i}"] for i, v in enumerate(distinct)}
-    tied = df.where(F.col(order).isin([literal[v] for v in distinct]))
-    tied = tied.select(
-        *[F.when(F.col(order) == literal[v], F.col(tie)).alias(f"t{i}") for i, v in enumerate(distinct)]
-    )
-    needs = {v: [ranks[b] - before[v] for b, e in enumerate(edges) if e == v] for v in distinct}
-    tie_values, _ = first_reaching(tied, {f"t{i}": (lambda total, need=needs[v]: need) for i, v in enumerate(distinct)})
-    queues = {v: list(tie_values[f"t{i}"]) for i, v in enumerate(distinct)}
-    return n, [(e, queues[e].pop(0)) for e in edges]
+    rows = df.where(F.col(order).isNotNull()).select(order, tie).persist()
+    try:
+        found, totals = _reach(rows, {order: lambda total: ends(int(total))})
+        n = int(totals[order])
+        if n == 0:
+            return 0, []
+        edges = found[order]
+        needs = [min(r, n) - int(before) for r, (_, before, _) in zip(ends(n), edges)]
+        # A tie matters only where a cut falls between rows of one value.
+        open_ties = [b for b, (_, _, w) in enumerate(edges) if needs[b] < int(w)]
+        ties: dict[int, object] = {}
+        if open_ties:
+            distinct = list(dict.fromkeys(edges[b][0] for b in open_ties))
+            literal = {v: _literal(df, order, v) for v in distinct}
+            tied = rows.where(F.col(order).isin(list(literal.values())))
+            tied = tied.select(*[F.when(F.col(order) == literal[v], F.col(tie)).alias(f"t{i}") for i, v in enumerate(distinct)])
+            of = {v: [b for b in open_ties if edges[b][0] == v] for v in distinct}
+            values, _ = first_reaching(tied, {f"t{i}": (lambda total, bs=of[v]: [needs[b] for b in bs]) for i, v in enumerate(distinct)})
+            ties = {b: values[f"t{i}"][j] for i, v in enumerate(distinct) for j, b in enumerate(of[v])}
+        return n, [(edges[b][0], ties.get(b)) for b in range(len(edges))]
+    finally:
+        rows.unpersist()
 
 
 def past_cut(df: DataFrame, order: str, tie: str, cut: tuple) -> Column:
     """Whether a row comes after the cut in (order, tie) order."""
-    value, tie_value = _literal(df, order, cut[0]), _literal(df, tie, cut[1])
-    return (F.col(order) > value) | ((F.col(order) == value) & (F.col(tie) > tie_value))
+    value = _literal(df, order, cut[0])
+    if cut[1] is None:
+        return F.col(order) > value
+    return (F.col(order) > value) | ((F.col(order) == value) & (F.col(tie) > _literal(df, tie, cut[1])))
 
 
 def equal_count_bins(

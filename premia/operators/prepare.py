@@ -19,6 +19,7 @@ from premia.functions import scalar
 from premia.functions.hashing import hmac_sha256
 from premia.operators.ingest import COLUMN, REASON, STEP, exact_sum
 from premia.operators.ordering import running_totals
+from premia.session import cut_lineage
 
 ROW, SOURCE, REJECT = "_source_row", "_source_text", "_reject"
 _HIDDEN = (ROW, SOURCE, REJECT)
@@ -332,16 +333,21 @@ def cover_counts(
     starts = usable.select(key, F.col(start).alias("__d"), F.lit(1).alias("__open"), identity.alias("__id"))
     ends = usable.select(key, F.col(end).alias("__d"), F.lit(-1).alias("__open"), identity.alias("__id"))
     probes = claims.where(F.col(loss_date).isNotNull() & F.col(key).isNotNull()).select(
-        key, F.col(loss_date).alias("__d"), F.lit(0).alias("__open"), F.lit(0).cast("long").alias("__id")
+        key, F.col(loss_date).alias("__d"), F.lit(0).alias("__open"), F.lit(0).cast("long").alias("__id"), F.lit(1).alias("__probe")
     )
-    events = starts.unionAll(ends).unionAll(probes)
-    totals = running_totals(events, "__d", {"o": F.col("__open")}, within=[key], xors={"i": F.col("__id")})
-    state = totals.select(
+    none = F.lit(0).alias("__probe")
+    events = starts.select("*", none).unionAll(ends.select("*", none)).unionAll(probes)
+    totals = running_totals(
+        events, "__d", {"o": F.col("__open")}, within=[key], xors={"i": F.col("__id")}, maxima={"probed": F.col("__probe")}
+    )
+    state = totals.where("probed = 1").select(
         key,
         F.col("__d").alias(loss_date),
         (F.col("o") + F.col("o_before")).alias("n_periods"),
         F.when(F.col("o") + F.col("o_before") == 1, F.col("i").bitwiseXOR(F.col("i_before"))).alias("__period"),
     )
+    # Three outputs and several rules read the state of the probed dates: it is written once.
+    state = cut_lineage(state)
     return claims.join(state, [key, loss_date], "left").withColumn("n_periods", F.coalesce("n_periods", F.lit(0)))
 
 

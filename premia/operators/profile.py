@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from premia.functions.special import gamma_mean_interval, poisson_interval
 from premia.operators.ingest import level_counts
-from premia.operators.ordering import linear_quantiles
+from premia.operators.ordering import linear_quantiles, range_cuts
 
 QUANTILES = (0.01, 0.05, 0.25, 0.50, 0.75, 0.95, 0.99)
 HISTOGRAM_BINS = 20
@@ -40,65 +40,49 @@ def semantic_type(name: str, dtype: T.DataType, distinct: int, rows: int) -> str
     return "categorical"
 
 
-def column_counts(df: DataFrame, columns: Sequence[str]) -> list[dict]:
-    """Rows, nulls, distinct non-null values and semantic type per column, from one shuffle."""
-    found = {
-        r["column"]: r
-        for r in level_counts(df, columns)
-        .groupBy("column")
-        .agg(
-            F.sum("n").alias("rows"),
-            F.coalesce(F.sum(F.when(F.col("level").isNull(), F.col("n"))), F.lit(0)).alias("nulls"),
-            F.count("level").alias("distinct"),
-        )
-        .collect()
-    }
-    out = []
-    for c in columns:
-        r = found.get(c)
-        rows, nulls, distinct = (r["rows"], r["nulls"], r["distinct"]) if r else (0, 0, 0)
-        out.append(
-            {
-                "column": c,
-                "rows": rows,
-                "nulls": nulls,
-                "distinct": distinct,
-                "semantic": semantic_type(c, df.schema[c].dataType, distinct, rows),
-            }
-        )
-    return out
+def _counts(c: str, i: int) -> list:
+    return [F.count(c).alias(f"known_{i}"), F.count_distinct(c).alias(f"distinct_{i}")]
 
 
-def numeric_columns(df: DataFrame, counts: Sequence[Mapping]) -> list[str]:
+def _describe(df: DataFrame, columns: Sequence[str], row) -> list[dict]:
     return [
-        c["column"]
-        for c in counts
-        if isinstance(df.schema[c["column"]].dataType, T.NumericType) and c["semantic"] != "identifier" and c["rows"] > c["nulls"]
+        {
+            "column": c,
+            "rows": row["n_rows"],
+            "nulls": row["n_rows"] - row[f"known_{i}"],
+            "distinct": row[f"distinct_{i}"],
+            "semantic": semantic_type(c, df.schema[c].dataType, row[f"distinct_{i}"], row["n_rows"]),
+        }
+        for i, c in enumerate(columns)
     ]
 
 
+def column_counts(df: DataFrame, columns: Sequence[str]) -> list[dict]:
+    """Rows, nulls, distinct non-null values and semantic type per column, from one shuffle."""
+    row = df.agg(F.count(F.lit(1)).alias("n_rows"), *[a for i, c in enumerate(columns) for a in _counts(c, i)]).first()
+    return _describe(df, columns, row)
+
+
 def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """One row per column: counts, semantic type, range, mean, deviation and seven exact quantiles."""
+    """One row per column: counts, semantic type, range, mean, deviation and seven exact quantiles.
+
+    One aggregate gives all counts, moments and approximate cuts; the exact quantiles read only the
+    value ranges they fall in.
+    """
     columns = list(columns or df.columns)
-    counts = column_counts(df, columns)
-    numeric = numeric_columns(df, counts)
-    moments = {}
-    if numeric:
-        row = df.agg(
-            *[
-                f(F.col(c).cast("double")).alias(f"{label}_{i}")
-                for i, c in enumerate(numeric)
-                for label, f in (("min", F.min), ("max", F.max), ("mean", F.avg), ("std", F.stddev_samp))
-            ]
-        ).first()
-        moments = {c: [row[f"{x}_{i}"] for x in ("min", "max", "mean", "std")] for i, c in enumerate(numeric)}
-    quantiles = linear_quantiles(df, numeric, QUANTILES) if numeric else {}
+    numbers = [c for c in columns if isinstance(df.schema[c].dataType, T.NumericType)]
+    aggs = [F.count(F.lit(1)).alias("n_rows"), *[a for i, c in enumerate(columns) for a in _counts(c, i)]]
+    for c, cuts in range_cuts(df, numbers).items():
+        i, x = columns.index(c), F.col(c).cast("double")
+        aggs += [F.min(x).alias(f"min_{i}"), F.max(x).alias(f"max_{i}"), F.avg(x).alias(f"mean_{i}"), F.stddev_samp(x).alias(f"std_{i}"), cuts.alias(f"cuts_{i}")]
+    row = df.agg(*aggs).first()
+    counts = _describe(df, columns, row)
+    numeric = [c["column"] for c in counts if c["column"] in numbers and c["semantic"] != "identifier" and c["rows"] > c["nulls"]]
+    quantiles = linear_quantiles(df, numeric, QUANTILES, {c: row[f"cuts_{columns.index(c)}"] for c in numeric}) if numeric else {}
     rows = []
-    for c in counts:
+    for i, c in enumerate(counts):
         name = c["column"]
-        low, high, mean, std = moments.get(name, [None] * 4)
-        if name in moments and std is None:
-            std = 0.0
+        low, high, mean, std = ([row[f"{x}_{i}"] for x in ("min", "max", "mean", "std")]) if name in numeric else [None] * 4
         rows.append(
             (
                 name,
@@ -111,7 +95,7 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
                 low,
                 high,
                 mean,
-                std,
+                0.0 if std is None and name in numeric else std,
                 *quantiles.get(name, [None] * len(QUANTILES)),
             )
         )
