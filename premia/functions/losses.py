@@ -136,7 +136,8 @@ def template_loss(name: str, y, f, params: Mapping[str, float] | None = None) ->
         p = given["power"]
         return -y * F.exp((1 - p) * f) / (1 - p) + F.exp((2 - p) * f) / (2 - p)
     if name == "capped_gamma":
-        return F.least(y, F.lit(float(given["cap"]))) / mu + f
+        cap = float(given["cap"])
+        return F.when(y > cap, F.lit(cap)).otherwise(y) / mu + f
     if name == "huber":
         d = given["delta"]
         return F.when(F.abs(error) <= d, 0.5 * error * error).otherwise(d * (F.abs(error) - 0.5 * d))

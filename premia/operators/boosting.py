@@ -139,7 +139,7 @@ def fit_shapes(
     step = gradient or GRADIENTS[family]
     y = F.col(response).cast("double")
     if cap is not None:
-        y = F.least(y, F.lit(float(cap)))
+        y = F.when(y > float(cap), F.lit(float(cap))).otherwise(y)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     e = F.col(exposure).cast("double") if exposure else F.lit(1.0)
     keys = {f"__b{i}": f.position() for i, f in enumerate(features.values())}

@@ -216,8 +216,9 @@ def severity_population(df: DataFrame, claims: str = "claim_count", amount: str
 
 
 def cap_losses(df: DataFrame, column: str, cap: float) -> DataFrame:
-    """Large-loss treatment `capped`: a loss above the cap counts as the cap."""
-    return df.withColumn(column, F.least(F.col(column), F.lit(cap).cast(df.schema[column].dataType)))
+    """Large-loss treatment `capped`: a loss above the cap counts as the cap; an unknown one stays unknown."""
+    limit = F.lit(cap).cast(df.schema[column].dataType)
+    return df.withColumn(column, F.when(F.col(column) > limit, limit).otherwise(F.col(column)))
 
 
 def degenerate_levels(df: DataFrame, factors: Sequence[str], *, min_claims: int = 1, min_exposure: float = 0.0) -> DataFrame:

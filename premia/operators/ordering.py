@@ -36,6 +36,11 @@ def numeric_key(df: DataFrame, name: str) -> Column:
     raise TypeError(f"column {name!r} of type {dtype.simpleString()} has no numeric order")
 
 
+def selection_ranges(spark) -> int:
+    """Ranges for picking values: more of them mean fewer rows to order, at the price of small totals."""
+    return max(256, shuffle_buckets(spark))
+
+
 def range_cuts(df: DataFrame, columns: Sequence[str], buckets: int | None = None) -> dict[str, Column]:
     """One aggregate per column that finds approximate cuts of its values into equal shares."""
     n = buckets or shuffle_buckets(df.sparkSession)
@@ -132,7 +137,9 @@ def first_reaching(
 def _reach(df, targets, weight=None, buckets=None, cuts=None) -> tuple[dict[str, list], dict[str, Decimal]]:
     """Per column and target: (value, weight before the value, weight of the value)."""
     columns = list(targets)
-    w = (F.lit(1) if weight is None else weight).cast("decimal(38,6)")
+    buckets = buckets or selection_ranges(df.sparkSession)
+    # Counts stay whole numbers; weights are decimals small enough to be held in a long.
+    w = F.lit(1).cast("long") if weight is None else weight.cast("decimal(18,6)")
     ranged, names = with_ranges(df.withColumn("__w", w), columns, buckets, cuts)
 
     pieces = F.array(*[F.struct(F.lit(i).alias("c"), F.col(names[c]).alias("r")) for i, c in enumerate(columns)])
@@ -146,7 +153,7 @@ def _reach(df, targets, weight=None, buckets=None, cuts=None) -> tuple[dict[str,
     )
     by_column: dict[int, list[tuple[int, Decimal]]] = {}
     for row in totals:
-        by_column.setdefault(row["c"], []).append((row["r"], row["w"]))
+        by_column.setdefault(row["c"], []).append((row["r"], Decimal(row["w"])))
 
     wanted: list[tuple[int, int, int, Decimal]] = []  # column, target index, range, target inside it
     ahead: dict[tuple[int, int], Decimal] = {}  # weight of the ranges before
@@ -209,7 +216,7 @@ def _reach(df, targets, weight=None, buckets=None, cuts=None) -> tuple[dict[str,
     text = F.coalesce(*[F.col(x).cast("string") for x in slots])
     for row in picked.select("c", "k", text.alias("v"), "w", "upto").collect():
         c = columns[row["c"]]
-        result[c][row["k"]] = (_typed(df, c, row["v"]), ahead[row["c"], row["k"]] + row["upto"] - row["w"], row["w"])
+        result[c][row["k"]] = (_typed(df, c, row["v"]), ahead[row["c"], row["k"]] + Decimal(row["upto"]) - Decimal(row["w"]), Decimal(row["w"]))
     return result, total_of
 
 

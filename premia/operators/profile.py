@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from premia.functions.special import gamma_mean_interval, poisson_interval
 from premia.operators.ingest import level_counts
-from premia.operators.ordering import linear_quantiles, range_cuts
+from premia.operators.ordering import linear_quantiles, range_cuts, selection_ranges
 
 QUANTILES = (0.01, 0.05, 0.25, 0.50, 0.75, 0.95, 0.99)
 HISTOGRAM_BINS = 20
@@ -66,18 +66,21 @@ def column_counts(df: DataFrame, columns: Sequence[str]) -> list[dict]:
 def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row per column: counts, semantic type, range, mean, deviation and seven exact quantiles.
 
-    One aggregate gives all counts, moments and approximate cuts; the exact quantiles read only the
-    value ranges they fall in.
+    One aggregate gives the distinct counts and one the moments and approximate cuts (kept apart,
+    since distinct counting expands rows); the exact quantiles order only the ranges they fall in.
     """
     columns = list(columns or df.columns)
-    numbers = [c for c in columns if isinstance(df.schema[c].dataType, T.NumericType)]
-    aggs = [F.count(F.lit(1)).alias("n_rows"), *[a for i, c in enumerate(columns) for a in _counts(c, i)]]
-    for c, cuts in range_cuts(df, numbers).items():
+    counts = column_counts(df, columns)
+    numeric = [
+        c["column"]
+        for c in counts
+        if isinstance(df.schema[c["column"]].dataType, T.NumericType) and c["semantic"] != "identifier" and c["rows"] > c["nulls"]
+    ]
+    moments = []
+    for c, cuts in range_cuts(df, numeric, selection_ranges(df.sparkSession)).items():
         i, x = columns.index(c), F.col(c).cast("double")
-        aggs += [F.min(x).alias(f"min_{i}"), F.max(x).alias(f"max_{i}"), F.avg(x).alias(f"mean_{i}"), F.stddev_samp(x).alias(f"std_{i}"), cuts.alias(f"cuts_{i}")]
-    row = df.agg(*aggs).first()
-    counts = _describe(df, columns, row)
-    numeric = [c["column"] for c in counts if c["column"] in numbers and c["semantic"] != "identifier" and c["rows"] > c["nulls"]]
+        moments += [F.min(x).alias(f"min_{i}"), F.max(x).alias(f"max_{i}"), F.avg(x).alias(f"mean_{i}"), F.stddev_samp(x).alias(f"std_{i}"), cuts.alias(f"cuts_{i}")]
+    row = df.agg(*moments).first() if moments else None
     quantiles = linear_quantiles(df, numeric, QUANTILES, {c: row[f"cuts_{columns.index(c)}"] for c in numeric}) if numeric else {}
     rows = []
     for i, c in enumerate(counts):
@@ -130,7 +133,8 @@ def histograms(df: DataFrame, columns: Sequence[str], exposure: str | None = Non
         bins = HISTOGRAM_BINS if high > low else 1
         width = (high - low) / bins if high > low else 1.0
         position = F.least(F.greatest(F.floor((F.col(c).cast("double") - low) / width), F.lit(0)), F.lit(bins - 1))
-        entries.append(F.struct(F.lit(c).alias("column"), position.cast("int").alias("bin")))
+        # `least` skips nulls, so a null value is kept out of the bins by hand.
+        entries.append(F.struct(F.lit(c).alias("column"), F.when(F.col(c).isNotNull(), position.cast("int")).alias("bin")))
         for b in range(bins):
             frame.append((c, b, low + width * b, high if b == bins - 1 and high > low else low + width * (b + 1)))
     weight = F.col(exposure).cast("double") if exposure else F.lit(None).cast("double")

@@ -205,7 +205,8 @@ def floor_and_cap(cells: DataFrame, floor: str, cap: str, value: str = "relativi
     low, high = finite_decimal(floor), finite_decimal(cap)
     if low > high:
         raise RateTableError("the floor is above the cap")
-    return cells.withColumn(value, F.greatest(F.least(F.col(value).cast(VALUE), _lit(high)), _lit(low)))
+    held = F.greatest(F.least(F.col(value).cast(VALUE), _lit(high)), _lit(low))
+    return cells.withColumn(value, F.when(F.col(value).isNotNull(), held))
 
 
 def rebase(cells: DataFrame, base_level: Mapping[str, Sequence[str]], value: str = "relativity") -> DataFrame:
