@@ -146,7 +146,8 @@ def input_errors(df: DataFrame, fields: Sequence[Field]) -> list[tuple[Column, s
             out.append((value.isNotNull() & number.isNull(), f"input_type:{f.name}"))
             if f.kind == "int":
                 out.append((number != F.floor(number), f"input_type:{f.name}"))
-            digits = F.regexp_replace(F.regexp_replace(number.cast("string"), r"\.?0*$", ""), r"^-?0*\.?0*|\.", "")
+            # Significant digits: all digits without the zeros at either end.
+            digits = F.regexp_replace(F.regexp_replace(number.cast("string"), "[^0-9]", ""), "^0+|0+$", "")
             if dict(df.dtypes)[f.name] in ("string", "double", "float") or dict(df.dtypes)[f.name].startswith("decimal"):
                 out.append((F.length(digits) > MAX_DIGITS, f"input_digits:{f.name}"))
             if f.minimum is not None:
