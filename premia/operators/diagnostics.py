@@ -239,8 +239,8 @@ def worst_regions(df: DataFrame, factors: Sequence[str], *, target: str, approxi
     entries = F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).cast("string").alias("level")) for f in factors])
     rows = df.where(F.col(target) != 0).select(F.col(exposure).alias("e"), miss.alias("m"), F.inline(entries))
     levels = rows.groupBy("factor", "level").agg(F.sum("e").alias("e"), F.avg("m").alias("mean_abs_pct_error"))
-    total = F.sum("e").over(Window.partitionBy("factor"))
-    return levels.select("factor", "level", (F.col("e") / total).alias("exposure_share"), "mean_abs_pct_error").orderBy(F.col("mean_abs_pct_error").desc(), "factor", "level").limit(k)
+    total = levels.groupBy("factor").agg(F.sum("e").alias("t"))
+    return levels.join(total, "factor").select("factor", "level", (F.col("e") / F.col("t")).alias("exposure_share"), "mean_abs_pct_error").orderBy(F.col("mean_abs_pct_error").desc(), "factor", "level").limit(k)
 
 
 def contributions(df: DataFrame, model) -> DataFrame:

@@ -229,12 +229,12 @@ def psi(current: DataFrame, reference: DataFrame, keys: Sequence[str] = ("column
 
     Shares are floored at 1e-6; the null level is left out; null where either side has no weight.
     """
-    from pyspark.sql import Window
 
     def shares(df: DataFrame, name: str) -> DataFrame:
-        known = df.where(F.col("level").isNotNull())
-        total = F.sum(weight).over(Window.partitionBy(*keys)).cast("double")
-        return known.select(*keys, "level", F.try_divide(F.col(weight).cast("double"), total).alias(name))
+        # Totals are an aggregate joined back, so a column with very many levels stays spread out.
+        known = df.where(F.col("level").isNotNull()).select(*keys, "level", F.col(weight).cast("double").alias("__x"))
+        total = known.groupBy(*keys).agg(F.sum("__x").alias("__t"))
+        return known.join(total, list(keys)).select(*keys, "level", F.try_divide("__x", "__t").alias(name))
 
     both = shares(current, "a").join(shares(reference, "b"), [*keys, "level"], "full")
     a = F.greatest(F.coalesce("a", F.lit(0.0)), F.lit(PSI_FLOOR))

@@ -454,13 +454,14 @@ def stream_drift(spark, sf):
 
 @query(
     "stream_conversion",
-    """SELECT q.event_id AS quote_event, o.event_id AS outcome_event FROM events q JOIN events o ON q.user_id = o.user_id AND q.event_type = 'view' AND o.event_type = 'purchase'
+    """SELECT q.event_id AS quote_event, o.event_id AS outcome_event FROM events q JOIN events o ON o.event_id = q.event_id + 1 AND q.event_type = 'view' AND o.event_type = 'purchase'
        AND o.ts >= q.ts AND o.ts <= q.ts + INTERVAL 6 HOUR""",
 )
 def stream_conversion(spark, sf):
-    q = _stream(spark, sf).where("event_type = 'view'").select("user_id", "event_id", F.col("ts").alias("quoted_at"))
-    o = _stream(spark, sf).where("event_type = 'purchase'").select("user_id", "event_id", F.col("ts").alias("bought_at"))
-    joined = st.converted_quotes(q, o, key="user_id", quote_time="quoted_at", outcome_time="bought_at", within="6 hours", late="1 hour")
+    """A purchase answers the view numbered just before it; a quote has one outcome at most."""
+    q = _stream(spark, sf).where("event_type = 'view'").select(F.col("event_id").alias("quote_id"), "event_id", F.col("ts").alias("quoted_at"))
+    o = _stream(spark, sf).where("event_type = 'purchase'").select((F.col("event_id") - 1).alias("quote_id"), "event_id", F.col("ts").alias("bought_at"))
+    joined = st.converted_quotes(q, o, key="quote_id", quote_time="quoted_at", outcome_time="bought_at", within="6 hours", late="1 hour")
     return st.run_to_table(joined.select(F.col("q.event_id").alias("quote_event"), F.col("o.event_id").alias("outcome_event")), "conversion")
 
 
@@ -484,12 +485,18 @@ def stream_first_alerts(spark, sf):
 
 @query(
     "stream_consecutive_breaches",
-    """WITH e AS (SELECT user_id, ts, value > 12 AS hit, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
-      i AS (SELECT *, rn - sum(hit::INT) OVER (PARTITION BY user_id ORDER BY rn) AS island FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY user_id, island, hit ORDER BY rn) AS run, first(ts) OVER (PARTITION BY user_id, island, hit ORDER BY rn) AS since FROM i WHERE hit)
-      SELECT user_id::VARCHAR AS key, strftime(since, '%Y-%m-%d %H:%M:%S') AS since, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, run FROM r WHERE run = 3""",
+    f"""WITH w AS (SELECT event_type, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01') AS period, sum(value) / count(*) > 18 AS hit FROM events GROUP BY 1, 2),
+      e AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY period) AS rn FROM w WHERE {_CLOSED}),
+      i AS (SELECT *, rn - sum(hit::INT) OVER (PARTITION BY event_type ORDER BY rn) AS island FROM e),
+      r AS (SELECT *, row_number() OVER (PARTITION BY event_type, island, hit ORDER BY rn) AS run, first(period) OVER (PARTITION BY event_type, island, hit ORDER BY rn) AS since FROM i WHERE hit)
+      SELECT event_type AS key, strftime(since, '%Y-%m-%d %H:%M:%S') AS since, strftime(period, '%Y-%m-%d %H:%M:%S') AS at, run FROM r WHERE run = 3""",
 )
 def stream_consecutive_breaches(spark, sf):
-    found = st.consecutive_breaches(_stream(spark, sf), key="user_id", time="ts", value="value", limit=12.0, needed=3)
+    """Three closed windows in a row above a limit: state per metric, fed by the windowed values."""
+    levels = st.windowed_levels(_stream(spark, sf), ["event_type"], time="ts", width="6 hours", late="1 hour", weight="value")
+    values = levels.select("level", "period", (F.col("weight") / F.col("n")).alias("mean"))
+    results = st.read_results(spark, st.write_results(values, "values"), values.schema)
+    found = st.consecutive_breaches(results, key="level", time="period", value="mean", limit=18.0, needed=3)
     out = st.run_to_table(found, "consecutive")
     return out.select("key", _text("since"), _text("at"), "run")
 

@@ -23,8 +23,8 @@ def read_stream(spark: SparkSession, folder: str, name: str, schema: T.StructTyp
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
-def run_to_table(df: DataFrame, name: str, *, mode: str = "append") -> DataFrame:
-    """Process everything available, then return what was written."""
+def write_results(df: DataFrame, name: str, *, mode: str = "append") -> str:
+    """Process everything available into a results table and return its path."""
     spark = df.sparkSession
     out = scratch_path(spark, f"stream-{name}")
     query = (
@@ -32,7 +32,17 @@ def run_to_table(df: DataFrame, name: str, *, mode: str = "append") -> DataFrame
         .option("checkpointLocation", scratch_path(spark, f"offsets-{name}")).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return spark.read.schema(df.schema).parquet(out)
+    return out
+
+
+def read_results(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A results table as a stream, for the monitors that follow it."""
+    return spark.readStream.schema(schema).parquet(path)
+
+
+def run_to_table(df: DataFrame, name: str, *, mode: str = "append") -> DataFrame:
+    """Process everything available, then return what was written."""
+    return df.sparkSession.read.schema(df.schema).parquet(write_results(df, name, mode=mode))
 
 
 def run_batches(df: DataFrame, name: str, each: Callable[[DataFrame], DataFrame], schema: str, *, mode: str = "append") -> DataFrame:
@@ -105,12 +115,13 @@ def first_alerts(alerts: DataFrame, *, time: str, keys: Sequence[str], quiet: st
 
 
 def consecutive_breaches(
-    results: DataFrame, *, key: str, time: str, value: str, limit: float, needed: int, late: str = "1 day"
+    results: DataFrame, *, key: str, time: str, value: str, limit: float, needed: int
 ) -> DataFrame:
     """Alerts of a key after `needed` breaches in a row: (key, since, at, run).
 
-    The state of a key is its run length; it escalates once per run instead of repeating. Rows of a
-    key within a batch are put in time order first.
+    `results` are metric values, one per key and closed window, so a key has few rows in a batch;
+    they are put in time order first. The state of a key is its run length; it escalates once per
+    run instead of repeating.
     """
     out = T.StructType(
         [T.StructField("key", T.StringType()), T.StructField("since", T.TimestampType()), T.StructField("at", T.TimestampType()), T.StructField("run", T.LongType())]
@@ -133,5 +144,5 @@ def consecutive_breaches(
         if fired:
             yield pd.DataFrame(fired, columns=["key", "since", "at", "run"])
 
-    rows = results.withWatermark(time, late).select(F.col(key).cast("string").alias("key"), F.col(time).cast("timestamp").alias("t"), F.col(value).cast("double").alias("v"))
+    rows = results.select(F.col(key).cast("string").alias("key"), F.col(time).cast("timestamp").alias("t"), F.col(value).cast("double").alias("v"))
     return rows.groupBy("key").applyInPandasWithState(step, out, state, "append", GroupStateTimeout.NoTimeout)
