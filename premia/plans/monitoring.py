@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from premia.operators import governance as gv
@@ -606,11 +607,20 @@ def efficient_frontier(spark, sf):
     return out.withColumns({"volume": F.round("volume", 6), "profit": F.round("profit", 3)})
 
 
-@query("outcome_ranges")
+_DRAWS = "(VALUES " + ", ".join(f"({b!r}::DOUBLE)" for b in np.random.default_rng(12).normal(-0.8, 0.05, 50).tolist()) + ")"
+
+
+@query(
+    "outcome_ranges",
+    with_sql(QUOTES, _DEMAND_SQL)
+    + f""", d AS (SELECT segment, b, sum(1 / (1 + exp(-(base + b * ln(price))))) AS v, sum((price - cost) / (1 + exp(-(base + b * ln(price))))) AS p FROM risks, {_DRAWS} g(b) GROUP BY 1, 2)
+      SELECT segment, round(quantile_cont(v, 0.05), 4) AS volume_low, round(quantile_cont(v, 0.5), 4) AS volume_mid, round(quantile_cont(v, 0.95), 4) AS volume_high,
+        round(quantile_cont(p, 0.05), 2) AS profit_low, round(quantile_cont(p, 0.5), 2) AS profit_mid, round(quantile_cont(p, 0.95), 2) AS profit_high FROM d GROUP BY 1""",
+)
 def outcome_ranges(spark, sf):
     """Seeded draws of the price coefficient: ranges of volume and profit per segment."""
     out = op.outcome_ranges(risks(spark, sf), DEMAND, segment="segment", price="price", cost="cost", draws=50, seed=12)
-    return out.select("segment", *[F.get(c, F.lit(i)).alias(f"{c}_{n}") for c in ("volume", "profit") for i, n in enumerate(("low", "mid", "high"))])
+    return out.select("segment", *[F.round(F.get(c, F.lit(i)), places).alias(f"{c}_{n}") for c, places in (("volume", 4), ("profit", 2)) for i, n in enumerate(("low", "mid", "high"))])
 
 
 @query(

@@ -461,10 +461,17 @@ def claims_to_policy(spark, sf):
     return prepare.claims_to_policy(policies, c.where("peril = 'F'")).withColumn("mean_severity", F.round("mean_severity", 6))
 
 
-@query("pseudonymise")
+_KEY = "workspace key"
+_PADS = ["".join(f"\\x{b ^ pad:02X}" for b in _KEY.encode().ljust(64, b"\0")) for pad in (0x36, 0x5C)]
+
+
+@query(
+    "pseudonymise",
+    f"SELECT c_custkey, substr(sha256('{_PADS[1]}'::BLOB || unhex(sha256('{_PADS[0]}'::BLOB || encode(c_name)))), 1, 32) AS token FROM customer",
+)
 def pseudonymise(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey", F.col("c_name").alias("token"))
-    return prepare.pseudonymise(c, "token", "workspace key")
+    return prepare.pseudonymise(c, "token", _KEY)
 
 
 @query(
