@@ -550,10 +550,9 @@ def _sql(rule, ctx):
 
 
 def _belongs(path: str, ctx: Context) -> bool:
-    known = set()
-    for df in ctx.tables.values():
-        known.update(df.inputFiles())
-    return path in known
+    if "files" not in ctx.memo:
+        ctx.memo["files"] = {f for df in ctx.tables.values() for f in df.inputFiles()}
+    return path in ctx.memo["files"]
 
 
 # -- running ---------------------------------------------------------------------------------
