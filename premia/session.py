@@ -30,12 +30,18 @@ def local_session(cores: int | str = "*", *, shuffle_partitions: int = 8, app: s
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the session names; a temporary one only where it names none."""
+    """The shared folder the session names in spark.checkpoint.dir.
+
+    Only a session whose executors are threads of the driver (a local master) gets a temporary folder of its own; on a
+    cluster a missing setting is an error.
+    """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="premia-checkpoint-"))
     return context.getCheckpointDir()
 
