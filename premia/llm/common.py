@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +15,9 @@ from pyspark.sql import functions as F
 from premia.session import checkpoint_dir
 
 #: Text bytes that one numpy pass works on; it bounds a Python worker's memory whatever the row sizes are.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Heavy items kept by `heavy_items`: each holds over one part in this many of all items, so there are no more of them.
-HEAVY_PARTS = 50_000
+HEAVY_PARTS = 200_000
 
 
 def fold(key: Column, parts: int) -> Column:
@@ -84,14 +83,17 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-@lru_cache(maxsize=1)
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (_BASE, _INVERSE):
-        p = np.full(n, base, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+    """Powers of the base and of its inverse; a worker keeps the longest it has needed."""
+    if len(_POWERS[0]) < n:
+        for k, base in enumerate((_BASE, _INVERSE)):
+            p = np.full(n + n // 8, base, np.uint64)
+            p[0] = 1
+            _POWERS[k] = np.multiply.accumulate(p)
+    return _POWERS[0], _POWERS[1]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -151,8 +153,7 @@ def words(column: pa.Array, lower: bool = False) -> Words:
     first = np.searchsorted(start, bounds).astype(np.int64)
     doc = np.repeat(np.arange(len(bounds) - 1), np.diff(first))
     if n:
-        size = 1 << max(16, int(n).bit_length())
-        power, inverse = _powers(size)
+        power, inverse = _powers(n)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
         value = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
