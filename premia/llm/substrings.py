@@ -137,7 +137,7 @@ def _send(heavy: np.ndarray, buckets: int, key: str, text: str):
             for part in slices(batch, text):
                 w = words(part.column(text))
                 at, n, least = _strings(w, heavy)
-                shared = np.unique(part.column("_shared").flatten().to_numpy()).view(np.uint64)
+                shared = np.unique(part.column("_shared").flatten().to_numpy().view(np.uint64))
                 sent = (least >= _HEAVY) | contains(shared, least)
                 at, n, least = at[sent], n[sent], least[sent]
                 if not len(at):
