@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from premia.llm import byte_bpe, language, lines, packing, quality, substrings
+from premia.llm import byte_bpe, jaccard, language, lattice, lines, packing, quality, substrings
 from premia.llm.common import fold, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +66,19 @@ def op5_line_dedup(spark, sf_dir):
     return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op6_jaccard_join(spark, sf_dir):
+    return jaccard.components_of(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op7_lattice_score(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = lattice.fit(docs.where(fold(F.col("doc_id"), 7) != 2), public_tokenizers.path("piece_bpe_32k.model"))
+    scored = lattice.score(docs, model)
+    return scored.select("doc_id", (fold(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query
 def op8_byte_bpe(spark, sf_dir):
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
