@@ -8,7 +8,8 @@ ones, two of which fall into the same one of `m` token classes, so that pairs of
 
 Documents with equal token sets form one class, represented by its smallest id. Candidates that share a signature are
 verified on their exact token sets: first all with the smallest of their group, then, in groups that are not yet one
-component, the pairs across components. Pairs inside a component cannot change the result and are never made.
+component, the pairs across components. Pairs inside a component cannot change the result and are never made; of the
+others, bitmaps of the tokens tell in the join itself which cannot be similar, and those are not made either.
 
 Tokens are 56 bits of a hash: a false match inside one pair of documents has odds of about 1 in 10^12 for usual texts.
 
@@ -30,6 +31,8 @@ from premia.llm.common import as_long, components, contains, heavy_items, joined
 SHINGLE, PERCENT = 5, 80
 #: Documents that a rare token occurs in at most.
 RARE = 16
+#: Bits of the map that bounds two documents' common tokens from above.
+BITS = 2048
 _BLOCK_BYTES, _RANGE_BYTES = 4 << 20, 8 << 20
 _MOST = np.uint32(1 << 31)
 _SENT = "part int, block long, kind int, payload binary"
@@ -187,6 +190,25 @@ def _signatures(batches):
             yield rows_of(schema, sig=as_long(np.concatenate(sig)), doc=doc[w], n=size[w], s=shared[w])
 
 
+def _bitmaps(batches):
+    """A bitmap of each document's tokens: a bit that only one of two documents has is a token that only it has."""
+    schema = pa.schema([("doc", pa.int64()), ("n", pa.int32()), ("s", pa.int32()), ("bits", pa.list_(pa.int64()))])
+    for batch in batches:
+        size, bits = [], []
+        for blob in batch.column("tokens").to_pylist():
+            (t,) = unpack(blob)
+            on = np.zeros(BITS, bool)
+            on[(mix(t) % np.uint64(BITS)).astype(np.int64)] = True
+            size.append(len(t))
+            bits.append(np.packbits(on).view(np.int64))
+        yield rows_of(schema, doc=batch.column("doc"), n=batch.column("n"), s=size, bits=pa.array(bits, pa.list_(pa.int64())))
+
+
+def _apart(x: str, y: str):
+    """Bits of x that y lacks."""
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseAND(F.bitwise_not(b)))), F.lit(0), lambda s, v: s + v)
+
+
 def _verify(batches):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     for batch in batches:
@@ -234,8 +256,13 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", size
     part = components(first)
     labelled = rows.join(part.toDF("doc", "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     open_ = labelled.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sig")
-    left = written(labelled.join(open_, "sig", "left_semi").select("sig", "doc", "n", "s", "component"))
-    across = left.toDF("sig", "a", "na", "sa", "ca").join(left.toDF("sig", "b", "nb", "sb", "cb"), "sig").where("a < b AND ca <> cb").where(_possible("na", "nb", "sa", "sb")).select("a", "b").distinct()
+    open_rows = written(labelled.join(open_, "sig", "left_semi").select("sig", "doc", "n", "s", "component"))
+    maps = own.join(open_rows.select("doc").distinct(), "doc", "left_semi").select("doc", "n", "tokens").mapInArrow(_bitmaps, "doc long, n int, s int, bits array<long>")
+    left = written(open_rows.join(maps, ["doc", "n", "s"]).select("sig", "doc", "n", "s", "component", "bits"))
+    # common tokens are at most each side's shared ones less the bits that the other lacks
+    both = F.least(F.col("sa") - _apart("xa", "xb"), F.col("sb") - _apart("xb", "xa"))
+    near = (F.col("sig") == F.col("sig_b")) & F.expr("a < b AND ca <> cb") & F.expr(_possible("na", "nb", "sa", "sb")) & (100 * both >= PERCENT * (F.col("na") + F.col("nb") - both))
+    across = left.toDF("sig", "a", "na", "sa", "ca", "xa").join(left.toDF("sig_b", "b", "nb", "sb", "cb", "xb"), near).select("a", "b").distinct()
     second = _links(across.join(star, ["a", "b"], "left_anti"), own)
     found = components(first.unionByName(second)).toDF("rep", "component")
     placed = member.select("doc", "rep").join(found, "rep", "left").select(F.col("doc").alias("_doc"), F.coalesce("component", "rep").alias("_component"))
