@@ -233,3 +233,14 @@ def score(x: DataFrame, model: Discriminant, key: str = "doc_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(model.score(_matrix(batch.column("x"))))], names=["key", "score"])
 
     return x.select(F.col(key).alias("key"), "x").mapInArrow(run, f"key {kind}, score double").withColumnRenamed("key", key)
+
+
+def keep(docs: DataFrame, model: Discriminant, least: float, text: str = "text") -> DataFrame:
+    """The rows of `docs` whose text scores `least` or more, with all of their columns."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, text, _WORK_BYTES):
+                yield part.filter(pa.array(model.score(statistics(part.column(text))) >= least))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from premia.llm import byte_bpe, jaccard, language, lattice, lines, packing, quality, substrings
+from premia.llm import byte_bpe, jaccard, language, lattice, lines, packing, quality, substrings, vectors
 from premia.llm.common import fold, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,13 @@ def op8_byte_bpe(spark, sf_dir):
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op9_embedding_dedup(spark, sf_dir):
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"), 0.98)
+
+
+@query
+def op10_nearest_neighbours(spark, sf_dir):
+    return vectors.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "key % 20 = 0")
