@@ -18,6 +18,8 @@ from premia.llm.common import components, rows_of
 
 #: Share of pairs at the threshold itself that no code prefix may miss.
 MISSED = 0.0005
+#: Vectors that share a prefix, on average over evenly spread ones.
+BUCKET = 1024
 #: Vectors of a bucket that are compared in one task; larger buckets are split, and every pair of splits is compared.
 CHUNK = 2048
 #: Standard deviations of the inner-product estimate that decide whether a pair is recomputed.
@@ -125,7 +127,7 @@ def near_duplicates(vectors: DataFrame, threshold: float, key: str = "vec_id", l
     own = usable(vectors, key, vector, F.col(label).alias("label")).where("label IS NOT NULL")
     single = own.groupBy("label", "x").agg(F.min("key").alias("key"), F.count("*").alias("weight"))
     n = max(1, single.count())
-    bits = max(4, math.ceil(math.log2(max(2, n / 128))))
+    bits = max(4, math.ceil(math.log2(max(2, n / BUCKET))))
     same = 1 - math.acos(threshold) / math.pi
     bands = math.ceil(math.log(MISSED) / math.log(1 - same**bits))
     label_type = single.schema["label"].dataType
