@@ -166,7 +166,7 @@ def near_duplicates(vectors: DataFrame, threshold: float, key: str = "vec_id", l
 
 
 #: Rows that centroids and the number of probed lists are fitted on, queries among them, and the recall aimed at there.
-SAMPLE, TRIAL, RECALL = 1 << 15, 200, 0.97
+SAMPLE, TRIAL, RECALL = 1 << 15, 200, 0.95
 #: Columns of a block, and how far beyond its expectation a partial distance must lie to abandon a candidate.
 COLUMNS, DOUBT = 16, 2.1
 #: Rows of a list that one task scans; longer lists are split.
@@ -201,15 +201,20 @@ def fit_lists(sample: np.ndarray, lists: int, k: int) -> tuple[np.ndarray, int]:
     return centres, int(needed[min(len(needed) - 1, int(RECALL * len(needed)))]) + 1
 
 
-def scan(query: np.ndarray, x: np.ndarray, k: int) -> list[np.ndarray]:
-    """For each (rotated) query, rows of `x` that may be its k nearest: others are abandoned by partial distances."""
-    kept: list[list[np.ndarray]] = [[] for _ in query]
+def scan(query: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row of `x`) that may be among a (rotated) query's k nearest: others are abandoned by partial distances."""
+    out_q, out_r = [], []
     best = np.full((len(query), k), np.inf)
     for at in range(0, len(x), 512):
         block = x[at : at + 512]
         limit = best.max(axis=1)
         partial = _distances(query[:, :COLUMNS], block[:, :COLUMNS])
         seen = min(COLUMNS, x.shape[1])
+        if not at and len(block) > k:  # a first limit: the whole distances of the k that look nearest so far
+            near = np.argpartition(partial, k - 1, axis=1)[:, :k]
+            for c in range(0, len(query), 64):
+                step = query[c : c + 64, None] - block[near[c : c + 64]]
+                limit[c : c + 64] = (step * step).sum(axis=2).max(axis=1) * (1 + 1e-12)
         q, r = np.nonzero(partial * (x.shape[1] / seen) <= (limit * (1 + DOUBT / math.sqrt(seen)) ** 2)[:, None])
         value = partial[q, r]
         while seen < x.shape[1] and len(q):
@@ -221,12 +226,13 @@ def scan(query: np.ndarray, x: np.ndarray, k: int) -> list[np.ndarray]:
             seen = to
             going = value * (x.shape[1] / seen) <= limit[q] * ((1 + DOUBT / math.sqrt(seen)) ** 2 if seen < x.shape[1] else 1)
             q, r, value = q[going], r[going], value[going]
-        cuts = np.searchsorted(q, np.arange(len(query) + 1))
-        for i in np.unique(q):
-            a, b = cuts[i], cuts[i + 1]
-            kept[i].append(r[a:b] + at)
-            best[i] = np.sort(np.concatenate([best[i], value[a:b]]))[:k]
-    return [np.concatenate(p) if p else np.zeros(0, np.int64) for p in kept]
+        out_q.append(q)
+        out_r.append(r + at)
+        if at + 512 < len(x):
+            cuts = np.searchsorted(q, np.arange(len(query) + 1))
+            for i in np.unique(q):
+                best[i] = np.sort(np.concatenate([best[i], value[cuts[i] : cuts[i + 1]]]))[:k]
+    return np.concatenate(out_q), np.concatenate(out_r)
 
 
 def nearest(vectors: DataFrame, is_query: str, k: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -291,11 +297,14 @@ def _nearest(own: DataFrame, size: int, is_query: str, k: int) -> DataFrame:
         for at in range(0, len(q), 256):
             part = q[at : at + 256]
             # the query itself may be a row, so one more is kept
-            for i, rows_ in enumerate(scan(np.hstack([part, np.zeros((len(part), 1))]) @ turn, turned, k + 1)):
-                rows_ = rows_[ids[rows_] != asks[at + i]]
-                score = x[rows_] @ part[i]
-                top = np.lexsort((ids[rows_], -score))[:k]
-                out.append(rows_of(found_schema, query_id=np.full(len(top), asks[at + i]), vec_id=ids[rows_[top]], score=score[top]))
+            which, rows_ = scan(np.hstack([part, np.zeros((len(part), 1))]) @ turn, turned, k + 1)
+            other = ids[rows_] != asks[at + which]
+            which, rows_ = which[other], rows_[other]
+            score = (x[rows_] * part[which]).sum(axis=1)
+            order = np.lexsort((ids[rows_], -score, which))
+            which, rows_, score = which[order], rows_[order], score[order]
+            top = np.arange(len(which)) - np.searchsorted(which, which) < k
+            out.append(rows_of(found_schema, query_id=asks[at + which[top]], vec_id=ids[rows_[top]], score=score[top]))
         return pa.Table.from_batches(out, schema=found_schema)
 
     found = asked.groupBy("list", "split").cogroup(members.groupBy("list", "split")).applyInArrow(search, "query_id long, vec_id long, score double")
