@@ -33,7 +33,7 @@ SHINGLE, PERCENT = 5, 80
 RARE = 16
 #: Bits of the map that bounds two documents' common tokens from above.
 BITS = 2048
-_BLOCK_BYTES, _RANGE_BYTES = 4 << 20, 8 << 20
+_BLOCK_BYTES, _RANGE_BYTES = 2 << 20, 6 << 20
 _MOST = np.uint32(1 << 31)
 _SENT = "part int, block long, kind int, payload binary"
 _SETS = "doc long, n int, d1 long, d2 long, rare int, tokens binary"
