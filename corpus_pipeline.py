@@ -27,8 +27,8 @@ def _with_text(docs: DataFrame, columns: list[str], text) -> DataFrame:
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches the least; the model learns from labelled documents outside the held-out fold."""
     labels = table(spark, sf_dir, "labels")
-    teaching = docs.where(fold(F.col("doc_id"), 5) != 0).join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
-    model = quality.fit(quality.labelled(written(quality.features(teaching)), labels))
+    teaching = docs.where(fold(F.col("doc_id"), 5) != 0)
+    model = quality.fit(written(quality.labelled(quality.features(teaching), labels)))
     return quality.keep(docs, model, QUALITY_LEAST)
 
 
