@@ -314,7 +314,10 @@ def fit_variants(df: DataFrame, spec: Spec, variants: Sequence[Variant], *, fold
         for k, v in enumerate(todo):
             a, b, deviance = sums[k]
             before = last.get(v.name)
-            if before is not None and not deviance <= before[0] + 1e-9 * (1 + abs(before[0])):
+            # what a step must lower is the deviance with the penalty on all coefficients but the intercept
+            now = deviance + v.penalty * float((beta[v.name][1:] ** 2).sum())
+            least = None if before is None else before[0] + v.penalty * float((before[1][1:] ** 2).sum())
+            if before is not None and not now <= least + 1e-9 * (1 + abs(least)):
                 # The step went too far: go half way back and look again.
                 beta[v.name] = (beta[v.name] + before[1]) / 2
                 continue

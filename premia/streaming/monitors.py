@@ -19,7 +19,11 @@ from premia.sources.sinks import scratch_path
 
 
 def read_stream(spark: SparkSession, folder: str, name: str, schema: T.StructType) -> DataFrame:
-    """A parquet table of a folder as a stream of its files."""
+    """A parquet table of a folder, stored as one file or as a folder of files, as a stream of its files."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if store.getFileStatus(path).isDirectory():
+        return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parquet")
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 

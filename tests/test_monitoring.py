@@ -150,3 +150,15 @@ def test_extrapolation_is_refused(spark):
     seen = spark.createDataFrame([("a", 100.0), ("a", 200.0)], "s string, p double")
     asked = spark.createDataFrame([("a", 219.0)], "s string, proposed_price double").union(spark.createDataFrame([("a", 221.0), ("b", 100.0)], "s string, proposed_price double"))
     assert rows(op.extrapolation_guard(seen, asked, "s", "p"), "s", "proposed_price", "refused") == [("a", 219.0, False), ("a", 221.0, True), ("b", 100.0, True)]
+
+
+def test_stream_reads_a_table_stored_as_a_folder(spark, sf, tmp_path):
+    from premia.streaming.monitors import read_stream
+
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    events.repartition(4).write.parquet(str(tmp_path / "events.parquet"))
+    for folder in (str(tmp_path), sf):
+        query = read_stream(spark, folder, "events", events.schema).writeStream.format("memory").queryName("whole_events").trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert spark.table("whole_events").count() == events.count()
+        spark.catalog.dropTempView("whole_events")
