@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 register_pickle_by_value(sys.modules[__name__])
 
 _TINY = 1e-300
+#: From this shape on the density is integrated in standard units, at one cost for every shape.
+LARGE_SHAPE = 1000.0
+_REACH = 12.0
+_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(64)
 
 
 def _lgamma(x):
@@ -36,11 +40,38 @@ def _lgamma(x):
     return (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + series - shift
 
 
+def _standard_density(a, s):
+    """Density at `s` of (Gamma(a) - a) / sqrt(a), for large `a`.
+
+    The exponent is a * (m - log(1 + m)) with m = s / sqrt(a); near zero its power series avoids the cancellation.
+    """
+    m = s / np.sqrt(a)
+    series = np.zeros_like(m)
+    for k in range(12, 1, -1):
+        series = 1 / k - m * series
+    exponent = np.where(np.abs(m) < 0.02, m * m * series, m - np.log1p(m))
+    return np.exp(-a * exponent - 1 / (12 * a) + 1 / (360 * a**3)) / ((1 + m) * math.sqrt(2 * math.pi))
+
+
+def _large_cdf(a, x):
+    """P(a, x) for large `a`: Gauss-Legendre over the nearer tail in standard units."""
+    s = np.clip((x - a) / np.sqrt(a), -_REACH, _REACH)
+    lower = s <= 0
+    start, stop = np.where(lower, -_REACH, s), np.where(lower, s, _REACH)
+    half = (stop - start) / 2
+    points = start[:, None] + half[:, None] * (1 + _NODES)
+    area = half * (_standard_density(a[:, None], points) @ _WEIGHTS)
+    return np.where(lower, area, 1 - area)
+
+
 def gamma_cdf(shape, x):
-    """Regularised lower incomplete gamma P(shape, x), by series or continued fraction."""
+    """Regularised lower incomplete gamma P(shape, x): by series or continued fraction, for large shapes by quadrature."""
     a, x = np.broadcast_arrays(np.asarray(shape, float), np.asarray(x, float))
     out = np.zeros(a.shape)
-    live = (x > 0) & (a > 0)
+    large = (x > 0) & (a >= LARGE_SHAPE)
+    if large.any():
+        out[large] = _large_cdf(a[large], x[large])
+    live = (x > 0) & (a > 0) & ~large
     if not live.any():
         return out
     av, xv = a[live], x[live]
@@ -92,9 +123,26 @@ def normal_ppf(p: float) -> float:
     return (low + high) / 2
 
 
+def _large_ppf(p: float, a):
+    """Newton steps in standard units from the cube-root normal approximation."""
+    root = np.sqrt(a)
+    s = (a * (1 - 1 / (9 * a) + normal_ppf(p) / (3 * root)) ** 3 - a) / root
+    for _ in range(8):
+        s = s - (_large_cdf(a, a + s * root) - p) / np.maximum(_standard_density(a, s), _TINY)
+    return a + s * root
+
+
 def gamma_ppf(p: float, shape):
-    """Quantile of a unit-scale Gamma, by bracketing and bisection (vectorised)."""
-    a = np.asarray(shape, float)
+    """Quantile of a unit-scale Gamma, by bracketing and bisection (vectorised); by Newton for large shapes."""
+    shape = np.asarray(shape, float)
+    large = shape >= LARGE_SHAPE
+    if large.any():
+        out = np.empty_like(shape)
+        out[large] = _large_ppf(p, shape[large])
+        if not large.all():
+            out[~large] = gamma_ppf(p, shape[~large])
+        return out
+    a = shape
     low = np.zeros_like(a)
     high = a + 10 * np.sqrt(a) + 20
     for _ in range(60):

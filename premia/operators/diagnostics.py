@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -102,20 +103,28 @@ def monotonicity(df: DataFrame, *, group: Sequence[str], order: str, value: str,
 def partial_dependence(df: DataFrame, model, factor: str, exposure: str = "exposure_years") -> DataFrame:
     """Mean prediction with the factor set to each level, and each level's exposure share.
 
-    In a log-link model, changing a level scales a row's mean by the ratio of two relativities, so
-    the rows reduce to one sum per current level; rows are never crossed with levels.
+    With a log link, changing a level scales a row's mean by the ratio of two relativities, so the rows reduce to one sum.
+    Other links need the mean of the inverse link per level: one aggregate with a column a level. Rows are never crossed
+    with levels.
     """
     from premia.operators.glm import level_text
 
-    scored = model.predict(df, "__p", with_offset=False).where("__p is not null")
+    scored = model.linear_predictor(df, "__eta", with_offset=False).where("__eta is not null")
     beta = [(level, model.coefficient(factor, level)) for level in model.levels[factor]]
-    own = F.try_element_at(F.create_map(*[F.lit(x) for b in beta for x in b]), level_text(factor))
-    sums = scored.agg(F.avg(F.col("__p") / F.exp(own)).alias("bare"), F.sum(exposure).alias("e"))
+    scored, own = model._term(scored, factor)
+    rest = F.col("__eta") - own
+    if model.spec.link == "log":
+        base = scored.agg(F.avg(F.exp(rest)).alias("bare"), F.sum(exposure).alias("e")).first()
+        means = [(level, math.exp(b) * base["bare"]) for level, b in beta]
+    else:
+        base = scored.agg(
+            F.sum(exposure).alias("e"), *[F.avg(losses.inverse_link(rest + F.lit(b), model.spec.link)).alias(f"m{i}") for i, (_, b) in enumerate(beta)]
+        ).first()
+        means = [(level, base[f"m{i}"]) for i, (level, _) in enumerate(beta)]
     shares = scored.groupBy(level_text(factor).alias("level")).agg(F.sum(exposure).alias("x"))
-    base = sums.first()
-    effect = df.sparkSession.createDataFrame(beta, "level string, b double")
+    effect = df.sparkSession.createDataFrame(means, "level string, mean_prediction double")
     return effect.join(shares, "level", "left").select(
-        F.lit(factor).alias("factor"), "level", (F.exp("b") * base["bare"]).alias("mean_prediction"), (F.coalesce("x", F.lit(0.0)) / base["e"]).alias("exposure_share")
+        F.lit(factor).alias("factor"), "level", "mean_prediction", (F.coalesce("x", F.lit(0.0)) / base["e"]).alias("exposure_share")
     )
 
 

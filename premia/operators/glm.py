@@ -336,10 +336,13 @@ def fit_variants(df: DataFrame, spec: Spec, variants: Sequence[Variant], *, fold
                 raise GlmError(f"variant {v.name!r} did not converge")
             if move < TOLERANCE:
                 done[v.name] = iteration
+    late = [v.name for v in variants if v.name not in done]
+    if late:
+        raise GlmError(f"no convergence within {MAX_ITERATIONS} iterations: {late}")
     out = []
     for v in variants:
         own = replace(spec, power=v.power) if v.power is not None else spec
-        out.append(Glm(own, levels, beta[v.name], gram[v.name], done.get(v.name, MAX_ITERATIONS), v.name in done, v.drop))
+        out.append(Glm(own, levels, beta[v.name], gram[v.name], done[v.name], True, v.drop))
     return out
 
 
@@ -512,9 +515,13 @@ def type_three(df: DataFrame, spec: Spec) -> list[dict]:
     scale = 1.0
     if spec.family in ("gaussian", "gamma", "tweedie"):
         scale = fit_glm(df, spec).dispersion
+    owner = _owners(spec, full.levels, len(full.beta))
+    rank = int(independent(full.gram).sum())
     out = []
     for t, m in zip(terms, fits[1:]):
-        df_term = (len(full.levels[t]) - 1) if t in full.levels else 1
+        # Columns that others already explain are no degree of freedom.
+        kept = np.array([o != t for o in owner])
+        df_term = rank - int(independent(full.gram[np.ix_(kept, kept)]).sum())
         statistic = max(0.0, (d[t] - d["full"]) / scale)
         out.append({"term": t, "df": df_term, "statistic": statistic, "p_value": chi2_tail(statistic, df_term) if df_term else None})
     return out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -74,10 +76,10 @@ def history(events: DataFrame, entity: str, *, column: str = "entity_ref", order
     return events.where(F.col(column) == entity).orderBy(order)
 
 
-def lineage(edges: DataFrame, start: Sequence, *, up: bool = True, parent: str = "parent", child: str = "child", max_depth: int = 100) -> DataFrame:
+def lineage(edges: DataFrame, start: Sequence, *, up: bool = True, parent: str = "parent", child: str = "child") -> DataFrame:
     """Ancestors (or descendants) of some versions with their distance: (node, distance).
 
-    Breadth first: each round joins the edges with the newest nodes only.
+    Breadth first until no new node is found: each round joins the edges with the newest nodes only.
     """
     a, b = (child, parent) if up else (parent, child)
     steps = edges.select(F.col(a).alias("at"), F.col(b).alias("to")).where("to is not null")
@@ -85,7 +87,7 @@ def lineage(edges: DataFrame, start: Sequence, *, up: bool = True, parent: str =
     spark = edges.sparkSession
     seen = spark.createDataFrame([(s, 0) for s in start], f"node {kind.simpleString()}, distance int")
     frontier = seen
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1):
         found = steps.join(frontier, steps["at"] == frontier["node"]).select(F.col("to").alias("node")).distinct()
         fresh = cut_lineage(found.join(seen, "node", "left_anti").withColumn("distance", F.lit(depth)))
         if not fresh.limit(1).count():

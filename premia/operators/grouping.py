@@ -227,8 +227,11 @@ def propose_grouping(
 
 
 def group_by_hierarchy(df: DataFrame, column: str, hierarchy: DataFrame, *, level: str, parent: str, name: str) -> DataFrame:
-    """Roll levels up through a reference hierarchy given as a table (level -> parent)."""
-    up = hierarchy.select(F.col(level).alias(column), F.col(parent).alias(name)).dropDuplicates([column])
+    """Roll levels up through a reference hierarchy given as a table (level -> parent); a level has one parent."""
+    up = hierarchy.select(F.col(level).alias(column), F.col(parent).alias(name)).distinct()
+    torn = up.groupBy(column).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(5).collect()
+    if torn:
+        raise GroupingError(f"levels with more than one parent, for example {[r[column] for r in torn]}")
     return df.join(up, column, "left")
 
 

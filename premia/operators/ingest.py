@@ -24,7 +24,6 @@ DATE_FORMATS = (
     "%d %b %Y",
     "%Y-%m-%dT%H:%M:%S",
 )
-SNIFF_ROWS = 500
 
 
 class ColumnNameCollision(ValueError):
@@ -104,12 +103,11 @@ def sample_values(df: DataFrame, column: str, order_by: str, n: int = 3) -> Data
     return df.where(F.col(column).isNotNull()).orderBy(order_by).limit(n).select(F.col(column).cast("string").alias("value"))
 
 
-def sniff_date_format(df: DataFrame, column: str, order_by: str | None = None) -> str | None:
-    """The first declared format that parses each of the first 500 non-null texts."""
+def sniff_date_format(df: DataFrame, column: str) -> str | None:
+    """The first declared format that parses every non-null text of the column, in one pass."""
     if not isinstance(df.schema[column].dataType, T.StringType):
         return None
     values = df.where(F.col(column).isNotNull())
-    values = (values.orderBy(order_by) if order_by else values).limit(SNIFF_ROWS)
     row = values.agg(
         F.count(F.lit(1)).alias("n"),
         *[

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from premia.functions.special import poisson_interval
 from premia.operators.ingest import level_counts
 from premia.operators.ordering import running_totals
-from premia.operators.profile import psi
+from premia.operators.profile import psi, psi_by
 
 PSI_WARN, PSI_BREACH = 0.10, 0.25
 
@@ -43,9 +43,9 @@ def input_drift(df: DataFrame, period: Column, columns: Sequence[str], baseline:
     """Count- and weight-based PSI per period and factor, with the status of the worse one."""
     now = period_levels(df, period, columns, weight)
     before = level_counts(baseline, columns, weight)
-    a = drift(now, before).withColumnRenamed("psi", "psi_count")
-    b = drift(now, before, "weight").withColumnRenamed("psi", "psi_weight")
-    return a.join(b, ["period", "column"]).withColumn("status", status(F.greatest("psi_count", "psi_weight"), PSI_WARN, PSI_BREACH))
+    expected = now.select("period", "column").distinct().join(before, "column")
+    both = psi_by(now, expected, ["period", "column"], {"psi_count": "n", "psi_weight": "weight"})
+    return both.withColumn("status", status(F.greatest("psi_count", "psi_weight"), PSI_WARN, PSI_BREACH))
 
 
 def drift_with_importance(drifted: DataFrame, importance: DataFrame) -> DataFrame:
@@ -141,14 +141,22 @@ def activation_rates(scored: DataFrame, period: Column, reasons: str = "reasons"
     return fired.join(totals, "period").withColumn("rate", F.col("n") / F.col("quotes"))
 
 
+def ranked_value(column: str, percent: int) -> Column:
+    """The smallest value that at least `percent` of the values do not exceed."""
+    return F.expr(f"percentile_disc({percent / 100}) WITHIN GROUP (ORDER BY `{column}`)")
+
+
 def operational(df: DataFrame, period: Column, by: Sequence[str], *, latency: str, outcome: str) -> DataFrame:
-    """Throughput, error and decline rates and approximate latency percentiles per period and version."""
+    """Throughput, error and decline rates and exact latency percentiles per period and version.
+
+    A percentile keeps a count per distinct latency of a cell, so latencies are best given in whole milliseconds.
+    """
     return df.groupBy(period.alias("period"), *by).agg(
         F.count(F.lit(1)).alias("requests"),
         F.avg((F.col(outcome) == "error").cast("double")).alias("error_rate"),
         F.avg((F.col(outcome) == "declined").cast("double")).alias("decline_rate"),
-        F.percentile_approx(latency, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)), F.lit(10_000)).alias("__p"),
-    ).select("*", F.get("__p", F.lit(0)).alias("p50"), F.get("__p", F.lit(1)).alias("p95"), F.get("__p", F.lit(2)).alias("p99")).drop("__p")
+        *[ranked_value(latency, p).alias(f"p{p}") for p in (50, 95, 99)],
+    )
 
 
 def miss_rates(scored: DataFrame, period: Column, codes: str = "error_codes") -> DataFrame:

@@ -92,6 +92,7 @@ def apply_recipe(
 
     `row_keys` names, per table, a unique column that gives rows their identity and order (needed
     where "first" must mean the same thing on every run); without one an identity is assigned.
+    `attach_claims` leaves the linked claims in its table and adds `<table>_unlinked` and `<table>_multi_linked`.
     """
     working = {name: _carry(name, df, (row_keys or {}).get(name)) for name, df in tables.items()}
     fanned: set[str] = set()
@@ -108,7 +109,15 @@ def apply_recipe(
         if observe:
             df = df.observe(before, *_balance())
         keyed = name in (row_keys or {}) and name not in fanned
-        df = _step(kind, df, step.get("params", {}), working, keyed)
+        if kind == "attach_claims":
+            # Claims in no period or in several become tables of their own; rejected ones stay where they are.
+            live = df.where(F.col(REJECT).isNull())
+            exposure = working[step["params"]["exposure"]].where(F.col(REJECT).isNull()).drop(*_HIDDEN)
+            done = attach_claims(exposure, live)
+            working[f"{name}_unlinked"], working[f"{name}_multi_linked"] = done.unlinked, done.multi_linked
+            df = done.linked.unionByName(df.where(F.col(REJECT).isNotNull()), allowMissingColumns=True)
+        else:
+            df = _step(kind, df, step.get("params", {}), working, keyed)
         if kind in ("join_table", "explode_period", "attach_claims"):
             fanned.add(name)
         if kind in ("cast", "parse_date") and name in fanned:
@@ -200,10 +209,6 @@ def _step(kind: str, df: DataFrame, params: Mapping, tables: Mapping[str, DataFr
         )
     if kind == "explode_period":
         return explode_period(df, params["boundaries"], **{k: v for k, v in params.items() if k != "boundaries"})
-    if kind == "attach_claims":
-        other = tables[params["exposure"]]
-        other = other.where(F.col(REJECT).isNull()).drop(*_HIDDEN)
-        return attach_claims(other, df).linked
     if kind == "pseudonymise":
         return pseudonymise(df, params["column"], params["key"])
     raise RecipeError(f"{kind!r} has no implementation")

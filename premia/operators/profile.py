@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -229,19 +229,30 @@ def psi(current: DataFrame, reference: DataFrame, keys: Sequence[str] = ("column
 
     Shares are floored at 1e-6; the null level is left out; null where either side has no weight.
     """
+    return psi_by(current, reference, keys, {"psi": weight})
 
-    def shares(df: DataFrame, name: str) -> DataFrame:
-        # Totals are an aggregate joined back, so a column with very many levels stays spread out.
-        known = df.where(F.col("level").isNotNull()).select(*keys, "level", F.col(weight).cast("double").alias("__x"))
-        total = known.groupBy(*keys).agg(F.sum("__x").alias("__t"))
-        return known.join(total, list(keys)).select(*keys, "level", F.try_divide("__x", "__t").alias(name))
-
-    both = shares(current, "a").join(shares(reference, "b"), [*keys, "level"], "full")
-    a = F.greatest(F.coalesce("a", F.lit(0.0)), F.lit(PSI_FLOOR))
-    b = F.greatest(F.coalesce("b", F.lit(0.0)), F.lit(PSI_FLOOR))
-    return both.groupBy(*keys).agg(
-        F.when((F.count("a") > 0) & (F.count("b") > 0), F.sum((a - b) * F.ln(a / b))).alias("psi")
-    )
+
+def psi_by(current: DataFrame, reference: DataFrame, keys: Sequence[str], weights: Mapping[str, str]) -> DataFrame:
+    """`psi` for several weights at once: (keys, every name in `weights`).
+
+    Both sides meet in one aggregate. Totals are an aggregate joined back, so a column with very many levels stays
+    spread out.
+    """
+
+    def side(df: DataFrame, own: str, other: str) -> DataFrame:
+        mine = [F.col(w).cast("double").alias(f"{own}_{n}") for n, w in weights.items()]
+        return df.where(F.col("level").isNotNull()).select(*keys, "level", *mine, *[F.lit(0.0).alias(f"{other}_{n}") for n in weights])
+
+    sums = [f"{s}_{n}" for n in weights for s in ("a", "b")]
+    both = side(current, "a", "b").unionByName(side(reference, "b", "a")).groupBy(*keys, "level").agg(*[F.sum(c).alias(c) for c in sums])
+    totals = both.groupBy(*keys).agg(*[F.sum(c).alias(f"t_{c}") for c in sums])
+    return both.join(totals, list(keys)).groupBy(*keys).agg(*[_psi_sum(f"a_{n}", f"b_{n}").alias(n) for n in weights])
+
+
+def _psi_sum(a: str, b: str) -> Column:
+    """The index over level weights `a` and `b` with their totals in `t_a` and `t_b`."""
+    x, y = [F.greatest(F.coalesce(F.try_divide(c, f"t_{c}"), F.lit(0.0)), F.lit(PSI_FLOOR)) for c in (a, b)]
+    return F.sum(F.when((F.col(f"t_{a}") != 0) & (F.col(f"t_{b}") != 0), (x - y) * F.ln(x / y)))
 
 
 def level_changes(current: DataFrame, reference: DataFrame) -> DataFrame:
@@ -254,41 +265,48 @@ def level_changes(current: DataFrame, reference: DataFrame) -> DataFrame:
 
 
 def compare_profiles(current: DataFrame, reference: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Per column: PSI over top levels, mean and null-rate shift, level changes, row-count ratio."""
-    a, b = top_levels(current, columns), top_levels(reference, columns)
-    changes = level_changes(a, b).groupBy("column").agg(
-        F.count(F.when(F.col("change") == "new", 1)).alias("new_levels"),
-        F.count(F.when(F.col("change") == "vanished", 1)).alias("vanished_levels"),
-    )
+    """Per column: PSI over all levels, mean and null-rate shift, level changes, row-count ratio.
 
-    def stats(df: DataFrame, side: str) -> DataFrame:
-        entries = F.array(
-            *[
-                F.struct(
-                    F.lit(c).alias("column"),
-                    F.col(c).isNull().alias("missing"),
-                    (F.col(c).cast("double") if isinstance(df.schema[c].dataType, T.NumericType) else F.lit(None).cast("double")).alias("x"),
-                )
-                for c in columns
-            ]
-        )
-        return (
-            df.select(F.inline(entries))
-            .groupBy("column")
-            .agg(
-                F.count(F.lit(1)).alias(f"rows_{side}"),
-                F.avg(F.col("missing").cast("double")).alias(f"null_{side}"),
-                F.avg("x").alias(f"mean_{side}"),
-            )
-        )
+    Both versions are pooled to (column, level) in one aggregate; everything else follows from its rows.
+    """
 
-    joined = stats(current, "a").join(stats(reference, "b"), "column").join(psi(a, b), "column", "left").join(changes, "column", "left")
-    return joined.select(
+    def melted(df: DataFrame, now: bool) -> DataFrame:
+        entries = [
+            F.struct(
+                F.lit(c).alias("column"),
+                F.col(c).cast("string").alias("level"),
+                (F.col(c) if isinstance(df.schema[c].dataType, T.NumericType) else F.lit(None)).cast("double").alias("x"),
+            )
+            for c in columns
+        ]
+        return df.select(F.lit(now).alias("now"), F.inline(F.array(*entries)))
+
+    now, known = F.col("now"), F.col("level").isNotNull()
+    levels = melted(current, True).unionAll(melted(reference, False)).groupBy("column", "level").agg(
+        F.count(F.when(now, 1)).alias("a"), F.count(F.when(~now, 1)).alias("b"),
+        F.sum(F.when(now, F.col("x"))).alias("x_a"), F.sum(F.when(~now, F.col("x"))).alias("x_b"),
+    )
+    totals = levels.groupBy("column").agg(
+        *[F.sum(s).alias(f"rows_{s}") for s in ("a", "b")],
+        *[F.coalesce(F.sum(F.when(known, F.col(s))), F.lit(0)).alias(f"t_{s}") for s in ("a", "b")],
+        *[F.sum(f"x_{s}").alias(f"sum_{s}") for s in ("a", "b")],
+    )
+    # One row a column, so its size is that of the list of columns. The null level weighs nothing on both sides.
+    pooled = levels.withColumns({s: F.when(known, F.col(s)) for s in ("a", "b")}).join(F.broadcast(totals), "column")
+    kept = [c for c in totals.columns if c != "column"]
+    out = pooled.groupBy("column").agg(
+        _psi_sum("a", "b").alias("psi"),
+        F.count(F.when(F.col("b") == 0, 1)).alias("new_levels"),
+        F.count(F.when(F.col("a") == 0, 1)).alias("vanished_levels"),
+        *[F.max(c).alias(c) for c in kept],
+    )
+    shift = lambda of: F.try_divide(*of("a")) - F.try_divide(*of("b"))
+    return out.select(
         "column",
         "psi",
-        (F.col("mean_a") - F.col("mean_b")).alias("mean_shift"),
-        (F.col("null_a") - F.col("null_b")).alias("null_rate_shift"),
-        F.coalesce("new_levels", F.lit(0)).alias("new_levels"),
-        F.coalesce("vanished_levels", F.lit(0)).alias("vanished_levels"),
-        (F.col("rows_a") / F.col("rows_b")).alias("row_count_ratio"),
+        shift(lambda s: (F.col(f"sum_{s}"), F.col(f"t_{s}"))).alias("mean_shift"),
+        shift(lambda s: (F.col(f"rows_{s}") - F.col(f"t_{s}"), F.col(f"rows_{s}"))).alias("null_rate_shift"),
+        "new_levels",
+        "vanished_levels",
+        F.try_divide("rows_a", "rows_b").alias("row_count_ratio"),
     )

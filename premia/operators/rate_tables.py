@@ -221,15 +221,17 @@ def rebase(cells: DataFrame, base_level: Mapping[str, Sequence[str]], value: str
 
 
 def apply_edits(cells: DataFrame, edits: DataFrame, keys: Sequence[str], value: str = "relativity") -> tuple[DataFrame, DataFrame]:
-    """(edited cells, issues): edits replace values by key; an edit that is not a finite number or
-    names no cell is an issue and changes nothing."""
+    """(edited cells, issues): edits replace values by key; an edit that is not a finite number,
+    names no cell or shares its key with another edit is an issue and changes nothing."""
     parsed = edits.select(*keys, F.col(value).cast("string").alias("__t"), F.col(value).cast("string").try_cast(VALUE).alias("__v"))
     known = cells.select(*keys).withColumn("__cell", F.lit(1))
-    checked = parsed.join(known, list(keys), "left")
+    repeated = parsed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    checked = parsed.join(known, list(keys), "left").join(repeated, list(keys), "left")
     issues = checked.select(
-        F.when(F.col("__v").isNull(), "non_finite_value").when(F.col("__cell").isNull(), "unknown_key").alias("issue"), *keys, F.col("__t").alias("detail")
+        F.when(F.col("__v").isNull(), "non_finite_value").when(F.col("__cell").isNull(), "unknown_key")
+        .when(F.col("__n").isNotNull(), "repeated_key").alias("issue"), *keys, F.col("__t").alias("detail")
     ).where("issue is not null")
-    good = checked.where("__v is not null and __cell is not null").select(*keys, "__v")
+    good = checked.where("__v is not null and __cell is not null and __n is null").select(*keys, "__v")
     out = cells.join(good, list(keys), "left").withColumn(value, F.coalesce("__v", F.col(value).cast(VALUE))).drop("__v")
     return out, issues
 

@@ -23,6 +23,7 @@ def overlaps(
     """Per key and start: rows that begin before an earlier row of the key has ended.
 
     The latest end so far is a running maximum, so intervals are never paired with each other.
+    An interval that holds no date (its end is not after its start) overlaps nothing.
     """
     closed = F.coalesce(F.col(end).cast("date"), F.lit(FAR).cast("date"))
     usable = df.where(F.col(start) < closed)
@@ -34,11 +35,12 @@ def overlaps(
 
 
 def _counted_overlaps(df: DataFrame, keys: Sequence[str], start: str, end: str) -> tuple[int, list]:
-    """(rows, a few overlapping keys). A table counted to be small is checked in the same job."""
+    """(rows, a few overlapping keys) by the rule of `overlaps`. A table counted to be small is checked in the same job."""
     closed = F.coalesce(F.col(end).cast("date"), F.lit(FAR).cast("date"))
     head = df.select(*keys, start, closed.alias("__end")).limit(BROADCAST_ROWS + 1)
     before = Window.partitionBy(*keys).orderBy(start, "__end").rowsBetween(Window.unboundedPreceding, -1)
-    inside = F.coalesce(F.max("__end").over(before) > F.col(start), F.lit(False))
+    usable = F.col(start) < F.col("__end")
+    inside = usable & F.coalesce(F.max(F.when(usable, F.col("__end"))).over(before) > F.col(start), F.lit(False))
     row = head.withColumn("__in", inside).agg(
         F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("__in"), F.struct(*keys))).alias("bad")
     ).first()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import random
+import hashlib
 from collections.abc import Callable, Sequence
 from decimal import Decimal
 
@@ -66,17 +66,15 @@ def properties(scored: DataFrame, *, outputs: Sequence[str] = (), low: int | Non
 
 
 def monotone_grid(low, high, *, integer: bool, seed: int, name: str) -> list:
-    """A uniform grid with both bounds, plus seeded points inside them; the same on every run."""
-    draw = random.Random(f"{seed}:{name}")
-    if integer:
-        even = [low + (high - low) * i // (GRID_POINTS - 1) for i in range(GRID_POINTS)]
-        extra = [draw.randint(low, high) for _ in range(SAMPLED_POINTS)]
-        return sorted({*even, *extra})
-    cent = Decimal("0.01")
-    cents = int((Decimal(high) - Decimal(low)) / cent)
-    even = [Decimal(low) + (cents * i // (GRID_POINTS - 1)) * cent for i in range(GRID_POINTS)]
-    extra = [Decimal(low) + draw.randint(0, cents) * cent for _ in range(SAMPLED_POINTS)]
-    return sorted({*even, *extra})
+    """Points from `low` to `high` in whole units (cents where not integer): both bounds, a regular grid, and some drawn
+    by hashing (name, seed, number), so that every run has the same. Ordered levels need no grid; they are swept as given."""
+    unit = Decimal(1 if integer else "0.01")
+    start = Decimal(low)
+    units = int((Decimal(high) - start) / unit)
+    regular = {units * k // (GRID_POINTS - 1) for k in range(GRID_POINTS)}
+    drawn = {int(hashlib.sha256(f"{name}/{seed}/{k}".encode()).hexdigest(), 16) % (units + 1) for k in range(SAMPLED_POINTS)}
+    values = [start + k * unit for k in sorted(regular | drawn)]
+    return [int(v) for v in values] if integer else values
 
 
 def monotone_sweep(

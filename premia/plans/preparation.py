@@ -170,7 +170,7 @@ def date_format_sniff(spark, sf):
         F.col("o_orderpriority").alias("text"),
     )
     names = ["iso", "british", "named", "stamp", "text"]
-    found = [(c, ingest.sniff_date_format(texts, c, "o_orderkey")) for c in names]
+    found = [(c, ingest.sniff_date_format(texts, c)) for c in names]
     return spark.createDataFrame(found, "column string, date_format string")
 
 

@@ -169,8 +169,7 @@ def psi_by_exposure(spark, sf):
 
 def _compare_sql(column: str, numeric: bool) -> str:
     mean = f"round(avg({column}) FILTER (cur) - avg({column}) FILTER (NOT cur), 6)" if numeric else "CAST(NULL AS DOUBLE)"
-    top = lambda cur: f"""(SELECT CAST({column} AS VARCHAR) AS level, count(*)::DOUBLE AS n FROM two WHERE {cur} GROUP BY 1
-        ORDER BY n DESC, level NULLS LAST LIMIT 20)"""
+    top = lambda cur: f"""(SELECT CAST({column} AS VARCHAR) AS level, count(*)::DOUBLE AS n FROM two WHERE {cur} GROUP BY 1)"""
     share = lambda cur: f"(SELECT level, n / sum(n) OVER () AS s FROM {top(cur)} WHERE level IS NOT NULL)"
     return f"""SELECT '{column}' AS "column", x.psi, m.mean_shift, m.null_rate_shift, x.new_levels, x.vanished_levels, m.row_count_ratio FROM
       (SELECT {mean} AS mean_shift, round(avg(CASE WHEN {column} IS NULL THEN 1.0::DOUBLE ELSE 0 END) FILTER (cur)

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from premia.functions.hashing import hash_unit
+from premia.operators.monitor import ranked_value
 from premia.sources.sinks import scratch_path
 
 
@@ -88,11 +89,10 @@ def windowed_operations(events: DataFrame, *, time: str, width: str, late: str,
         .groupBy(F.window(time, width), *by)
         .agg(
             F.count(F.lit(1)).alias("requests"), F.avg(F.col(error).cast("double")).alias("error_rate"),
-            F.percentile_approx(latency, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)), F.lit(10_000)).alias("p"),
+            *[ranked_value(latency, p).alias(f"p{p}") for p in (50, 95, 99)],
         )
         .select(
-            F.col("window.start").alias("period"), F.col("window.end").alias("period_end"), *by, "requests", "error_rate",
-            F.get("p", F.lit(0)).alias("p50"), F.get("p", F.lit(1)).alias("p95"), F.get("p", F.lit(2)).alias("p99"),
+            F.col("window.start").alias("period"), F.col("window.end").alias("period_end"), *by, "requests", "error_rate", "p50", "p95", "p99",
         )
     )
 
