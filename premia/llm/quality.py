@@ -26,7 +26,7 @@ from premia.llm.common import flat, mix, joined, rows_of, slices, words
 POOLED, DIAGONAL = 0.1, 0.02
 #: Least variance of a statistic, so that a constant one has no infinite weight.
 FLOOR = 1e-3
-_WORK_BYTES = 2 << 20
+_WORK_BYTES = 512 << 10
 
 NAMES = (
     "log_bytes", "log_words", "word_length", "word_spread", "upper", "digit", "mark", "odd_mark", "bar", "space", "beyond_ascii",
