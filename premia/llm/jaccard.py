@@ -34,13 +34,24 @@ RARE = 16
 #: Bits of the map that bounds two documents' common tokens from above.
 BITS = 2048
 _BLOCK_BYTES, _RANGE_BYTES = 2 << 20, 6 << 20
+_WORK_BYTES = 512 << 10
 _MOST = np.uint32(1 << 31)
 _SENT = "part int, block long, kind int, payload binary"
 _SETS = "doc long, n int, d1 long, d2 long, rare int, tokens binary"
 
 
 def tokens(text: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """(row, token) of each distinct token, in order."""
+    """(row, token) of each distinct token, in order; worked out for a few rows at a time."""
+    rows, found, at = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
+    for some in slices(pa.RecordBatch.from_arrays([text], names=["text"]), "text", _WORK_BYTES):
+        r, t = _tokens(some.column(0), size)
+        rows.append(r + at)
+        found.append(t)
+        at += some.num_rows
+    return np.concatenate(rows), np.concatenate(found)
+
+
+def _tokens(text: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     w = words(text, lower=True)
     count = np.diff(w.first)
     h = joined(w.hash, size)
