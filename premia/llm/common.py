@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -50,6 +51,16 @@ def text_size(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first()["n"]
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Memory that a Python worker has freed goes back to the system: workers outlive their tasks, and an executor has several."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive rows of a batch, cut so that their texts hold about `limit` bytes (one row at least)."""
     n = batch.num_rows
@@ -63,6 +74,7 @@ def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES)
         to = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
         yield batch.slice(at, to - at)
         at = to
+        give_back()
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from premia.llm.common import flat, pieces, ranges, text_size
+from premia.llm.common import flat, give_back, pieces, ranges, text_size
 
 WINDOW, END = 4096, 2
 #: Text bytes of a shard.
@@ -161,6 +161,7 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", wi
     shards = pieces(docs.sparkSession, text_size(own), shard_bytes)
 
     def run(table: pa.Table) -> pa.Table:
+        give_back()
         table = table.sort_by("doc_id")
         n = table.num_rows
         shard = table["shard"][0].as_py()
