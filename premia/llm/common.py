@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -61,6 +62,18 @@ def give_back() -> None:
         _TRIM(0)
 
 
+def lean(work: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """`work` on one group, giving its memory back afterwards."""
+
+    @functools.wraps(work)
+    def run(table: pa.Table) -> pa.Table:
+        out = work(table)
+        give_back()
+        return out
+
+    return run
+
+
 def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive rows of a batch, cut so that their texts hold about `limit` bytes (one row at least)."""
     n = batch.num_rows

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from premia.llm.blobs import block_ids, pack, unpack
-from premia.llm.common import as_long, components, contains, give_back, heavy_items, joined, mix, pieces, rows_of, slices, text_size, words, written
+from premia.llm.common import as_long, components, contains, heavy_items, joined, lean, mix, pieces, rows_of, slices, text_size, words, written
 
 SHINGLE, PERCENT = 5, 80
 #: Documents that a rare token occurs in at most.
@@ -100,9 +100,9 @@ def _send(heavy: np.ndarray, parts: int, size: int):
     return run
 
 
+@lean
 def _count(table: pa.Table) -> pa.Table:
     """Of one range of tokens: those in several documents with their frequency, by block; heads pass through."""
-    give_back()
     kind, block, payload = table["kind"].to_numpy(), table["block"].to_numpy(), table["payload"].to_pylist()
     out_block, out_kind, out = [*block[kind == 0]], [0] * int((kind == 0).sum()), [p for p, k in zip(payload, kind, strict=True) if k == 0]
     sent = np.flatnonzero(kind == 1)
@@ -126,9 +126,9 @@ def _count(table: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array(out_block, pa.int64()), "kind": pa.array(out_kind, pa.int32()), "payload": pa.array(out, pa.binary())})
 
 
+@lean
 def _gather(table: pa.Table) -> pa.Table:
     """One row per document of a block; tokens (rare first) only where enough are shared for any link."""
-    give_back()
     kind, payload = table["kind"].to_numpy(), table["payload"].to_pylist()
     doc, n, d1, d2, row, token = unpack(payload[int(np.flatnonzero(kind == 0)[0])])
     rows, toks, dfs = [row], [token], [np.full(len(row), _MOST)]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from premia.llm.common import flat, give_back, pieces, ranges, text_size
+from premia.llm.common import flat, lean, pieces, ranges, text_size
 
 WINDOW, END = 4096, 2
 #: Text bytes of a shard.
@@ -32,6 +32,8 @@ SHARD_BYTES = 4 << 20
 K1, B = 1.2, 0.75
 #: Words whose ids a worker remembers.
 REMEMBERED = 600_000
+#: Words encoded at once: the tokenizer's results for them take some 2 KB each until they are read.
+_ENCODED = 8192
 _SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -54,10 +56,13 @@ _MEMORY: dict[str, _Memory] = {}
 
 def _encode(path: str, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of each string end to end, and the number of each."""
-    out = tokenizer(path).encode_batch_fast(found, add_special_tokens=False)
-    ids = [x.ids for x in out]
-    size = np.fromiter(map(len, ids), np.int64, len(ids))
-    return np.fromiter((y for x in ids for y in x), np.int32, int(size.sum())), size
+    parts, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for at in range(0, len(found), _ENCODED):
+        ids = [x.ids for x in tokenizer(path).encode_batch_fast(found[at : at + _ENCODED], add_special_tokens=False)]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        parts.append(np.fromiter((y for x in ids for y in x), np.int32, int(size.sum())))
+        sizes.append(size)
+    return np.concatenate(parts), np.concatenate(sizes)
 
 
 def word_ids(path: str, found: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,11 +76,12 @@ def word_ids(path: str, found: list[str]) -> tuple[np.ndarray, np.ndarray, np.nd
     old = place >= 0
     start[old], sizes[old] = memory.bounds[place[old]], np.diff(memory.bounds)[place[old]]
     start[new], sizes[new] = len(memory.ids) + np.cumsum(size) - size, size
-    if len(memory.place) < REMEMBERED and len(new):
-        base = len(memory.place)
-        memory.place.update(zip((found[k] for k in new), range(base, base + len(new)), strict=True))
-        memory.bounds = np.concatenate([memory.bounds, memory.bounds[-1] + np.cumsum(size)])
-        memory.ids = pool
+    base = len(memory.place)
+    more = min(len(new), REMEMBERED - base)
+    if more > 0:
+        memory.place.update(zip((found[k] for k in new[:more]), range(base, base + more), strict=True))
+        memory.bounds = np.concatenate([memory.bounds, memory.bounds[-1] + np.cumsum(size[:more])])
+        memory.ids = pool[: memory.bounds[-1]].copy()
     return pool, start, sizes
 
 
@@ -160,8 +166,8 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", wi
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     shards = pieces(docs.sparkSession, text_size(own), shard_bytes)
 
+    @lean
     def run(table: pa.Table) -> pa.Table:
-        give_back()
         table = table.sort_by("doc_id")
         n = table.num_rows
         shard = table["shard"][0].as_py()

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from premia.llm.common import SLICE_BYTES, Words, as_long, contains, give_back, heavy_items, joined, mix, pieces, ranges, rows_of, slices, text_size, words
+from premia.llm.common import SLICE_BYTES, Words, as_long, contains, heavy_items, joined, lean, mix, pieces, ranges, rows_of, slices, text_size, words
 
 WINDOW, TRIPLE = 20, 3
 #: Windows in one packed string, so that a document of one repeated word has strings of bounded length.
@@ -175,9 +175,9 @@ def _equal_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarra
     return out
 
 
+@lean
 def _repeats(table: pa.Table) -> pa.Table:
     """(doc, start, n) of the runs of windows in a bucket that have an earlier equal one."""
-    give_back()
     known = table.filter(pc.is_null(table["packed"])).select(["doc", "start", "n"])
     sent = table.filter(pc.is_valid(table["packed"]))
     if not sent.num_rows:
