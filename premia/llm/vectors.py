@@ -171,6 +171,8 @@ SAMPLE, TRIAL, RECALL = 1 << 15, 200, 0.95
 COLUMNS, DOUBT = 16, 2.1
 #: Rows of a list that one task scans; longer lists are split.
 LIST_ROWS = 8192
+#: Slack of a limit as a share of the squared norms: far more than rounding does to a distance in any form, so equal rows stay together.
+SLACK = 1e-9
 
 
 def lifted(x: np.ndarray, most: float) -> np.ndarray:
@@ -205,6 +207,7 @@ def scan(query: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarr
     """(query, row of `x`) that may be among a (rotated) query's k nearest: others are abandoned by partial distances."""
     out_q, out_r = [], []
     best = np.full((len(query), k), np.inf)
+    slack = SLACK * ((query * query).sum(axis=1) + (x * x).sum(axis=1).max(initial=0))
     for at in range(0, len(x), 512):
         block = x[at : at + 512]
         limit = best.max(axis=1)
@@ -214,7 +217,8 @@ def scan(query: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarr
             near = np.argpartition(partial, k - 1, axis=1)[:, :k]
             for c in range(0, len(query), 64):
                 step = query[c : c + 64, None] - block[near[c : c + 64]]
-                limit[c : c + 64] = (step * step).sum(axis=2).max(axis=1) * (1 + 1e-12)
+                limit[c : c + 64] = (step * step).sum(axis=2).max(axis=1)
+        limit = limit + slack
         q, r = np.nonzero(partial * (x.shape[1] / seen) <= (limit * (1 + DOUBT / math.sqrt(seen)) ** 2)[:, None])
         value = partial[q, r]
         while seen < x.shape[1] and len(q):
@@ -300,7 +304,10 @@ def _nearest(own: DataFrame, size: int, is_query: str, k: int) -> DataFrame:
             which, rows_ = scan(np.hstack([part, np.zeros((len(part), 1))]) @ turn, turned, k + 1)
             other = ids[rows_] != asks[at + which]
             which, rows_ = which[other], rows_[other]
-            score = (x[rows_] * part[which]).sum(axis=1)
+            score = np.empty(len(which))
+            for c in range(0, len(which), 1 << 16):
+                s = slice(c, c + (1 << 16))
+                score[s] = (x[rows_[s]] * part[which[s]]).sum(axis=1)
             order = np.lexsort((ids[rows_], -score, which))
             which, rows_, score = which[order], rows_[order], score[order]
             top = np.arange(len(which)) - np.searchsorted(which, which) < k

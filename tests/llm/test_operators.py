@@ -261,3 +261,27 @@ def test_digests_are_of_the_texts(spark):
         assert r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()
     for r in QUERIES["op1_quality_classifier"](spark, "/root/testdata/sf0.001").collect():
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.3)
+
+
+@pytest.mark.parametrize("copies", [20, 21, 30, 1000])
+def test_copies_of_a_query_are_its_nearest(spark, copies):
+    rng = np.random.default_rng(copies)
+    x = rng.standard_normal((200 + copies, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    at = rng.permutation(len(x))[:copies]
+    x[at] = x[at[0]]
+    x = x.astype(float)
+    # the scan drops no row that is as near as the last one kept
+    for q in [at[0], *range(0, len(x), 50)]:
+        turn = vectors.rotation(65, 0)
+        top = np.sqrt((x * x).sum(axis=1).max())
+        _, rows = vectors.scan(np.append(x[q], 0)[None] @ turn, vectors.lifted(x, top) @ turn, 21)
+        product = (x * x[q]).sum(axis=1)
+        if q in at:
+            assert set(at.tolist()) <= set(rows.tolist())
+        assert len(rows) >= 21
+    df = spark.createDataFrame([(int(k), v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(2)
+    q = int(min(at))
+    got = [r.vec_id for r in vectors.nearest(df, f"key = {q}").orderBy("rank").collect()]
+    own = sorted(int(k) for k in at if k != q)
+    assert got[: min(20, copies - 1)] == own[:20] and len(got) == 20
