@@ -171,6 +171,8 @@ SAMPLE, TRIAL, RECALL = 1 << 15, 200, 0.95
 COLUMNS, DOUBT = 16, 2.1
 #: Rows of a list that one task scans; longer lists are split.
 LIST_ROWS = 8192
+#: Queries of a list that one task answers; more are split, and the list's rows go to each part.
+ASK_ROWS = 4096
 #: Slack of a limit as a share of the squared norms: far more than rounding does to a distance in any form, so equal rows stay together.
 SLACK = 1e-9
 
@@ -244,7 +246,7 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, key: str = "vec_id",
 
     Lists are fitted on a sample of SAMPLE rows at most; every row is put into one. Rotated vectors are scanned in blocks
     of columns, and a candidate whose partial distance is too large for its query's k nearest so far is abandoned. Lists
-    over LIST_ROWS rows are split by a hash. Scores are inner products of the original vectors in double precision.
+    over LIST_ROWS rows are split by a hash, and so are the queries of a list over ASK_ROWS. Scores are inner products of the original vectors in double precision.
 
     Defined results: a key with several usable rows counts once, with its least vector. A query is no candidate of its
     own; without other candidates it has no rows. Ties go to the smaller key. `is_query` is SQL over `key`.
@@ -259,6 +261,20 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, key: str = "vec_id",
     return out
 
 
+def _dealt(members: DataFrame, asked: DataFrame, lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of each list by (split, part): a row is in one split of its list and all parts, a query the other way round."""
+
+    def own(n: str):
+        return F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+
+    def every(n: str):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    rows = members.join(lists, "list").withColumn("split", own("splits")).withColumn("part", every("parts"))
+    queries = asked.join(lists, "list").withColumn("part", own("parts")).withColumn("split", every("splits"))
+    return rows.drop("splits", "parts"), queries.drop("splits", "parts")
+
+
 def _nearest(own: DataFrame, size: int, is_query: str, k: int) -> DataFrame:
     square = F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)
     most, n = own.agg(F.max(F.sqrt(square)), F.count("*")).first()
@@ -275,20 +291,31 @@ def _nearest(own: DataFrame, size: int, is_query: str, k: int) -> DataFrame:
                 near = _distances(lifted(matrix(part.column("x")), most), centres).argmin(axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), part.column("key"), part.column("x")], names=["list", "key", "x"])
 
+    def probed(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        x = matrix(part.column("x"))
+        return x, np.argsort(_distances(np.hstack([x, np.zeros((len(x), 1))]), centres), axis=1, kind="stable")[:, :probes]
+
+    def load(batches):
+        total = np.zeros(len(centres), np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                total += np.bincount(probed(batch.slice(at, 1024))[1].ravel(), minlength=len(total))
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["list", "n"])
+
     def probe(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                x = matrix(part.column("x"))
-                near = np.argsort(_distances(np.hstack([x, np.zeros((len(x), 1))]), centres), axis=1)[:, :probes]
+                x, near = probed(part)
                 rows = pa.array(np.repeat(np.arange(len(x)), near.shape[1]))
                 yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), part.column("key").take(rows), part.column("x").take(rows)], names=["list", "key", "x"])
 
     placed = own.mapInArrow(assign, "list int, key long, x array<double>")
     splits = placed.groupBy("list").agg(F.ceil(F.count("*") / LIST_ROWS).cast("int").alias("splits"))
-    members = placed.join(splits, "list").withColumn("split", F.pmod(F.xxhash64("key"), F.col("splits")).cast("int")).drop("splits")
-    asked = own.where(is_query).mapInArrow(probe, "list int, key long, x array<double>")
-    asked = asked.join(splits, "list").withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1))).drop("splits")
+    parts = own.where(is_query).mapInArrow(load, "list int, n long").groupBy("list").agg(F.ceil(F.sum("n") / ASK_ROWS).cast("int").alias("parts"))
+    dealt = splits.join(parts, "list")
+    members, asked = _dealt(placed, own.where(is_query).mapInArrow(probe, "list int, key long, x array<double>"), dealt)
     found_schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def search(questions: pa.Table, rows: pa.Table) -> pa.Table:
@@ -314,6 +341,7 @@ def _nearest(own: DataFrame, size: int, is_query: str, k: int) -> DataFrame:
             out.append(rows_of(found_schema, query_id=asks[at + which[top]], vec_id=ids[rows_[top]], score=score[top]))
         return pa.Table.from_batches(out, schema=found_schema)
 
-    found = asked.groupBy("list", "split").cogroup(members.groupBy("list", "split")).applyInArrow(search, "query_id long, vec_id long, score double")
+    group = ["list", "split", "part"]
+    found = asked.groupBy(*group).cogroup(members.groupBy(*group)).applyInArrow(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

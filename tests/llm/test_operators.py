@@ -285,3 +285,23 @@ def test_copies_of_a_query_are_its_nearest(spark, copies):
     got = [r.vec_id for r in vectors.nearest(df, f"key = {q}").orderBy("rank").collect()]
     own = sorted(int(k) for k in at if k != q)
     assert got[: min(20, copies - 1)] == own[:20] and len(got) == 20
+
+
+def test_queries_of_one_list_are_split(spark, monkeypatch):
+    x, _, df = _vectors(spark)
+    x[:200] = x[0]  # copies ask the same lists
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    whole = sorted(map(tuple, vectors.nearest(df, "key % 2 = 0", k=5).collect()))
+    monkeypatch.setattr(vectors, "ASK_ROWS", 16)
+    monkeypatch.setattr(vectors, "LIST_ROWS", 64)
+    groups = []
+
+    def dealt(*sides, deal=vectors._dealt):
+        groups.extend(out := deal(*sides))
+        return out
+
+    monkeypatch.setattr(vectors, "_dealt", dealt)
+    again = sorted(map(tuple, vectors.nearest(df, "key % 2 = 0", k=5).collect()))
+    assert [r[:3] for r in again] == [r[:3] for r in whole] and len(again) == 5 * 150
+    rows, queries = (g.groupBy("list", "split", "part").count().agg(F.max("count")).first()[0] for g in groups)
+    assert queries <= 2 * 16 and rows <= 2 * 64
