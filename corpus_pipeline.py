@@ -33,8 +33,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated runs of lines go."""
-    return _with_text(lines.deduplicate(docs), docs.columns, F.col("kept"))
+    """Later copies of repeated runs of lines, long single lines and one-line documents go."""
+    return _with_text(lines.deduplicate(docs, alone=lines.ALONE), docs.columns, F.col("kept"))
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ does; a class is named by its earliest suffix, and suffixes alone in their class
 on what still repeats. Depth `least` is reached by joining two overlapping classes. The intervals of suffixes with a common
 prefix of `least` lines or more are then the classes at that depth; the union of their lines is the union of all maximal
 repeated runs, and every suffix but the earliest of its class is a later copy, whose lines go.
+A single line is a run as well where `alone` says so: when it has that many words, or LETTERS characters (scripts
+without spaces, URLs), wherever it stands; or when it is the only line of its document and that of an earlier one too.
 
 Defined results: lines are split at line feeds; blank lines are never part of a run and stay. A null text stays null. Rows
 without a key lose nothing and cause nothing. "Earlier" is a smaller key, then an earlier line. Rows that repeat a key are
@@ -20,6 +22,8 @@ from premia.llm.common import written
 
 #: Lines of the shortest run that counts.
 LEAST = 2
+#: Words, or characters, that make a single line a run.
+ALONE, LETTERS = 20, 200
 _DOC, _AT = "_doc", "_at"
 
 
@@ -41,29 +45,44 @@ def _split(text: str) -> Column:
     return F.split(F.col(text), "\n", -1)
 
 
-def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
+def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, alone: int | None = None) -> DataFrame:
     """(_doc, line): indexes of the lines of each document that a later copy of a run covers."""
     own = docs.select(F.col(key).alias(_DOC), _split(text).alias("lines")).where(f"{_DOC} IS NOT NULL AND lines IS NOT NULL")
+
+    def long(x: Column) -> Column:
+        if alone is None:
+            return F.lit(False)
+        # so many words have as many separators less one
+        enough = F.when(F.length(x) >= 2 * alone - 1, F.size(F.filter(F.split(x, r"\s+"), lambda w: w != "")) >= alone)
+        return (F.length(x) >= LETTERS) | F.coalesce(enough, F.lit(False))
+
     # a line's id: two hashes, 128 bits together; blank lines have none
     ids = F.filter(
-        F.transform("lines", lambda x, i: F.when(F.trim(x) != "", F.struct(i.cast("int").alias("line"), F.xxhash64(x).alias("h"), F.xxhash64(F.lit(7), x).alias("g")))),
+        F.transform("lines", lambda x, i: F.when(F.trim(x) != "", F.struct(i.cast("int").alias("line"), F.xxhash64(x).alias("h"), F.xxhash64(F.lit(7), x).alias("g"), long(x).alias("long")))),
         lambda x: x.isNotNull(),
     )
-    rows = own.select(_DOC, F.posexplode(ids).alias(_AT, "x")).select(_DOC, _AT, "x.line", "x.h", "x.g").distinct()
-    first = rows.groupBy("h", "g").agg(F.min(F.struct(_DOC, _AT)).alias("first"), F.count("*").alias("n")).where("n > 1")
-    lines = written(rows.join(first.select("h", "g", "first"), ["h", "g"]).select(_DOC, _AT, "line", "first"))
+    rows = own.select(_DOC, ids.alias("ids")).select(_DOC, (F.size("ids") == 1).alias("only"), F.posexplode("ids").alias(_AT, "x"))
+    rows = rows.select(_DOC, _AT, "x.line", "x.h", "x.g", "x.long", "only").distinct()
+    place = F.struct(_DOC, _AT)
+    first = rows.groupBy("h", "g").agg(F.min(place).alias("first"), F.min(F.when(F.col("only"), place)).alias("whole"), F.count("*").alias("n")).where("n > 1")
+    lines = written(rows.join(first.select("h", "g", "first", "whole"), ["h", "g"]).select(_DOC, _AT, "line", "first", "whole", "long", "only"))
     named, depth = lines.select(_DOC, _AT, "first"), 1
     while depth < least:
         step = min(depth, least - depth)
         named, depth = _double(named, step), depth + step
-    later = named.where((F.col(_DOC) != F.col("first")[_DOC]) | (F.col(_AT) != F.col("first")[_AT]))
-    covered = later.select(_DOC, F.explode(F.sequence(F.col(_AT), F.col(_AT) + least - 1)).alias(_AT)).distinct()
-    return lines.select(_DOC, _AT, "line").join(covered, [_DOC, _AT], "left_semi").select(_DOC, "line")
+
+    def after(name: str) -> Column:
+        return (F.col(_DOC) != F.col(name)[_DOC]) | (F.col(_AT) != F.col(name)[_AT])
+
+    covered = named.where(after("first")).select(_DOC, F.explode(F.sequence(F.col(_AT), F.col(_AT) + least - 1)).alias(_AT))
+    if alone is not None:
+        covered = covered.unionByName(lines.where((F.col("long") & after("first")) | (F.col("only") & after("whole"))).select(_DOC, _AT))
+    return lines.select(_DOC, _AT, "line").join(covered.distinct(), [_DOC, _AT], "left_semi").select(_DOC, "line")
 
 
-def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, alone: int | None = None) -> DataFrame:
     """`docs` with n_lines, removed (indexes of the lines that go) and kept (the text without them)."""
-    gone = repeated_lines(docs, key, text, least).groupBy(_DOC).agg(F.sort_array(F.collect_set("line")).alias("removed"))
+    gone = repeated_lines(docs, key, text, least, alone).groupBy(_DOC).agg(F.sort_array(F.collect_set("line")).alias("removed"))
     rest = [c for c in docs.columns if c not in ("n_lines", "removed", "kept")]
     whole = docs.select(*[F.col(f"`{c}`") for c in rest]).join(gone, F.col(f"`{key}`") == F.col(_DOC), "left").drop(_DOC)
     lines, removed = _split(text), F.col("removed")

@@ -62,7 +62,7 @@ def op4_language_profiles(spark, sf_dir):
 @query
 def op5_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = lines.deduplicate(docs)
+    found = lines.deduplicate(docs, alone=lines.ALONE)
     return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 

@@ -305,3 +305,20 @@ def test_queries_of_one_list_are_split(spark, monkeypatch):
     assert [r[:3] for r in again] == [r[:3] for r in whole] and len(again) == 5 * 150
     rows, queries = (g.groupBy("list", "split", "part").count().agg(F.max("count")).first()[0] for g in groups)
     assert queries <= 2 * 16 and rows <= 2 * 64
+
+
+def test_single_lines_that_are_long_or_whole_documents_go(spark, docs):
+    long, other = " ".join(f"p{k}" for k in range(20)), " ".join(f"q{k}" for k in range(19))
+    url = "https://x.example/" + "a" * 200
+    rows = [f"a\n{long}\nb\n{other}\n{url}", f"c\n\n{long}\nd", f"e\n{other}\nf\n{url}\n{url}", "one line", "g\none line\nh", "one line", " \none line\n", long, None, f"i\n{long}  "]
+    # 40 characters, but no 20 words
+    rows += ["j\n" + "long-words " * 5, "k\n" + "long-words " * 5, "l\n" + "w " * 12 + " " * 40, "m\n" + "w " * 12 + " " * 40]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.removed for r in lines.deduplicate(df, alone=20).collect()}
+    assert {k: v for k, v in got.items() if v} == {1: [2], 2: [3, 4], 5: [0], 6: [1], 7: [0]} and len(got) == len(rows)
+    runs = {r.doc_id: set(r.removed) for r in lines.deduplicate(docs).collect()}
+    both = {r.doc_id: set(r.removed) for r in lines.deduplicate(docs, alone=20).collect()}
+    assert all(runs[k] <= both[k] for k in runs) and sum(map(len, both.values())) > sum(map(len, runs.values()))
+    folder = "/root/testdata/sf0.01"
+    found = corpus_pipeline.line_dedup(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder).where("text <> ''")
+    assert found.where("text NOT LIKE '%\n%'").groupBy("text").count().where("count > 1").count() == 0
