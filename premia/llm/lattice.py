@@ -33,8 +33,10 @@ from premia.llm.common import as_long, flat, pieces, rows_of, slices, text_size,
 ROUNDS = 2
 #: Added to the expected count of each piece, so that none is impossible.
 SMOOTH = 0.01
-#: Longer words (in bytes, with the mark) are walked one by one, so that memory stays bounded.
+#: Longer words (in bytes, with the mark) are cut by the same recursion, over bands of positions, so that memory stays bounded.
 LONG = 96
+#: Bytes of a block of long words, and places of pieces that are looked up at once for it.
+_LONG_BYTES, _BAND = 1 << 16, 1 << 20
 MARK = "▁".encode()
 _BLOCK_BYTES, _RANGE_BYTES = 4 << 20, 8 << 20
 _BASE = np.uint64(0x100000001B3)
@@ -125,34 +127,88 @@ def _forward(spans: dict, n: int, size: int, score: np.ndarray) -> list[np.ndarr
     return alpha
 
 
-def _long(vocab: Pieces, word: bytes, score: np.ndarray) -> float:
-    """The forward recursion of one long word."""
-    place = _index(vocab)
-    alpha = np.full(len(word) + 1, -np.inf)
-    alpha[0] = 0
-    for b in range(1, len(word) + 1):
-        terms = [alpha[a] + score[k] for a in range(max(0, b - vocab.longest), b) if (k := place.get(word[a:b])) is not None]
-        top = max(terms)
-        alpha[b] = top + np.log(sum(np.exp(t - top) for t in terms))
-    return float(alpha[-1])
-
-
-@lru_cache(maxsize=2)
-def _index_of(names: tuple[bytes, ...]) -> dict[bytes, int]:
-    return {x: k for k, x in enumerate(names)}
-
-
-def _index(vocab: Pieces) -> dict[bytes, int]:
-    return _index_of(vocab.names)
-
-
-def _by_length(found: pa.Array, most: int = 1 << 14):
+def _found(vocab: Pieces, data: np.ndarray, sizes: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word, from, to, piece) of all pieces that begin at `first` or later and before `last`, in order of where they begin."""
+    n, size = data.shape
+    h = np.zeros((last - first, n), np.uint64)
+    at = np.full((last - first, vocab.longest, n), len(vocab.names), np.int32)
+    for k in range(vocab.longest):
+        m = min(last, size - k) - first
+        if m <= 0:
+            break
+        h[:m] = h[:m] * _BASE + (data[:, first + k : first + k + m].T.astype(np.uint64) + np.uint64(1))
+        at[:m, k] = vocab.find(_scatter(h[:m]))
+    a, k, word = np.nonzero(at < len(vocab.names))
+    piece, a = at[a, k, word], a + first
+    to = a + k + 1
+    inside = to <= sizes[word]
+    return word[inside], a[inside], to[inside], piece[inside]
+
+
+def _push(into: np.ndarray, start: np.ndarray, word: np.ndarray, source: np.ndarray, target: np.ndarray, value: np.ndarray) -> None:
+    """Adds `value` and what has reached its source to each target (in log space); rows are grouped by source at `start`."""
+    for x, y in zip(start[:-1], start[1:], strict=True):
+        w, t = word[x:y], target[x:y]
+        into[w, t] = _add(into[w, t], into[w, source[x:y]] + value[x:y])
+
+
+def _cuts(x: np.ndarray) -> np.ndarray:
+    return np.append(np.flatnonzero(np.diff(x, prepend=x[:1] - 1)), len(x)) if len(x) else np.zeros(1, np.int64)
+
+
+def _banded(vocab: Pieces, data: np.ndarray, sizes: np.ndarray, score: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Log sums of long words (rows of `data`, filled up behind their `sizes`), and the expected number of each piece in
+    `weight` copies: the recursions of `_forward` and `expected`, with the pieces of a band of positions at a time."""
+    n, size = data.shape
+    step = max(1, min(size, _BAND // (n * vocab.longest)))
+    alpha = np.full((n, size + 1), -np.inf)
+    alpha[:, 0] = 0
+    for first in range(0, size, step):
+        word, a, b, piece = _found(vocab, data, sizes, first, min(size, first + step))
+        _push(alpha, _cuts(a), word, a, b, score[piece])
+    whole, total = alpha[np.arange(n), sizes], np.zeros(len(score))
+    if weight is None:
+        return whole, total
+    beta = np.full((n, size + 1), -np.inf)
+    beta[np.arange(n), sizes] = 0
+    # pieces that end in a band, from the last band to the first; those that end later have all been pushed
+    for last in range(size, 0, -step):
+        first = max(0, last - step)
+        word, a, b, piece = _found(vocab, data, sizes, max(0, first + 1 - vocab.longest), last)
+        order = np.flatnonzero((first < b) & (b <= last))
+        order = order[np.argsort(-b[order], kind="stable")]
+        word, a, b, piece = word[order], a[order], b[order], piece[order]
+        value = score[piece]
+        _push(beta, _cuts(-b), word, b, a, value)
+        total += np.bincount(piece, weights=weight[word] * np.exp(alpha[word, a] + value + beta[word, b] - whole[word]), minlength=len(total))
+    return whole, total
+
+
+def _blocks_of_long(found: pa.Array, rows: np.ndarray):
+    """Blocks of marked long words of like length: their rows, bytes (zeros behind the shorter ones) and sizes."""
+    data, bounds = flat(found)
+    size = np.diff(bounds)
+    rows = rows[np.argsort(size[rows], kind="stable")]
+    mark, at = np.frombuffer(MARK, np.uint8), 0
+    while at < len(rows):
+        some = rows[at : at + 256]
+        # as many as stay within the bytes of a block; one word always does
+        some = some[: max(1, int((np.arange(1, len(some) + 1) * (size[some] + len(mark)) <= _LONG_BYTES).sum()))]
+        block = np.zeros((len(some), int(size[some].max()) + len(mark)), np.uint8)
+        block[:, : len(mark)] = mark
+        for k, r in enumerate(some):
+            block[k, len(mark) : len(mark) + size[r]] = data[bounds[r] : bounds[r + 1]]
+        yield some, block, size[some] + len(mark)
+        at += len(some)
+
+
+def _by_length(found: pa.Array, rows: np.ndarray, most: int = 1 << 14):
     """Blocks of marked words of one length: their rows and bytes."""
     data, bounds = flat(found)
     size = np.diff(bounds)
-    order = np.argsort(size, kind="stable")
-    cuts = np.flatnonzero(np.append(True, np.diff(size[order]) > 0))
-    for a, b in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
+    order = rows[np.argsort(size[rows], kind="stable")]
+    cuts = _cuts(size[order])
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         n = int(size[order[a]])
         for at in range(a, b, most):
             rows = order[at : min(b, at + most)]
@@ -160,27 +216,30 @@ def _by_length(found: pa.Array, most: int = 1 << 14):
             yield rows, np.hstack([np.broadcast_to(np.frombuffer(MARK, np.uint8), (len(rows), len(MARK))), body])
 
 
+def _by_size(found: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the words of LONG bytes at most, with the mark, and of longer ones."""
+    long = np.diff(flat(found)[1]) + len(MARK) > LONG
+    return np.flatnonzero(~long), np.flatnonzero(long)
+
+
 def word_scores(vocab: Pieces, score: np.ndarray, found: pa.Array) -> np.ndarray:
     """Natural log of each word's probability, summed over its segmentations."""
     out, score = np.zeros(len(found)), np.append(score, -np.inf)
-    for rows, data in _by_length(found):
-        if data.shape[1] > LONG:
-            out[rows] = [_long(vocab, x.tobytes(), score) for x in data]
-        else:
-            out[rows] = _forward(_spans(vocab, data), len(rows), data.shape[1], score)[-1]
+    short, long = _by_size(found)
+    for rows, data in _by_length(found, short):
+        out[rows] = _forward(_spans(vocab, data), len(rows), data.shape[1], score)[-1]
+    for rows, data, sizes in _blocks_of_long(found, long):
+        out[rows] = _banded(vocab, data, sizes, score)[0]
     return out
 
 
 def expected(vocab: Pieces, score: np.ndarray, found: pa.Array, count: np.ndarray) -> np.ndarray:
-    """Expected number of each piece in `count` copies of each word; words beyond LONG count by their bytes."""
+    """Expected number of each piece in `count` copies of each word."""
     total, score = np.zeros(len(vocab.names) + 1), np.append(score, -np.inf)
-    single = np.array([_index(vocab)[bytes([c])] for c in range(256)])
-    for rows, data in _by_length(found, 1 << 12):
+    short, long = _by_size(found)
+    for rows, data in _by_length(found, short, 1 << 12):
         n, size = data.shape
         weight = count[rows].astype(float)
-        if size > LONG:
-            np.add.at(total, single[data], weight[:, None])
-            continue
         spans = _spans(vocab, data)
         alpha = _forward(spans, n, size, score)
         beta = [np.full(n, -np.inf) for _ in range(size)] + [np.zeros(n)]
@@ -188,6 +247,8 @@ def expected(vocab: Pieces, score: np.ndarray, found: pa.Array, count: np.ndarra
             beta[a] = _add(beta[a], beta[b] + score[spans[a, b]])
         for (a, b), at in spans.items():
             total += np.bincount(at, weights=weight * np.exp(alpha[a] + score[at] + beta[b] - alpha[-1]), minlength=len(total))
+    for rows, data, sizes in _blocks_of_long(found, long):
+        total += _banded(vocab, data, sizes, score, count[rows].astype(float))[1]
     return total[:-1]
 
 

@@ -322,3 +322,29 @@ def test_single_lines_that_are_long_or_whole_documents_go(spark, docs):
     folder = "/root/testdata/sf0.01"
     found = corpus_pipeline.line_dedup(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder).where("text <> ''")
     assert found.where("text NOT LIKE '%\n%'").groupBy("text").count().where("count > 1").count() == 0
+
+
+def test_long_words_have_the_lattice_of_short_ones(monkeypatch):
+    import pyarrow as pa
+
+    vocab = lattice.vocabulary(PIECES)
+    score = lattice.first_scores(vocab)
+    rng = np.random.default_rng(2)
+    found = ["".join(rng.choice(["the", "ing", "日本", "語", "x", "://", "é", "w1"], n)) for n in (1, 5, 60, 61, 150, 200)]
+    found += ["a" * 300, "https://example.org/" + "path/" * 60, "日本語" * 40, "the", ""]
+    count = np.arange(1, len(found) + 1)
+    text = pa.array(found)
+    short, scores = lattice.expected(vocab, score, text[:2], count[:2]), lattice.word_scores(vocab, score, text)
+    banded = lattice.expected(vocab, score, text, count)
+    monkeypatch.setattr(lattice, "LONG", 1 << 20)  # all words by the path of short ones
+    assert np.allclose(scores, lattice.word_scores(vocab, score, text), rtol=1e-9)
+    assert np.allclose(banded, lattice.expected(vocab, score, text, count), rtol=1e-6, atol=1e-9)
+    monkeypatch.setattr(lattice, "LONG", 0)  # all by bands, and bands of one or few positions
+    for places in (1, 7 * vocab.longest, 1 << 19):
+        monkeypatch.setattr(lattice, "_BAND", places)
+        assert np.allclose(lattice.expected(vocab, score, text, count), banded, rtol=1e-6, atol=1e-9)
+        assert np.allclose(lattice.expected(vocab, score, text[:2], count[:2]), short, rtol=1e-6, atol=1e-9)
+        assert np.allclose(lattice.word_scores(vocab, score, text), scores, rtol=1e-9)
+    size = np.array([len(x) for x in vocab.names])
+    want = sum(c * len((lattice.MARK + w.encode())) for c, w in zip(count, found, strict=True))
+    assert abs((banded * size).sum() - want) < 1e-6 * want
