@@ -23,20 +23,19 @@ from premia.llm.common import flat, rows_of, slices
 
 #: N-grams of a profile, and of a document.
 PROFILE = 400
-#: Codes of n-grams: 24 bits hold three letters of 8 bits.
-_BITS = 8
-_CODES = 1 << (3 * _BITS)
+#: Codes of n-grams: 63 bits hold three letters of 21 bits, which are code points.
+_BITS = 21
+_POINTS = 0x110000
 _WORK_BYTES = 1 << 20
 
 
 def _folding() -> np.ndarray:
-    """For the basic plane: a letter's lower-case form in 8 bits (0: not a letter; 1 is kept for the blank)."""
-    code = np.zeros(1 << 16, np.uint8)
-    for x in range(1 << 16):
+    """For each code point: a letter's lower-case form (0: not a letter; 1 is kept for the blank)."""
+    code = np.zeros(_POINTS, np.int32)
+    for x in range(_POINTS):
         c = chr(x)
         if c.isalpha():
-            low = ord(c.lower()[0])
-            code[x] = low - 95 if 97 <= low <= 122 else 28 + (low - 0xDF if 0xDF <= low <= 0x17F else 161 + low % 67)
+            code[x] = ord(c.lower()[0])
     return code
 
 
@@ -54,7 +53,7 @@ def letters(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     else:
         points = np.zeros(0, np.uint32)
-    code = np.where(points < 65536, _FOLD[0][np.minimum(points, 65535)], 255 - points % 7).astype(np.int32)
+    code = _FOLD[0][points]
     row = np.repeat(np.arange(len(bounds) - 1), np.diff(np.searchsorted(at, bounds)))
     # one blank before each row, and one for each run of other characters
     n = len(bounds) - 1
@@ -72,8 +71,16 @@ def letters(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def grams(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, n-gram code, count) of each distinct n-gram of each row, in order of row and code."""
     code, row = letters(text)
-    key = [(row.astype(np.int64) << 24) | code]
-    key[0] = key[0][code != 1]
+    # these texts' letters by number, in order, so that a row and three letters mostly fit one key
+    there = np.zeros(_POINTS, bool)
+    there[code] = True
+    there[:2] = True
+    alphabet = np.flatnonzero(there)
+    number = np.zeros(_POINTS, np.int32)
+    number[alphabet] = np.arange(len(alphabet))
+    code = number[code]
+    bits = int(len(alphabet) - 1).bit_length()
+    rows, values = [row[code != 1]], [code[code != 1].astype(np.int64)]
     for size in (2, 3):
         n = len(code) - size + 1
         if n <= 0:
@@ -81,15 +88,27 @@ def grams(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         value = code[:n].astype(np.int64)
         same = row[:n] == row[size - 1 :]
         for k in range(1, size):
-            value = (value << _BITS) | code[k : n + k]
+            value = (value << bits) | code[k : n + k]
         if size == 3:
             same &= code[1 : n + 1] != 1
-        key.append(((row[:n].astype(np.int64) << 24) | value)[same & (value != (1 << _BITS) + 1)])
-    keys = np.sort(np.concatenate(key))
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[1:] != keys[:-1]
+        same &= value != (1 << bits) + 1
+        rows.append(row[:n][same])
+        values.append(value[same])
+    row, value = np.concatenate(rows).astype(np.int64), np.concatenate(values)
+    if len(row) and 3 * bits + int(row.max()).bit_length() <= 63:
+        keys = np.sort((row << (3 * bits)) | value)
+        row, value = keys >> (3 * bits), keys & ((1 << (3 * bits)) - 1)
+    else:
+        order = np.lexsort((value, row))
+        row, value = row[order], value[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
     at = np.flatnonzero(new)
-    return keys[at] >> 24, keys[at] & (_CODES - 1), np.diff(np.append(at, len(keys)))
+    row, value, n = row[at], value[at], np.diff(np.append(at, len(row)))
+    whole = np.zeros(len(value), np.int64)
+    for k in (2, 1, 0):
+        whole = (whole << _BITS) | alphabet[(value >> (k * bits)) & ((1 << bits) - 1)]
+    return row, whole, n
 
 
 @dataclass(frozen=True)
@@ -112,7 +131,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Profiles:
 
     Counts are summed per slice of texts and language, then by Spark; PROFILE codes per language reach the driver.
     """
-    schema = pa.schema([("lang", pa.string()), ("code", pa.int32()), ("n", pa.int64())])
+    schema = pa.schema([("lang", pa.string()), ("code", pa.int64()), ("n", pa.int64())])
 
     def count(batches):
         for batch in batches:
@@ -120,16 +139,20 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Profiles:
                 row, code, n = grams(part.column("text"))
                 lang = part.column("lang").dictionary_encode()
                 which = lang.indices.to_numpy(zero_copy_only=False)[row].astype(np.int64)
-                key, inverse = np.unique((which << 24) | code, return_inverse=True)
-                total = np.bincount(inverse, weights=n, minlength=len(key)).astype(np.int64)
-                yield rows_of(schema, lang=lang.dictionary.take(pa.array(key >> 24)), code=(key & (_CODES - 1)).astype(np.int32), n=total)
+                order = np.lexsort((code, which))
+                which, code, n = which[order], code[order], n[order]
+                new = np.ones(len(code), bool)
+                new[1:] = (which[1:] != which[:-1]) | (code[1:] != code[:-1])
+                at = np.flatnonzero(new)
+                if len(at):
+                    yield rows_of(schema, lang=lang.dictionary.take(pa.array(which[at])), code=code[at], n=np.add.reduceat(n, at))
 
     learnt = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = learnt.mapInArrow(count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counts = learnt.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
     best = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PROFILE).collect()
     names = tuple(sorted({r.lang for r in best}))
-    codes = np.full((len(names), PROFILE), -1, np.int32)
+    codes = np.full((len(names), PROFILE), -1, np.int64)
     for r in best:
         codes[names.index(r.lang), r["rank"] - 1] = r.code
     return Profiles(names, codes)
@@ -137,7 +160,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Profiles:
 
 def predict(docs: DataFrame, profiles: Profiles, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, lang_pred, score): score is how much nearer the best profile is than the farthest possible, 0 to 1."""
-    known, rank = profiles.ranks() if profiles.names else (np.zeros(0, np.int32), np.zeros((0, 1), np.int32))
+    known, rank = profiles.ranks() if profiles.names else (np.zeros(0, np.int64), np.zeros((0, 1), np.int32))
     names = np.array([*profiles.names, "und"], dtype=object)
     kind = docs.schema[key].dataType.simpleString()
 

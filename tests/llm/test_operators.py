@@ -348,3 +348,23 @@ def test_long_words_have_the_lattice_of_short_ones(monkeypatch):
     size = np.array([len(x) for x in vocab.names])
     want = sum(c * len((lattice.MARK + w.encode())) for c, w in zip(count, found, strict=True))
     assert abs((banded * size).sum() - want) < 1e-6 * want
+
+
+def test_letters_of_all_planes(spark):
+    import pyarrow as pa
+
+    ja, zh, runes = "これは日本の言葉です 私は学生です", "这是中国的语言 我是学生", "𐌰𐌱𐌲 𐌳𐌴𐌰"
+    rows = [(0, ja, "ja"), (1, zh, "zh"), (2, runes, "got"), (3, "😀 😃🎉", None), (4, "私は日本です", None), (5, "我是中国语言", None), (6, "𐌰𐌱𐌲", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.predict(df, language.fit(df)).collect()}
+    assert [got[k][0] for k in range(7)] == ["ja", "zh", "got", "und", "ja", "zh", "got"] and got[3][1] == 0
+    # letters that are 67 apart are two; n-grams are of code points
+    row, code, n = language.grams(pa.array(["一" + chr(0x4E00 + 67) + "一", "", "b"], pa.large_string()))
+    one, two = 0x4E00, 0x4E00 + 67
+    want = collections.Counter()
+    line = [1, one, two, one]
+    for size in (1, 2, 3):
+        for k in range(len(line) - size + 1):
+            if line[k : k + size] != [1]:
+                want[sum(x << (21 * (size - 1 - j)) for j, x in enumerate(line[k : k + size]))] += 1
+    assert dict(zip(code[row == 0].tolist(), n[row == 0].tolist(), strict=True)) == want and 1 not in row and 2 in row
