@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from premia.llm import byte_bpe, jaccard, language, lattice, lines, packing, quality, substrings, vectors
+from premia.llm import byte_bpe, conversations, jaccard, language, lattice, lines, packing, quality, substrings, templates, vectors, whitening
 from premia.llm.common import fold, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,24 @@ def op9_embedding_dedup(spark, sf_dir):
 @query
 def op10_nearest_neighbours(spark, sf_dir):
     return vectors.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "key % 20 = 0")
+
+
+@query
+def op11_conversation_repair(spark, sf_dir):
+    turns = written(conversations.damage(table(spark, sf_dir, "conversations")))
+    report = written(conversations.repair(turns, gone="gone"))
+    hashed = conversations.digests(turns, report, gone="gone")
+    same = F.col("r.conv_id").eqNullSafe(F.col("h.conv_id"))
+    return report.alias("r").join(hashed.alias("h"), same).select("r.*", "h.repaired_sha256")
+
+
+@query
+def op12_template_removal(spark, sf_dir):
+    found = templates.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page.page_id", "page.url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op13_lanczos_whitening(spark, sf_dir):
+    found = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.select("row.vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
