@@ -257,8 +257,11 @@ def identity(page: Page) -> int:
     return _hash(page.title, page.heading) if page.title or page.heading else _hash(*(b.text for b in page.blocks))
 
 
-def texts(page: Page) -> list[tuple[str, list[int], bool, bool]]:
-    """(text, places above, furniture, in an article) of each block in page order."""
+def texts(page: Page, furniture: bool) -> list[tuple[str, list[int], bool]]:
+    """(text, places above, in an article) of consecutive blocks that share them, in page order.
+
+    With `furniture`, blocks whose elements say that they are furniture are left out: they go whatever is counted.
+    """
     centre = core(page)
     holds = set(page.above(centre)) if centre >= 0 else set()
     region = page.nodes[centre].tag if centre >= 0 and page.nodes[centre].tag in ("article", "main") else None
@@ -268,8 +271,13 @@ def texts(page: Page) -> list[tuple[str, list[int], bool, bool]]:
         free = [k for k in above if k not in holds]
         in_article = any(page.nodes[k].tag == region for k in above) if region else False
         # a header outside of the article is the site's
-        furniture = any(page.nodes[k].furniture or (page.nodes[k].tag == "header" and not in_article) for k in free)
-        out.append((b.text, [k for k in free if page.nodes[k].place], furniture, in_article))
+        if furniture and any(page.nodes[k].furniture or (page.nodes[k].tag == "header" and not in_article) for k in free):
+            continue
+        here = ([k for k in free if page.nodes[k].place], in_article)
+        if out and out[-1][1:] == here:
+            out[-1] = (f"{out[-1][0]}\n{b.text}", *here)
+        else:
+            out.append((b.text, *here))
     return out
 
 
@@ -320,19 +328,19 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", least: int =
     found = written(recurring(nodes, least, share))
     dead = nodes.join(found, ["host", "slot", "inside", "subtree"], "left_semi").groupBy("k1", "k2").agg(F.collect_set("index").alias("dead"))
     kind = rows.schema["page"].dataType.simpleString()
-    blocks = "array<struct<text:string,above:array<int>,furniture:boolean,main:boolean>>"
-    struct = pa.struct([("text", pa.string()), ("above", pa.list_(pa.int32())), ("furniture", pa.bool_()), ("main", pa.bool_())])
+    blocks = "array<struct<text:string,above:array<int>,main:boolean>>"
+    struct = pa.struct([("text", pa.string()), ("above", pa.list_(pa.int32())), ("main", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "html"):
-                said = [[dict(zip(("text", "above", "furniture", "main"), b, strict=True)) for b in texts(parse(h))] for h in part.column("html").to_pylist()]
+                said = [[dict(zip(("text", "above", "main"), b, strict=True)) for b in texts(parse(h), furniture)] for h in part.column("html").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("page"), part.column("k1"), part.column("k2"), pa.array(said, pa.list_(struct))], names=["page", "k1", "k2", "blocks"])
 
     parsed = rows.select("page", "html", "k1", "k2").mapInArrow(run, f"page {kind}, k1 long, k2 long, blocks {blocks}")
     joined = parsed.join(dead, ["k1", "k2"], "left")
     gone = F.coalesce(F.col("dead"), F.array().cast("array<int>"))
-    left = F.filter("blocks", lambda b: ~F.arrays_overlap(b["above"], gone) & ~(b["furniture"] & F.lit(furniture)))
+    left = F.filter("blocks", lambda b: ~F.arrays_overlap(b["above"], gone))
     main = F.filter(F.col("left"), lambda b: b["main"])
     chosen = F.when(F.size(main) > 0, main).otherwise(F.col("left")) if furniture else F.col("left")
     return joined.select("page", left.alias("left")).select("page", F.array_join(F.transform(chosen, lambda b: b["text"]), "\n").alias("text"))
