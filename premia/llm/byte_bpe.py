@@ -1,7 +1,10 @@
 """Byte-level BPE with the tiktoken library: texts to token ids and ids back to bytes.
 
 Rows are independent, so nothing is shuffled. A null text encodes as the empty text; null ids decode to empty bytes. All
-other columns pass through, whatever they are called, as long as they are not the output column's name.
+other columns pass through, whatever they are called, as long as they are not the output column's name. Texts may be of any
+length: long ones are split at borders of white space, and long runs of white space, for which the library's matcher would
+need a stack of their length, are encoded as the one match that they are. Patterns must treat white space as
+`\\s+(?!\\S)|\\s+` does, and match at most one white-space character before another.
 """
 
 from __future__ import annotations
@@ -22,9 +25,12 @@ from premia.llm.common import slices
 
 #: Longer texts are split before the library sees them, so that one call's memory stays bounded.
 LONG = 1 << 16
-#: A single space between two characters that are not white space: a match of the pattern always begins at it, and no
-#: match before it looks past it.
-_SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: Characters of `\\s` in the library's matcher (fixed values).
+_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: White space after another character: a match of the pattern always begins at it, and no match before it looks past it.
+_SAFE = re.compile(f"(?<=[^{_WHITE}])[{_WHITE}]")
+#: Runs that the matcher does not see. All of a run, but for its last character where another one follows, is one match.
+_RUN = re.compile(f"[{_WHITE}]{{4096,}}")
 
 
 @lru_cache(maxsize=4)
@@ -46,6 +52,18 @@ def cut(text: str, limit: int = LONG) -> Iterator[str]:
     yield text[at:]
 
 
+def encode_one(own: tiktoken.Encoding, text: str) -> list[np.ndarray]:
+    """Ids of a whole text, in parts."""
+    out, at = [], 0
+    for run in _RUN.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        out += [own.encode_to_numpy(x, disallowed_special=()) for x in cut(text[at : run.start()])]
+        out.append(np.array(own._core_bpe.encode_single_piece(text[run.start() : end].encode()), np.uint32))
+        at = end
+    out += [own.encode_to_numpy(x, disallowed_special=()) for x in cut(text[at:])]
+    return out
+
+
 def encode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """`docs` with the token ids of each whole text in place of the text. No special tokens are read or added."""
     rest = [f for f in docs.schema.fields if f.name not in (text, ids)]
@@ -56,7 +74,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", id
         own = encoder(rank_file, pattern)
         for batch in batches:
             for part in slices(batch, text):
-                found = [[own.encode_to_numpy(x, disallowed_special=()) for x in cut(t)] for t in part.column(text).fill_null("").to_pylist()]
+                found = [encode_one(own, t) for t in part.column(text).fill_null("").to_pylist()]
                 sizes = np.array([sum(map(len, x)) for x in found], np.int64)
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 flat = np.concatenate([y for x in found for y in x]).astype(np.int32)

@@ -68,6 +68,37 @@ def test_byte_bpe_round_trip(docs, empty, texts):
     assert byte_bpe.encode(empty, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def _by_match(own, text):
+    """Ids of each match of the pattern, the matches found by another matcher."""
+    import regex
+
+    return [i for m in regex.finditer(public_tokenizers.PATTERN, text) for i in own._core_bpe.encode_single_piece(m[0].encode())]
+
+
+def test_byte_bpe_of_white_space(spark):
+    own = byte_bpe.encoder(RANKS, public_tokenizers.PATTERN)
+    rng = np.random.default_rng(8)
+    pool = ["a", "é", "7", "'", "'s", ".", "語", " ", "\n", "\t", "\u3000", "\x85", "\u2028", "\x1c"]
+    cases = []
+    for white in (" ", "\n", "\t", "\u3000", " \n", "\r\n"):
+        for n in (1, 2, 4095, 4096, 4097, 9000):
+            run = (white * n)[:n]
+            cases += [run, f"a{run}", f"{run}b", f"a{run}b{run} 7{run}.", f"{run}'s{run}"]
+    cases += ["".join(rng.choice(pool, 20000)) for _ in range(3)]
+    for text in cases:
+        assert [int(i) for p in byte_bpe.encode_one(own, text) for i in p] == _by_match(own, text)
+    for text in ("".join(rng.choice(pool, 3000)) for _ in range(20)):
+        assert "".join(byte_bpe.cut(text, 50)) == text
+        assert [i for p in byte_bpe.cut(text, 50) for i in own.encode_ordinary(p)] == _by_match(own, text)
+    long = [f"{side}{white * 2_000_000}{side}" for white in (" ", "\n", "\t", "\u3000") for side in ("", "x")]
+    long += ["ab, cd " * 1_500_000, "語言文字" * 800_000, "é" * 1_000_000, "7" * 500_000]
+    rows = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string").repartition(8)
+    encoded = byte_bpe.encode(rows, RANKS, public_tokenizers.PATTERN)
+    both = byte_bpe.decode(encoded, RANKS, public_tokenizers.PATTERN).select("doc_id", F.size("ids").alias("n"), F.sha2("decoded", 256).alias("h")).collect()
+    assert {r.doc_id: r.h for r in both} == {k: hashlib.sha256(t.encode()).hexdigest() for k, t in enumerate(long)}
+    assert {r.doc_id: r.n for r in both} == {k: len(_by_match(own, t)) for k, t in enumerate(long)}
+
+
 def test_substrings_match_brute_force(docs, empty, texts, spark):
     seen, want = set(), {}
     for k, t in enumerate(texts):
