@@ -14,6 +14,7 @@ order of their key, as do ties. Repeated rows are packed each. An empty table gi
 
 from __future__ import annotations
 
+import os
 from functools import lru_cache
 
 import numpy as np
@@ -31,7 +32,7 @@ SHARD_BYTES = 4 << 20
 #: BM25's saturation and length weights.
 K1, B = 1.2, 0.75
 #: Words whose ids a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 #: Words encoded at once: the tokenizer's results for them take some 2 KB each until they are read.
 _ENCODED = 8192
 _SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -39,6 +40,7 @@ _SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, se
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> Tokenizer:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library would take all of the machine's
     return Tokenizer.from_file(path)
 
 

@@ -399,3 +399,17 @@ def test_letters_of_all_planes(spark):
             if line[k : k + size] != [1]:
                 want[sum(x << (21 * (size - 1 - j)) for j, x in enumerate(line[k : k + size]))] += 1
     assert dict(zip(code[row == 0].tolist(), n[row == 0].tolist(), strict=True)) == want and 1 not in row and 2 in row
+
+
+def test_stages_keep_columns_that_operators_use(spark):
+    passage = " ".join(f"w{i}" for i in range(40))
+    rows = [(k, f"{passage}\nown line {k} of its own\n{passage}", "mine", [k], 7, "d", "s", "x", k) for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string, removed array<int>, n_removed int, _doc string, _shared string, document string, n_words int")
+    for stage in (corpus_pipeline.line_dedup, corpus_pipeline.substring_dedup):
+        found = stage(spark, docs, "")
+        assert found.schema == docs.schema
+        texts = set()
+        for r in found.collect():
+            assert tuple(r)[2:] == rows[r.doc_id][2:]
+            texts.add(r.text)
+        assert len(texts) > 1  # the stage did its work
