@@ -8,7 +8,7 @@ and the near-duplicate stage take documents away.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from premia.llm import jaccard, lines, packing, quality, substrings
@@ -16,12 +16,17 @@ from premia.llm.common import fold, table, written
 from premia.llm.queries import QUALITY_LEAST
 
 
-def _with_text(docs: DataFrame, columns: list[str], text) -> DataFrame:
-    """`columns` of `docs` with another text, and n_chars to match."""
-    new = docs.withColumn("text", text)
-    if "n_chars" in columns:
-        new = new.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
-    return new.select(*[F.col(f"`{c}`") for c in columns])
+def _aside(docs: DataFrame) -> DataFrame:
+    """Key, text and all other columns as one struct, so that no column of a document meets one that an operator adds."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*others).alias("document") if others else F.lit(None).cast("string").alias("document"))
+
+
+def _with_text(found: DataFrame, columns: list[str], text: Column) -> DataFrame:
+    """`columns` in their order with another text, and n_chars to match; `found` has what `_aside` set apart."""
+    new = found.select("doc_id", "document", text.alias("text"))
+    own = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.coalesce(F.length("text").cast("long"), F.col("document.n_chars")) if "n_chars" in columns else None}
+    return new.select(*[(own[c] if c in own else F.col(f"document.`{c}`")).alias(c) for c in columns])
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +39,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated runs of lines, long single lines and one-line documents go."""
-    return _with_text(lines.deduplicate(docs, alone=lines.ALONE), docs.columns, F.col("kept"))
+    return _with_text(lines.deduplicate(_aside(docs), alone=lines.ALONE), docs.columns, F.col("kept"))
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +51,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of repeated passages go; a document that loses none keeps its white space."""
-    found = substrings.deduplicate(docs)
+    found = substrings.deduplicate(_aside(docs))
     return _with_text(found, docs.columns, F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
 
 
