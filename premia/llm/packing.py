@@ -31,10 +31,14 @@ WINDOW, END = 4096, 2
 SHARD_BYTES = 4 << 20
 #: BM25's saturation and length weights.
 K1, B = 1.2, 0.75
-#: Words whose ids a worker remembers.
-REMEMBERED = 300_000
+#: Parts of words whose ids a worker remembers.
+REMEMBERED = 800_000
 #: Words encoded at once: the tokenizer's results for them take some 2 KB each until they are read.
 _ENCODED = 8192
+#: ASCII characters that are neither letters, digits nor white space.
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+#: A digit, or a Latin or Cyrillic letter that is one letter in lower case and composed, at the end.
+_PLAIN = r"[0-9A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{17F}\x{410}-\x{44F}]\z"
 _SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -45,10 +49,10 @@ def tokenizer(path: str) -> Tokenizer:
 
 
 class _Memory:
-    """Ids of words, end to end, by word."""
+    """Words as one Arrow column, and their ids end to end; some 40 bytes a word."""
 
     def __init__(self) -> None:
-        self.place: dict[str, int] = {}
+        self.words = pa.array([], pa.large_string())
         self.bounds = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.int32)
 
@@ -67,27 +71,68 @@ def _encode(path: str, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.concatenate(sizes)
 
 
-def word_ids(path: str, found: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _strings(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    offsets = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=offsets[1:])
+    return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[ranges(start, size)])))
+
+
+@lru_cache(maxsize=2)
+def _added(path: str) -> list[str]:
+    """Texts that the tokenizer looks for before all else."""
+    return [t.content for t in tokenizer(path).get_added_tokens_decoder().values()]
+
+
+def _marks_apart(path: str, found: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct parts of words, and each word's two parts: what it is without ASCII marks at its end, and these marks.
+
+    The tokenizer never joins letters or digits with marks, so the ids of a word whose marks follow one are those of its
+    parts. Any other word is one part, and its marks are empty; so is one whose last letter may change when it is normalised.
+    """
+    stem = pc.utf8_rtrim(found, characters=_MARKS)
+    apart = np.asarray(pc.match_substring_regex(stem, _PLAIN).to_numpy(zero_copy_only=False), bool)
+    for text in _added(path):
+        apart &= ~np.asarray(pc.match_substring(found, text).to_numpy(zero_copy_only=False), bool)
+    data, bounds = flat(found)
+    whole = np.diff(bounds)
+    size = np.where(apart, np.asarray(pc.binary_length(stem), np.int64), whole)
+    both = pa.concat_arrays([_strings(data, bounds[:-1], size), _strings(data, bounds[:-1] + size, whole - size)]).dictionary_encode()
+    code = both.indices.to_numpy(zero_copy_only=False)
+    return both.dictionary, code[: len(found)], code[len(found) :]
+
+
+def word_ids(path: str, found: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids of distinct words: a pool of ids, and each word's start and size in it."""
+    parts, stem, marks = _marks_apart(path, found)
+    pool, start, size = _part_ids(path, parts)
+    count = size[stem] + size[marks]
+    begin = np.cumsum(count) - count
+    ids = np.empty(int(count.sum()), np.int32)
+    ids[ranges(begin, size[stem])] = pool[ranges(start[stem], size[stem])]
+    ids[ranges(begin + size[stem], size[marks])] = pool[ranges(start[marks], size[marks])]
+    return ids, begin, count
+
+
+def _part_ids(path: str, found: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same of distinct parts; a worker remembers them."""
     memory = _MEMORY.setdefault(path, _Memory())
-    place = np.fromiter(map(memory.place.get, found, [-1] * len(found)), np.int64, len(found))
-    new = np.flatnonzero(place < 0)
-    ids, size = _encode(path, [found[k] for k in new]) if len(new) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+    place = pc.fill_null(pc.index_in(found, value_set=memory.words), -1).to_numpy(zero_copy_only=False)
+    old, new = place >= 0, np.flatnonzero(place < 0)
+    unknown = found.take(pa.array(new))
+    ids, size = _encode(path, unknown.to_pylist())
     pool = np.concatenate([memory.ids, ids])
     start, sizes = np.zeros(len(found), np.int64), np.zeros(len(found), np.int64)
-    old = place >= 0
     start[old], sizes[old] = memory.bounds[place[old]], np.diff(memory.bounds)[place[old]]
     start[new], sizes[new] = len(memory.ids) + np.cumsum(size) - size, size
-    base = len(memory.place)
-    more = min(len(new), REMEMBERED - base)
+    more = min(len(new), REMEMBERED - len(memory.words))
     if more > 0:
-        memory.place.update(zip((found[k] for k in new[:more]), range(base, base + more), strict=True))
+        memory.words = pa.concat_arrays([memory.words, unknown.slice(0, more)])
         memory.bounds = np.concatenate([memory.bounds, memory.bounds[-1] + np.cumsum(size[:more])])
         memory.ids = pool[: memory.bounds[-1]].copy()
     return pool, start, sizes
 
 
-def _split(text: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+def _split(text: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Code of each word of all texts, the distinct words, and the row bounds among the codes."""
     data, bounds = flat(text)
     space = (data == 32) | (data == 9) | (data == 10) | (data == 13)
@@ -102,7 +147,7 @@ def _split(text: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     np.cumsum(size, out=offsets[1:])
     body = np.ascontiguousarray(data[ranges(start, size)])
     found = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(offsets), pa.py_buffer(body)).dictionary_encode()
-    return found.indices.to_numpy(zero_copy_only=False), found.dictionary.to_pylist(), np.searchsorted(start, bounds)
+    return found.indices.to_numpy(zero_copy_only=False), found.dictionary, np.searchsorted(start, bounds)
 
 
 class Index:

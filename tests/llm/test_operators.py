@@ -401,6 +401,20 @@ def test_letters_of_all_planes(spark):
     assert dict(zip(code[row == 0].tolist(), n[row == 0].tolist(), strict=True)) == want and 1 not in row and 2 in row
 
 
+def test_words_by_parts_have_the_tokenizers_ids():
+    import pyarrow as pa
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own = Tokenizer.from_file(path)
+    rng = np.random.default_rng(6)
+    pool = ["<|endoftext|>", "<|", "|>"] + list("ab'É語　\x0b\x1cé9.,! \U0001f600\u0301İΣ½Ⅷ٣_-&$ßŉбЁ\u0958") + ["'s", "'re"]
+    words = sorted({"".join(rng.choice(pool, rng.integers(1, 9))) for _ in range(20000)})
+    for half in (words[::2], words):  # the second time half of the parts are remembered
+        ids, at, count = packing.word_ids(path, pa.array(half, pa.large_string()))
+        for w, a, n in zip(half, at, count, strict=True):
+            assert ids[a : a + n].tolist() == own.encode(w, add_special_tokens=False).ids, w
+
+
 def test_stages_keep_columns_that_operators_use(spark):
     passage = " ".join(f"w{i}" for i in range(40))
     rows = [(k, f"{passage}\nown line {k} of its own\n{passage}", "mine", [k], 7, "d", "s", "x", k) for k in range(6)]
