@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from premia.operators.ordering import running_totals
-from premia.session import small
+from premia.session import cut_lineage, small
 
 SHARE_TOLERANCE = 1e-6
 
@@ -45,30 +45,27 @@ def assess_proxies(
     """(per factor: mutual information in bits, normalised; per factor and class: AUC) and coverage.
 
     Returns (measures, coverage): measures has one row per factor and class. Rows whose key is not
-    in the reference count in the coverage only. Everything after one join works on
-    (factor, level, class) totals.
+    in the reference count in the coverage only. The book is read once, into one table of totals by
+    key, factor and level, from whose margins all measures come; that table is written, and its
+    size does not depend on the rows.
     """
     check_reference(reference, reference_key, classes)
     weight = F.col(exposure).cast("double")
-    if df.where(weight.isNull() | F.isnan(weight) | (weight < 0) | (weight == float("inf"))).limit(1).count():
+    bad = weight.isNull() | F.isnan(weight) | (weight < 0) | (weight == float("inf"))
+    melted = F.array(*[F.struct(F.lit(f).alias("factor"), F.coalesce(F.col(f).cast("string"), F.lit("(null)")).alias("level")) for f in factors])
+    totals = df.select(F.col(key).alias("__key"), weight.alias("__w"), bad.alias("__bad"), F.inline(melted)).groupBy("__key", "factor", "level")
+    totals = cut_lineage(totals.agg(F.sum("__w").alias("__w"), F.count(F.lit(1)).alias("__n"), F.max("__bad").alias("__bad")))
+    if totals.where("__bad").limit(1).count():
         raise ProxyError("exposures must be finite, not null and not negative")
-    shares = small(reference.select(F.col(reference_key).alias(key), *[F.col(c).cast("double").alias(c) for c in classes]))
-    # Pool to (key, levels) first: the join then moves totals, not rows.
-    pooled = df.groupBy(key, *factors).agg(F.sum(weight).alias("__w"), F.count(F.lit(1)).alias("__n"))
-    joined = pooled.join(shares, key, "left")
+    shares = small(reference.select(F.col(reference_key).alias("__key"), *[F.col(c).cast("double").alias(c) for c in classes]))
+    joined = totals.join(shares, "__key", "left")
     matched = F.col(classes[0]).isNotNull()
-    coverage = joined.agg(
+    coverage = joined.where(F.col("factor") == factors[0]).agg(
         F.sum(F.when(matched, F.col("__n"))).alias("matched_rows"), F.sum(F.when(matched, F.col("__w"))).alias("matched_exposure"), F.sum("__w").alias("total_exposure")
     ).withColumn("coverage", F.when(F.col("total_exposure") > 0, F.coalesce("matched_exposure", F.lit(0.0)) / F.col("total_exposure")).otherwise(0.0))
 
-    entries = F.array(
-        *[
-            F.struct(F.lit(f).alias("factor"), F.coalesce(F.col(f).cast("string"), F.lit("(null)")).alias("level"), F.lit(c).alias("class"), (F.col("__w") * F.col(c)).alias("x"))
-            for f in factors
-            for c in classes
-        ]
-    )
-    cells = joined.where(matched).select(F.inline(entries)).groupBy("factor", "level", "class").agg(F.sum("x").alias("x"))
+    entries = F.array(*[F.struct(F.lit(c).alias("class"), (F.col("__w") * F.col(c)).alias("x")) for c in classes])
+    cells = cut_lineage(joined.where(matched).select("factor", "level", F.inline(entries)).groupBy("factor", "level", "class").agg(F.sum("x").alias("x")))
     by = lambda *c: Window.partitionBy(*c)
     level_total = cells.groupBy("factor", "level").agg(F.sum("x").alias("lt"))
     class_total = cells.groupBy("factor", "class").agg(F.sum("x").alias("ct"))

@@ -1,9 +1,10 @@
 """Generalised linear models on categorical and numeric terms.
 
-Rows are first pooled to the distinct level combinations a model can tell apart, with their
-weight and mean response, which is all its likelihood depends on. Every iteration is then one
-aggregate of `X'WX` entries over those cells, and any number of variants of a model (folds,
-penalties, powers, dropped factors) iterate together in the same job.
+Rows of a model of levels alone are first pooled to the level combinations it can tell apart, with
+their weight and mean response, which is all its likelihood depends on; numerics and offsets leave
+nothing to pool. Every iteration is then one pass that adds up `X'WX` and `X'Wz` as one array for
+each partition, merged as a tree, and any number of variants of a model (folds, penalties, powers,
+dropped factors) iterate together in the same pass.
 """
 
 from __future__ import annotations
@@ -20,11 +21,14 @@ from pyspark.sql import functions as F
 
 from premia.functions import losses
 from premia.functions.special import chi2_tail, normal_ppf
+from premia.operators.partials import partitions, tree_sum
 from premia.session import cut_lineage
 
 MAX_ITERATIONS = 50
 TOLERANCE = 1e-8
 LITERAL_LEVELS = 200
+#: Columns of a model, and sums of all variants that iterate together: what a partition's array may hold.
+MAX_COLUMNS, MAX_SUMS = 2_000, 8_000_000
 NULL_LEVEL = "(null)"
 
 
@@ -234,7 +238,7 @@ def degenerate_levels(df: DataFrame, factors: Sequence[str], *, min_claims: int
 
 
 def _cells(df: DataFrame, spec: Spec, fold: str | None) -> DataFrame:
-    """Distinct cells with weight `w`, mean response `y` and offset `o`.
+    """Cells with weight `w`, mean response `y` and offset `o`: distinct ones, or rows where a number or offset tells most apart.
 
     A Poisson offset is a weight on a rate, so it needs no cell of its own.
     """
@@ -244,10 +248,14 @@ def _cells(df: DataFrame, spec: Spec, fold: str | None) -> DataFrame:
     keys = [level_text(f).alias(f) for f in spec.factors] + [F.col(n).cast("double").alias(n) for n in spec.numerics]
     if fold:
         keys.append(F.col(fold).alias("__fold"))
+    pooled = not spec.numerics
     if spec.family == "poisson" and spec.link == "log":
         rows = df.select(*keys, (weight * F.exp(offset)).alias("w"), (weight * y).alias("wy"), F.lit(0.0).alias("o"))
     else:
         rows = df.select(*keys, weight.alias("w"), (weight * y).alias("wy"), offset.alias("o"))
+        pooled = pooled and spec.exposure is None and spec.offset is None
+    if not pooled:
+        return rows.where("w > 0").withColumn("y", F.col("wy") / F.col("w")).drop("wy")
     names = [*spec.factors, *spec.numerics, *(["__fold"] if fold else []), "o"]
     grouped = rows.where("w > 0").groupBy(*names).agg(F.sum("w").alias("w"), F.sum("wy").alias("wy"))
     return grouped.withColumn("y", F.col("wy") / F.col("w")).drop("wy")
@@ -258,7 +266,9 @@ def _levels(cells: DataFrame, factors: Sequence[str]) -> dict[str, list[str]]:
     if not factors:
         return {}
     entries = F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("l")) for f in factors])
-    rows = cells.select("w", F.inline(entries)).groupBy("f", "l").agg(F.sum("w").alias("w")).collect()
+    rows = cells.select("w", F.inline(entries)).groupBy("f", "l").agg(F.sum("w").alias("w")).limit(MAX_COLUMNS + 1).collect()
+    if len(rows) > MAX_COLUMNS:
+        raise GlmError(f"the factors have more than {MAX_COLUMNS} levels; group them first")
     out: dict[str, list[str]] = {}
     for f in factors:
         mine = sorted((r for r in rows if r["f"] == f), key=lambda r: (-round(r["w"], 9), r["l"]))
@@ -292,7 +302,10 @@ def fit_variants(df: DataFrame, spec: Spec, variants: Sequence[Variant], *, fold
     df, _ = check_weights(df, spec.weight)
     cells = cut_lineage(_cells(df, spec, fold))
     levels = _levels(cells, spec.factors)
+    parts = partitions(cells)
     cells, slots, p = _encode(cells, spec, levels)
+    if len(variants) * p * p > MAX_SUMS:
+        raise GlmError(f"{len(variants)} fits of {p} columns are more than {MAX_SUMS} sums; fit fewer together")
     base = F.sum(F.col("w") * F.exp("o")) if spec.link == "log" else F.sum("w")
     start = cells.agg((F.sum(F.col("w") * F.col("y")) / base).alias("m")).first()["m"]
     if start is None or (spec.link != "identity" and start <= 0):
@@ -310,7 +323,7 @@ def fit_variants(df: DataFrame, spec: Spec, variants: Sequence[Variant], *, fold
         todo = [v for v in variants if v.name not in done]
         if not todo:
             break
-        sums = _iteration(cells, columns, p, spec, todo, beta, bool(fold))
+        sums = _iteration(cells, columns, slots, parts, p, spec, todo, beta, bool(fold))
         for k, v in enumerate(todo):
             a, b, deviance = sums[k]
             before = last.get(v.name)
@@ -370,51 +383,64 @@ def _sums(slots, p: int, spec: Spec) -> dict[str, Column]:
     """The columns every iteration adds: they name the coefficients (`b`), not their values."""
     eta = F.col("o")
     for i, x in slots:
-        eta = eta + F.when(i >= 0, F.get("b", i) * x).otherwise(F.lit(0.0))
+        eta = eta + F.when(i >= 0, F.get("__b", i) * x).otherwise(F.lit(0.0))
     mu = F.col("__mu")
     slope = losses.mean_slope(mu, spec.link)
-    power = F.col("power") if spec.family == "tweedie" else spec.power
+    power = F.col("__power") if spec.family == "tweedie" else spec.power
     weight = F.col("w") * slope * slope / losses.variance(mu, spec.family, power=power, theta=spec.theta)
-    entries = []
-    for a, (i, x) in enumerate(slots):
-        for j, x2 in slots[a:]:
-            entries.append(F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), (F.col("__wt") * x * x2).alias("v")))
-        entries.append(F.struct(i.cast("int").alias("i"), F.lit(p).alias("j"), (F.col("__wt") * F.col("__z") * x).alias("v")))
-    loss = losses.unit_deviance("y", "__mu", spec.family, power=power, theta=spec.theta)
-    entries.append(F.struct(F.lit(p).alias("i"), F.lit(p).alias("j"), (F.col("w") * loss).alias("v")))
     return {
         "__eta": eta,
         "__mu": losses.inverse_link(F.col("__eta"), spec.link),
         "__wt": weight,
         "__z": F.col("__eta") - F.col("o") + (F.col("y") - mu) / slope,
-        "entries": F.inline(F.array(*entries)),
+        "__loss": F.col("w") * losses.unit_deviance("y", "__mu", spec.family, power=power, theta=spec.theta),
     }
 
 
-def _iteration(cells, sums, p, spec, variants, beta, folded) -> list[list]:
-    """`X'WX`, `X'Wz` and the deviance of every variant at its current coefficients, from one aggregate."""
+def _iteration(cells, sums, slots, parts, p, spec, variants, beta, folded) -> list[list]:
+    """`X'WX`, `X'Wz` and the deviance of every variant at its current coefficients, in one pass.
+
+    Spark works out each row's mean, weight and working response; a partition adds them up in one array.
+    """
     table = json.dumps(
         [
-            {"m": k, "b": beta[v.name].tolist(), "power": float(v.power if v.power is not None else spec.power), "fold": v.leave_out_fold if v.leave_out_fold is not None else -1}
+            {"__m": k, "__b": beta[v.name].tolist(), "__power": float(v.power if v.power is not None else spec.power), "__out": v.leave_out_fold if v.leave_out_fold is not None else -1}
             for k, v in enumerate(variants)
         ]
     )
-    rows = cells.select("*", F.inline(F.from_json(F.lit(table), "array<struct<m:int,b:array<double>,power:double,fold:int>>")))
+    rows = cells.select("*", F.inline(F.from_json(F.lit(table), "array<struct<__m:int,__b:array<double>,__power:double,__out:int>>")))
     if folded:
-        rows = rows.where("__fold <> fold")
-    rows = rows.withColumn("__eta", sums["__eta"]).withColumn("__mu", sums["__mu"]).withColumns({"__wt": sums["__wt"], "__z": sums["__z"]})
-    summed = rows.select("m", sums["entries"]).where("i >= 0 and j >= 0").groupBy("m", "i", "j").agg(F.sum("v").alias("v"))
-    out = [[np.zeros((p, p)), np.zeros(p), 0.0] for _ in variants]
-    for r in summed.collect():  # p x p numbers per variant, whatever the rows
-        a, b, _ = out[r["m"]]
-        if r["i"] == p:
-            out[r["m"]][2] = r["v"]
-        elif r["j"] == p:
-            b[r["i"]] += r["v"]
-        else:
-            a[r["i"], r["j"]] += r["v"]
-            if r["i"] != r["j"]:
-                a[r["j"], r["i"]] += r["v"]
+        rows = rows.where("__fold <> __out")
+    rows = rows.withColumn("__eta", sums["__eta"]).withColumn("__mu", sums["__mu"]).withColumns({"__wt": sums["__wt"], "__z": sums["__z"], "__loss": sums["__loss"]})
+    n, many = len(slots), len(variants)
+    picked = rows.select("__m", "__wt", "__z", "__loss", *[i.cast("int").alias(f"__c{k}") for k, (i, _) in enumerate(slots)], *[x.cast("double").alias(f"__x{k}") for k, (_, x) in enumerate(slots)])
+
+    def part(batch):
+        # a null level, number or loss adds nothing, as in a SQL sum
+        of = lambda c, kind: batch.column(c).fill_null(kind).to_numpy(zero_copy_only=False)
+        m, wt, z, loss = of(0, 0).astype(np.int64), of(1, 0.0), of(2, 0.0), of(3, 0.0)
+        column = [of(4 + k, -1).astype(np.int64) for k in range(n)]
+        x = [of(4 + n + k, 0.0) for k in range(n)]
+        where, what = [m * size + p * p + p], [loss]
+        for a in range(n):
+            wx, row = wt * x[a], m * size + column[a] * p
+            for b in range(a, n):
+                there = (column[a] >= 0) & (column[b] >= 0)
+                where.append((row + column[b])[there])
+                what.append((wx * x[b])[there])
+            there = column[a] >= 0
+            where.append((m * size + p * p + column[a])[there])
+            what.append((wx * z)[there])
+        return np.bincount(np.concatenate(where), weights=np.concatenate(what), minlength=many * size)
+
+    size = p * p + p + 1
+    total = tree_sum(picked, part, parts=parts, size=8 * many * size)
+    total = np.zeros((many, size)) if total is None else total.reshape(many, size)
+    out = []
+    for sums_of in total:
+        half = sums_of[: p * p].reshape(p, p)
+        upper = half + half.T - np.diag(np.diag(half))  # each pair of terms was added once, on either side
+        out.append([upper, sums_of[p * p : p * p + p], float(sums_of[-1])])
     return out
 
 
@@ -544,6 +570,76 @@ def cross_validate(df: DataFrame, spec: Spec, penalties: Sequence[float], fold:
     return [{"penalty": v.penalty, "fold": v.leave_out_fold, "score": r[f"s{i}"]} for i, v in enumerate(variants)]
 
 
+@dataclass
+class Theta:
+    """A negative binomial's shape at its highest likelihood, its error, and the model fitted at it.
+
+    The variance is mu + mu^2 / value; the model's specification holds the reciprocal, 1 / value.
+    """
+
+    value: float
+    standard_error: float
+    model: Glm
+    rounds: int
+
+
+#: Counts of one row up to which a shape can be estimated, and shapes beyond which a response counts as Poisson.
+MAX_COUNT, MAX_THETA = 1_000_000, 1e7
+
+
+def estimate_theta(df: DataFrame, spec: Spec, *, tolerance: float = 1e-8) -> Theta:
+    """Shape and coefficients of a negative binomial, estimated in turns until the shape stays.
+
+    For whole responses the digamma terms of the score are sums of 1 / (theta + k) over k below the response, so the
+    table's counts, pooled by value once, are all that is needed of them; the other terms are sums over rows at each
+    trial shape. Refused are responses that are no counts, and data without overdispersion, whose likelihood has no
+    highest point.
+    """
+    rows, _ = check_weights(df, spec.weight)
+    y = F.col(spec.response).cast("double")
+    w = F.col(spec.weight).cast("double") if spec.weight else F.lit(1.0)
+    rows = rows.where((w > 0) & y.isNotNull())
+    pooled = rows.groupBy(y.alias("y")).agg(F.sum(w).alias("w")).orderBy("y").limit(MAX_COLUMNS * 50 + 1).collect()
+    values, weights = np.array([r["y"] for r in pooled]), np.array([r["w"] for r in pooled])
+    if not len(values) or (values < 0).any() or (values != np.floor(values)).any() or values.max() > MAX_COUNT or len(values) > MAX_COLUMNS * 50:
+        raise GlmError(f"{spec.response!r} is no count of 0 to {MAX_COUNT}")
+    above = np.zeros(int(values.max()))  # weight of the rows whose count is over k
+    for value, weight in zip(values, weights, strict=True):
+        above[: int(value)] += weight
+    k, total = np.arange(len(above)), float(weights.sum())
+    mean = float((values * weights).sum() / total)
+    spread = float((weights * (values - mean) ** 2).sum() / total) - mean
+    theta = mean * mean / spread if spread > 0 else 10.0
+    for turn in range(1, MAX_ITERATIONS + 1):
+        model = fit_variants(rows, replace(spec, family="negative_binomial", theta=1 / theta), [Variant("fit")])[0]
+        scored = cut_lineage(model.predict(rows, "__mu").select(y.alias("y"), w.alias("w"), "__mu"))
+        before, low, high = theta, 0.0, math.inf
+        for _ in range(MAX_ITERATIONS):
+            t = F.lit(float(theta))
+            both = t + F.col("__mu")
+            row = scored.agg(
+                F.sum(F.col("w") * (1 - F.log(both / t) - (F.col("y") + t) / both)).alias("s"),
+                F.sum(F.col("w") * (1 / t - 2 / both + (F.col("y") + t) / (both * both))).alias("h"),
+            ).first()
+            score = float((above / (theta + k)).sum()) + row["s"]
+            slope = row["h"] - float((above / (theta + k) ** 2).sum())
+            low, high = (theta, high) if score > 0 else (low, theta)
+            # Newton on the logarithm; outside of what is known to hold the root, the middle of it
+            step = score * theta / -(slope * theta * theta + score * theta) if slope * theta + score < 0 else math.copysign(1.0, score)
+            new = theta * math.exp(max(-2.0, min(2.0, step)))
+            if not low < new < high:
+                new = math.sqrt(low * high) if low and math.isfinite(high) else theta * (2.0 if score > 0 else 0.5)
+            done = abs(new - theta) <= tolerance * theta
+            theta = new
+            if theta > MAX_THETA:
+                raise GlmError("no overdispersion: the likelihood grows with the shape; fit a Poisson model")
+            if done:
+                break
+        if abs(theta - before) <= tolerance * theta * 10:
+            return Theta(theta, float(1 / math.sqrt(-slope)) if slope < 0 else math.inf, model, turn)
+    raise GlmError(f"the shape did not settle within {MAX_ITERATIONS} turns")
+
+
 def tweedie_power(df: DataFrame, spec: Spec, grid: Sequence[float]) -> tuple[float, list[dict]]:
     """The power with the highest profile likelihood on a grid; a best value at the edge is refused."""
     fits = fit_variants(df, spec, [Variant(str(p), power=p) for p in grid])

@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Partial sums that one task, or at the end the driver, adds up.
-FAN = 64
+#: Partial sums that one task, or at the end the driver, adds up; fewer if they would take more than HELD bytes.
+FAN, HELD = 64, 128 << 20
 
 
 def partitions(df: DataFrame) -> int:
@@ -21,12 +21,14 @@ def _row(total: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
 
 
-def tree_sum(df: DataFrame, part: Callable[[pa.RecordBatch], np.ndarray], dtype: type = np.float64, parts: int | None = None) -> np.ndarray | None:
+def tree_sum(df: DataFrame, part: Callable[[pa.RecordBatch], np.ndarray], dtype: type = np.float64, parts: int | None = None, size: int = 0) -> np.ndarray | None:
     """The sum of `part(batch)` over all batches of `df`; None for a table without rows.
 
-    `part` gives arrays of one length, whose size does not depend on the rows. A partition holds one such array; arrays
-    meet FAN at a time, so neither a task nor the driver holds more than FAN of them, however many partitions there are.
+    `part` gives arrays of one length, of about `size` bytes if given, that does not depend on the rows. A partition holds
+    one such array; arrays meet FAN at a time, so neither a task nor the driver ever gets more of them than that, however
+    many partitions there are.
     """
+    fan = max(2, min(FAN, HELD // max(1, size)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -48,8 +50,11 @@ def tree_sum(df: DataFrame, part: Callable[[pa.RecordBatch], np.ndarray], dtype:
 
     parts = partitions(df) if parts is None else parts
     sums = df.mapInArrow(run, "total binary")
-    while parts > FAN:
-        parts = -(-parts // FAN)
+    while parts > fan:
+        parts = -(-parts // fan)
         sums = sums.repartition(parts).mapInArrow(add, "total binary")
-    rows = sums.collect()
-    return sum(np.frombuffer(r.total, dtype) for r in rows) if rows else None
+    total = None
+    for r in sums.collect():
+        got = np.frombuffer(r.total, dtype)
+        total = got if total is None else total + got
+    return total

@@ -112,6 +112,34 @@ def glm_negative_binomial_fit(spark, sf):
     return _by_level(scored, spec.factors, F.sum("claims").alias("claims"), F.round(F.sum(w * F.col("claims")) / F.sum(w * F.col("mu")), 5).alias("score_ratio"))
 
 
+_RETURNS = """pol AS (SELECT c_custkey, any_value(c_mktsegment) AS c_mktsegment, CAST(coalesce(sum(r), 0) AS BIGINT) AS claims
+    FROM customer LEFT JOIN (SELECT o_custkey, count(*) FILTER (l_returnflag = 'R') AS r FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1) ON o_custkey = c_custkey GROUP BY 1)"""
+
+
+@query(
+    "glm_negative_binomial_theta",
+    # With one factor the means are the levels' own; the score is positive below the root, which is found by halving.
+    f"""WITH RECURSIVE {_RETURNS}, mu AS (SELECT c_mktsegment, avg(claims) AS m, count(*) AS n, sum(claims) AS s FROM pol GROUP BY 1),
+      above AS (SELECT k, count(*) AS t FROM (SELECT unnest(range(claims)) AS k FROM pol) GROUP BY 1),
+      half AS (SELECT 0 AS i, ln(1e-3) AS a, ln(1e5) AS b
+        UNION ALL SELECT i + 1, CASE WHEN up THEN mid ELSE a END, CASE WHEN up THEN b ELSE mid END
+        FROM (SELECT i, a, b, (a + b) / 2 AS mid,
+            (SELECT sum(t / (exp((a + b) / 2) + k)) FROM above) + (SELECT sum(n - n * ln(1 + m / exp((a + b) / 2)) - (s + n * exp((a + b) / 2)) / (exp((a + b) / 2) + m)) FROM mu) > 0 AS up
+          FROM half WHERE i < 60)),
+      root AS (SELECT exp((a + b) / 2) AS theta FROM half WHERE i = 60)
+      SELECT round(theta, 6) AS theta, round(1 / sqrt((SELECT sum(t / (theta + k) ** 2) FROM above)
+        - (SELECT sum(n / theta - 2 * n / (theta + m) + (s + n * theta) / (theta + m) ** 2) FROM mu)), 6) AS standard_error FROM root""",
+)
+def glm_negative_binomial_theta(spark, sf):
+    """Shape of the returned items of customers, and its error."""
+    returned = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select("l_orderkey")
+    owner = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
+    counts = returned.join(owner, "l_orderkey").groupBy("c_custkey").agg(F.count(F.lit(1)).alias("claims"))
+    rows = table(spark, sf, "customer").select("c_custkey", "c_mktsegment").join(counts, "c_custkey", "left").fillna(0, ["claims"])
+    found = glm.estimate_theta(rows, Spec("claims", "negative_binomial", ("c_mktsegment",)))
+    return spark.createDataFrame([(round(found.value, 6), round(found.standard_error, 6))], "theta double, standard_error double")
+
+
 @query("glm_model_offset", with_sql(BOOK) + _level_sql(("p_size",), "round(sum(claim_count)::DOUBLE, 3) AS observed", "round(sum(claim_count)::DOUBLE, 3) AS fitted"))
 def glm_model_offset(spark, sf):
     """A second model on top of another one's linear predictor."""
