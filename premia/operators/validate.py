@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +18,7 @@ from premia.functions.scalar import CAST_TYPES
 from premia.operators import ingest
 from premia.operators import profile as prof
 from premia.operators import reference as ref
+from premia.operators import sql_rules
 from premia.operators.ordering import linear_quantiles
 from premia.operators.prepare import cover_counts
 
@@ -517,42 +517,11 @@ def _target(rule, ctx, now, before):
 # -- user rules ------------------------------------------------------------------------------
 
 
-class SqlRuleError(ValueError):
-    """A `sql` rule that is not one read-only query over the registered tables."""
-
-
 @check("sql")
 def _sql(rule, ctx):
     """One SELECT that returns a count of violating rows, or a boolean that must hold."""
-    spark = next(iter(ctx.tables.values())).sparkSession
-    text = rule.params["query"].strip()
-    for name, df in ctx.tables.items():
-        df.createOrReplaceTempView(name)
-    try:
-        head = text.split(None, 1)[0].lower() if text else ""
-        if head not in ("select", "with"):
-            raise SqlRuleError("a sql rule must be one SELECT")
-        answer = spark.sql(text)
-        outside = [f for f in answer.inputFiles() if not _belongs(f, ctx)]
-        if outside:
-            raise SqlRuleError("a sql rule may read only the registered tables")
-        rows = answer.limit(2).collect()
-    except PySparkException as e:
-        raise SqlRuleError(str(e).splitlines()[0]) from e
-    finally:
-        for name in ctx.tables:
-            spark.catalog.dropTempView(name)
-    if len(rows) != 1 or len(rows[0]) != 1:
-        raise SqlRuleError("a sql rule must return one value")
-    value = rows[0][0]
-    violating = int(not value) if isinstance(value, bool) or value is None else int(value)
-    return Finding(violating, {"violating_rows": violating})
-
-
-def _belongs(path: str, ctx: Context) -> bool:
-    if "files" not in ctx.memo:
-        ctx.memo["files"] = {f for df in ctx.tables.values() for f in df.inputFiles()}
-    return path in ctx.memo["files"]
+    n = sql_rules.answer(ctx.tables, rule.params["query"], rule.params.get("timeout_s", sql_rules.BUDGET_S))
+    return Finding(n, {"violating_rows": n})
 
 
 # -- running ---------------------------------------------------------------------------------
