@@ -1,16 +1,19 @@
 """Validation rules over prepared tables.
 
-Rules that look at one row at a time become aggregate columns of a single pass per table; rules
-that compare rows, tables or versions run as their own small queries. A rule that cannot run is
-an error of that rule and of no other.
+Rules are compiled before anything runs. Rules of single rows and of totals become columns of one
+aggregate for each table; rules that group a table by a key share one table of groups, whatever
+table they are on; rules that join tables are one-row frames. All of these are one union, answered
+by one action. Rules that need an answer to ask the next question (quantiles, versions, `sql`) run
+by themselves. A rule that cannot run is an error of that rule and of no other.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,6 +72,36 @@ class Finding:
     skipped: str | None = None
 
 
+@dataclass(frozen=True)
+class Totals:
+    """Aggregates of a rule's table, and what they say."""
+
+    aggregates: Mapping[str, Column]
+    finish: Callable[[Mapping], Finding]
+
+
+@dataclass(frozen=True)
+class Groups:
+    """Groups of a rule's table by `keys`, with sums of `top` and `bottom`; `bad` is a predicate of `n`, `top`, `bottom`.
+
+    What is said of them: groups, bad_groups, beyond (rows after the first of each group), least and most of top / bottom.
+    """
+
+    keys: Sequence[Column]
+    bad: Column
+    finish: Callable[[Mapping], Finding]
+    top: Column = field(default_factory=lambda: F.lit(0.0))
+    bottom: Column = field(default_factory=lambda: F.lit(1.0))
+
+
+@dataclass(frozen=True)
+class Later:
+    """A frame of one row, and what it says. Rules with the same frame share its answer."""
+
+    frame: DataFrame
+    finish: Callable[[Mapping], Finding]
+
+
 @dataclass(frozen=True)
 class Result:
     rule: Rule
@@ -77,12 +110,13 @@ class Result:
     measured: Mapping[str, object]
     exposure_fraction: float | None
     detail: str = ""
+    threshold: Mapping[str, object] = field(default_factory=dict)
 
 
 #: Checks of a single row: rule -> violated predicate.
 ROW_CHECKS: dict[str, Callable[[Rule, Context], Column]] = {}
-#: All other checks: (rule, context) -> finding.
-CHECKS: dict[str, Callable[[Rule, Context], Finding]] = {}
+#: All other checks: (rule, context) -> a finding, or a question whose answer is one.
+CHECKS: dict[str, Callable[[Rule, Context], Finding | Totals | Groups | Later]] = {}
 
 
 def row_check(name: str):
@@ -216,10 +250,7 @@ def _dates(rule, ctx):
 @check("unique_key")
 def _unique(rule, ctx):
     """Rows beyond the first of their key; a key with a null part counts as a key."""
-    keys = list(rule.params["columns"])
-    repeated = ctx.tables[rule.table].groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    row = repeated.agg(F.count(F.lit(1)).alias("keys"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("rows")).first()
-    return Finding(row["rows"], {"duplicated_keys": row["keys"]})
+    return Groups([F.col(c) for c in rule.params["columns"]], F.col("n") > 1, lambda r: Finding(r["beyond"], {"duplicated_keys": r["bad_groups"]}))
 
 
 @check("reject_rate")
@@ -232,6 +263,10 @@ def _reject_rate(rule, ctx):
 # -- references ------------------------------------------------------------------------------
 
 
+def _counted(df: DataFrame) -> DataFrame:
+    return df.agg(F.count(F.lit(1)).alias("n"))
+
+
 @check("reference_lookup")
 def _lookup(rule, ctx):
     """Rows whose key has no reference row in force at the row's date."""
@@ -241,32 +276,36 @@ def _lookup(rule, ctx):
         ["key"],
         "as_at",
     )
-    row = found.agg(F.count(F.when(F.col("effective_from").isNull(), 1)).alias("n")).first()
-    return Finding(row["n"], {"unresolved_rows": row["n"]})
+    frame = found.agg(F.count(F.when(F.col("effective_from").isNull(), 1)).alias("n"))
+    return Later(frame, lambda r: Finding(r["n"], {"unresolved_rows": r["n"]}))
 
 
 @check("reference_coverage")
 def _coverage(rule, ctx):
     keys = ctx.reference_tables[rule.params["reference"]].select("key").distinct()
     used = ctx.tables[rule.table].select(F.col(rule.column).alias("key")).distinct()
-    row = keys.join(used.withColumn("used", F.lit(1)), "key", "left").agg(F.count(F.lit(1)).alias("n"), F.count("used").alias("u")).first()
-    share = row["u"] / row["n"] if row["n"] else None
-    low = share is not None and share < rule.params.get("min_coverage", 0.5)
-    return Finding(row["n"] - row["u"] if low else 0, {"coverage": share})
+    frame = keys.join(used.withColumn("used", F.lit(1)), "key", "left").agg(F.count(F.lit(1)).alias("n"), F.count("used").alias("u"))
+
+    def finish(r):
+        share = r["u"] / r["n"] if r["n"] else None
+        low = share is not None and share < rule.params.get("min_coverage", 0.5)
+        return Finding(r["n"] - r["u"] if low else 0, {"coverage": share})
+
+    return Later(frame, finish)
 
 
 @check("cross_table_key")
 def _cross(rule, ctx):
     other = ctx.tables[rule.params["references_table"]].select(F.col(rule.params["references_column"]).alias("__k")).distinct()
     df = ctx.tables[rule.table].where(F.col(rule.column).isNotNull())
-    return Finding(df.join(other, F.col(rule.column) == F.col("__k"), "left_anti").count())
+    return Later(_counted(df.join(other, F.col(rule.column) == F.col("__k"), "left_anti")), lambda r: Finding(r["n"]))
 
 
 @check("code_list_drift")
 def _drift(rule, ctx):
     codes = ctx.reference_tables[rule.params["reference"]].select(F.col("key").cast("string").alias("level")).distinct()
     levels = ctx.tables[rule.table].where(F.col(rule.column).isNotNull()).select(F.col(rule.column).cast("string").alias("level")).distinct()
-    return Finding(levels.join(codes, "level", "left_anti").count())
+    return Later(_counted(levels.join(codes, "level", "left_anti")), lambda r: Finding(r["n"]))
 
 
 # -- actuarial sense -------------------------------------------------------------------------
@@ -276,7 +315,7 @@ def _drift(rule, ctx):
 def _no_overlap(rule, ctx):
     p = rule.params
     found = ref.overlaps(ctx.tables[rule.table], [p["key"]], p["start"], p["end"])
-    return Finding(found.agg(F.coalesce(F.sum("overlapping_rows"), F.lit(0))).first()[0])
+    return Later(found.agg(F.coalesce(F.sum("overlapping_rows"), F.lit(0)).alias("n")), lambda r: Finding(r["n"]))
 
 
 def _links(rule, ctx):
@@ -299,7 +338,6 @@ def _links(rule, ctx):
                 F.count(F.when(none & F.col("__known").isNotNull(), 1)).alias("outside"),
                 F.count(F.when(F.col("n_periods") > 1, 1)).alias("multi"),
             )
-            .first()
         )
     return ctx.memo[memo]
 
@@ -307,32 +345,35 @@ def _links(rule, ctx):
 @check("claim_date_in_exposure")
 def _claim_dates(rule, ctx):
     """Claims on a known policy whose loss date is outside every period of it."""
-    return Finding(_links(rule, ctx)["outside"])
+    return Later(_links(rule, ctx), lambda r: Finding(r["outside"]))
 
 
 @check("claim_linkage_complete")
 def _linked(rule, ctx):
-    return Finding(_links(rule, ctx)["unlinked"])
+    return Later(_links(rule, ctx), lambda r: Finding(r["unlinked"]))
 
 
 @check("claim_not_multi_linked")
 def _multi(rule, ctx):
-    return Finding(_links(rule, ctx)["multi"])
+    return Later(_links(rule, ctx), lambda r: Finding(r["multi"]))
 
 
 @check("policy_year_exposure")
 def _policy_year(rule, ctx):
     """Policies with more exposure in a calendar year than allowed."""
     p = rule.params
-    total = ctx.tables[rule.table].groupBy(p["key"], F.year(p["start"]).alias("y")).agg(F.sum(ctx.exposure).alias("e"))
-    return Finding(total.where(F.col("e") > p.get("max", 1.05)).count())
+    keys = [F.col(p["key"]), F.year(p["start"])]
+    return Groups(keys, F.col("top") > p.get("max", 1.05), lambda r: Finding(r["bad_groups"]), top=F.col(ctx.exposure).cast("double"))
 
 
 @check("claim_amount_sign")
 def _sign(rule, ctx):
-    row = ctx.tables[rule.table].agg(F.count(F.when(F.col(rule.column) < 0, 1)).alias("n"), F.count(rule.column).alias("t")).first()
-    share = row["n"] / row["t"] if row["t"] else 0.0
-    return Finding(row["n"] if share > rule.params.get("max_negative_share", 0.01) else 0, {"negative_share": share})
+
+    def finish(r):
+        share = r["n"] / r["t"] if r["t"] else 0.0
+        return Finding(r["n"] if share > rule.params.get("max_negative_share", 0.01) else 0, {"negative_share": share})
+
+    return Totals({"n": F.count(F.when(F.col(rule.column) < 0, 1)), "t": F.count(rule.column)}, finish)
 
 
 @check("severity_outlier")
@@ -345,25 +386,23 @@ def _outlier(rule, ctx):
     return Finding(df.where(F.col(rule.column) > limit).count() if limit is not None else 0, {"threshold": limit})
 
 
-def _band(rule, ctx, top: Column, bottom: Column, low: float, high: float, what: str) -> Finding:
+def _band(rule, top: Column, bottom: Column, low: float, high: float, what: str) -> Groups:
     by = rule.params.get("by")
-    grouped = ctx.tables[rule.table].groupBy(*([by] if by else [])).agg(F.try_divide(top, bottom).alias("x"))
-    row = grouped.agg(
-        F.count(F.when((F.col("x") < low) | (F.col("x") > high), 1)).alias("n"), F.min("x").alias("a"), F.max("x").alias("b")
-    ).first()
-    return Finding(row["n"], {f"min_{what}": row["a"], f"max_{what}": row["b"]})
+    x = F.try_divide(F.col("top"), F.col("bottom"))
+    said = lambda r: Finding(r["bad_groups"], {f"min_{what}": r["least"], f"max_{what}": r["most"]})
+    return Groups([F.col(by)] if by else [], (x < low) | (x > high), said, top.cast("double"), bottom.cast("double"))
 
 
 @check("frequency_plausible")
 def _frequency(rule, ctx):
     p = rule.params
-    return _band(rule, ctx, F.sum("claim_count").cast("double"), F.sum(ctx.exposure), p.get("min_frequency", 0.0), p.get("max_frequency", 1.0), "frequency")
+    return _band(rule, F.col("claim_count"), F.col(ctx.exposure), p.get("min_frequency", 0.0), p.get("max_frequency", 1.0), "frequency")
 
 
 @check("severity_plausible")
 def _severity(rule, ctx):
     p = rule.params
-    return _band(rule, ctx, F.sum("claim_amount_minor").cast("double"), F.sum("claim_count").cast("double"), p.get("min_severity", 0), p.get("max_severity", 10**12), "severity")
+    return _band(rule, F.col("claim_amount_minor"), F.col("claim_count"), p.get("min_severity", 0), p.get("max_severity", 10**12), "severity")
 
 
 @check("zero_claim_cohort")
@@ -383,18 +422,21 @@ def _zero_cohort(rule, ctx):
 @check("development_maturity")
 def _maturity(rule, ctx):
     """Share of exposure in the last months before the latest date (claims there are immature)."""
-    df, months = ctx.tables[rule.table], rule.params.get("months", 3)
-    last = df.agg(F.add_months(F.max(rule.column), -months).alias("d")).first()["d"]
-    row = df.agg(F.sum(F.when(F.col(rule.column) > F.lit(last), F.col(ctx.exposure))).alias("a"), F.sum(ctx.exposure).alias("t")).first()
-    share = (row["a"] or 0.0) / row["t"] if row["t"] else 0.0
-    n = df.where(F.col(rule.column) > F.lit(last)).count() if share > rule.params.get("max_share", 0.05) else 0
-    return Finding(n, {"immature_share": share}, share)
+    by_date = ctx.tables[rule.table].groupBy(F.col(rule.column).alias("d")).agg(F.sum(ctx.exposure).alias("e"), F.count(F.lit(1)).alias("k"))
+    # over one row per date
+    late = F.col("d") > F.add_months(F.max("d").over(Window.partitionBy(F.lit(1))), -rule.params.get("months", 3))
+    frame = by_date.select("e", "k", late.alias("late")).agg(F.sum(F.when(F.col("late"), F.col("e"))).alias("a"), F.sum("e").alias("t"), F.count_if("late").alias("dates"), F.sum(F.when(F.col("late"), F.col("k"))).alias("n"))
+
+    def finish(r):
+        share = (r.get("a") or 0.0) / r["t"] if r.get("t") else 0.0
+        return Finding((r.get("n") or 0) if share > rule.params.get("max_share", 0.05) else 0, {"immature_share": share}, share)
+
+    return Later(frame, finish)
 
 
 @check("currency_consistency")
 def _currency(rule, ctx):
-    n = ctx.tables[rule.table].select(rule.column).distinct().count()
-    return Finding(max(0, n - 1), {"currencies": n})
+    return Groups([F.col(rule.column)], F.lit(False), lambda r: Finding(max(0, r["groups"] - 1), {"currencies": r["groups"]}))
 
 
 @check("duplicate_claim")
@@ -528,31 +570,152 @@ def _sql(rule, ctx):
 
 
 def run_validation(ctx: Context, rules: Sequence[Rule]) -> list[Result]:
-    """Every rule's result, in order. Row rules of a table share one pass over it."""
+    """Every rule's result, in order."""
     findings: dict[int, Finding | Exception] = {}
-    by_table: dict[str, list[tuple[int, Rule, Column]]] = {}
+    asked: dict[int, Totals | Groups | Later] = {}
     for i, rule in enumerate(rules):
         try:
             if rule.check in ROW_CHECKS:
-                predicate = ROW_CHECKS[rule.check](rule, ctx)
-                ctx.tables[rule.table].select(predicate.alias("p")).schema  # noqa: B018 - analyses the rule
-                by_table.setdefault(rule.table, []).append((i, rule, predicate))
-            elif rule.check not in CHECKS:
+                made = _row_totals(ctx, rule, ROW_CHECKS[rule.check](rule, ctx))
+            elif rule.check in CHECKS:
+                made = CHECKS[rule.check](rule, ctx)
+            else:
                 raise KeyError(f"no check named {rule.check!r}")
+            if isinstance(made, Finding):
+                findings[i] = made
+            else:
+                _analysed(ctx, rule, made)
+                asked[i] = made
         except Exception as e:  # noqa: BLE001 - a broken rule must not stop the others
             findings[i] = e
-    for table, members in by_table.items():
-        findings.update(_fused(ctx, ctx.tables[table], members))
-    for i, rule in enumerate(rules):
-        if i in findings or rule.check in ROW_CHECKS:
-            continue
-        try:
-            findings[i] = CHECKS[rule.check](rule, ctx)
-        except Exception as e:  # noqa: BLE001
-            findings[i] = e
+    findings.update(_answers(ctx, rules, asked))
     return [_judge(rule, findings[i]) for i, rule in enumerate(rules)]
 
 
+def _analysed(ctx: Context, rule: Rule, made) -> None:
+    """Spark resolves the columns of a question, so that a wrong name is its rule's error alone."""
+    if isinstance(made, Totals):
+        ctx.tables[rule.table].agg(*[c.alias(k) for k, c in made.aggregates.items()])
+    elif isinstance(made, Groups):
+        _melted(ctx, [(0, rule, made)])
+
+
+def _row_totals(ctx: Context, rule: Rule, predicate: Column) -> Totals:
+    weight = F.col(ctx.exposure) if ctx.exposure in ctx.tables[rule.table].columns else F.lit(None).cast("double")
+
+    def finish(r):
+        total = r.get("total_exposure")
+        return Finding(r["v"], {"violating_rows": r["v"]}, (r.get("e") or 0.0) / total if total else None)
+
+    return Totals({"v": F.count(F.when(predicate, 1)), "e": F.sum(F.when(predicate, weight))}, finish)
+
+
+def _melted(ctx: Context, members) -> DataFrame:
+    """(rule, key, n, top, bottom, e) of every group of rules that group, in one table; a table is read once."""
+    out = None
+    for table in dict.fromkeys(rule.table for _, rule, _ in members):
+        df = ctx.tables[table]
+        weight = F.col(ctx.exposure).cast("double") if ctx.exposure in df.columns else F.lit(None).cast("double")
+        entries = [
+            F.struct(
+                F.lit(i).alias("rule"), (F.to_json(F.struct(*[k.alias(f"k{j}") for j, k in enumerate(g.keys)]), {"ignoreNullFields": "false"}) if g.keys else F.lit("{}")).alias("key"),
+                g.top.cast("double").alias("top"), g.bottom.cast("double").alias("bottom"), weight.alias("e"),
+            )
+            for i, rule, g in members
+            if rule.table == table
+        ]
+        rows = df.select(F.inline(F.array(*entries)))
+        out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("rule", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("top").alias("top"), F.sum("bottom").alias("bottom"), F.sum("e").alias("e"))
+
+
+def _bad_groups(members) -> Column:
+    bad = F.lit(False)
+    for i, _, g in members:
+        bad = F.when(F.col("rule") == i, g.bad).otherwise(bad)
+    return F.coalesce(bad, F.lit(False))
+
+
+def _union(ctx: Context, rules: Sequence[Rule], asked: Mapping[int, Totals | Groups | Later]) -> DataFrame:
+    """(question, answer): one row of JSON for each table's totals, each grouping rule and each frame."""
+    parts = []
+    for table in dict.fromkeys(rules[i].table for i, q in asked.items() if not isinstance(q, Later)):
+        df = ctx.tables[table]
+        columns = [F.sum(F.col(ctx.exposure) if ctx.exposure in df.columns else F.lit(None).cast("double")).alias("total_exposure")]
+        columns += [c.alias(f"{k}{i}") for i, q in asked.items() if isinstance(q, Totals) and rules[i].table == table for k, c in q.aggregates.items()]
+        parts.append(df.agg(*columns).select(F.lit(f"table {table}").alias("question"), F.to_json(F.struct("*")).alias("answer")))
+    members = [(i, rules[i], q) for i, q in asked.items() if isinstance(q, Groups)]
+    if members:
+        bad, x = _bad_groups(members), F.try_divide(F.col("top"), F.col("bottom"))
+        judged = _melted(ctx, members).withColumns({"bad": bad, "x": x}).groupBy("rule").agg(
+            F.count(F.lit(1)).alias("groups"), F.count_if("bad").alias("bad_groups"), F.sum(F.col("n") - 1).alias("beyond"), F.min("x").alias("least"),
+            F.max("x").alias("most"), F.sum(F.when(F.col("bad"), F.col("e"))).alias("e"),
+        )
+        parts.append(judged.select(F.concat(F.lit("groups "), F.col("rule").cast("string")).alias("question"), F.to_json(F.struct("*")).alias("answer")))
+    frames = {id(q.frame): q.frame for q in asked.values() if isinstance(q, Later)}
+    parts += [frame.select(F.lit(f"frame {k}").alias("question"), F.to_json(F.struct("*")).alias("answer")) for k, frame in frames.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _answers(ctx: Context, rules: Sequence[Rule], asked: Mapping[int, Totals | Groups | Later]) -> dict[int, Finding | Exception]:
+    """What each question's answer says; when the one action fails, halves of the questions are tried until the culprits are alone."""
+    if not asked:
+        return {}
+    try:
+        said = {r["question"]: json.loads(r["answer"]) for r in _union(ctx, rules, asked).collect()}
+        out: dict[int, Finding | Exception] = {}
+        for i, q in asked.items():
+            total = said.get(f"table {rules[i].table}", {}).get("total_exposure")
+            if isinstance(q, Totals):
+                mine = said[f"table {rules[i].table}"]
+                out[i] = q.finish({"total_exposure": total} | {k: mine.get(f"{k}{i}") for k in q.aggregates})
+            elif isinstance(q, Groups):
+                mine = {"groups": 0, "bad_groups": 0, "beyond": 0, "least": None, "most": None} | said.get(f"groups {i}", {})
+                found = q.finish(mine)
+                out[i] = Finding(found.violating, found.measured, (mine.get("e") or 0.0) / total if total else None)
+            else:
+                out[i] = q.finish(said[f"frame {id(q.frame)}"])
+        return out
+    except Exception as e:  # noqa: BLE001 - one rule fails at run time: find it, keep the rest
+        if len(asked) == 1:
+            return dict.fromkeys(asked, e)
+        order = list(asked)
+        half = len(order) // 2
+        return _answers(ctx, rules, {i: asked[i] for i in order[:half]}) | _answers(ctx, rules, {i: asked[i] for i in order[half:]})
+
+
+def offending_samples(ctx: Context, rules: Sequence[Rule], keys: Mapping[str, Sequence[str]]) -> DataFrame:
+    """(rule, place, key): the SAMPLE smallest offending keys of all row and grouping rules, as JSON, in one pass for each table.
+
+    `keys` names the key columns of each table; a grouping rule's keys are those it groups by. Each task keeps SAMPLE keys
+    of a rule before they meet, so a rule that all rows break moves no more than that.
+    """
+    members, parts = [], []
+    for i, rule in enumerate(rules):
+        if rule.check not in ROW_CHECKS:
+            made = CHECKS[rule.check](rule, ctx)
+            if isinstance(made, Groups):
+                members.append((i, rule, made))
+    for table in dict.fromkeys(r.table for r in rules if r.check in ROW_CHECKS):
+        key = F.to_json(F.struct(*[F.col(c) for c in keys[table]]), {"ignoreNullFields": "false"})
+        broken = [F.when(ROW_CHECKS[r.check](r, ctx), F.lit(i)) for i, r in enumerate(rules) if r.check in ROW_CHECKS and r.table == table]
+        parts.append(ctx.tables[table].select(F.explode(F.array_compact(F.array(*broken))).alias("i"), F.struct(*[F.col(c) for c in keys[table]]).alias("order"), key.alias("key")))
+    if members:
+        parts.append(_melted(ctx, members).where(_bad_groups(members)).select(F.col("rule").alias("i"), F.col("key").alias("order"), "key"))
+    found = None
+    for part in parts:
+        w = Window.partitionBy("i").orderBy("order", "key")
+        part = part.withColumn("place", F.row_number().over(w)).where(F.col("place") <= SAMPLE).select("i", "place", "key")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return next(iter(ctx.tables.values())).sparkSession.createDataFrame([], "rule string, place int, key string")
+    name = F.element_at(F.array(*[F.lit(r.slug) for r in rules]), F.col("i") + 1)
+    return found.select(name.alias("rule"), "place", "key")
+
+
 def row_violations(ctx: Context, rules: Sequence[Rule]) -> DataFrame:
     """One row of counts (`v<i>`), affected exposure (`e<i>`) and totals for row rules of a table."""
     df = ctx.tables[rules[0].table]
@@ -568,31 +731,20 @@ def _fused_frame(ctx: Context, df: DataFrame, members) -> DataFrame:
     return df.agg(*aggs)
 
 
-def _fused(ctx: Context, df: DataFrame, members) -> dict[int, Finding | Exception]:
-    try:
-        row = _fused_frame(ctx, df, members).first()
-    except Exception as e:  # noqa: BLE001
-        if len(members) == 1:
-            return {members[0][0]: e}
-        out: dict[int, Finding | Exception] = {}
-        for member in members:  # one rule fails at run time: find it, keep the rest
-            out.update(_fused(ctx, df, [member]))
-        return out
-    total = row["total_exposure"]
-    return {
-        i: Finding(row[f"v{i}"], {"violating_rows": row[f"v{i}"]}, (row[f"e{i}"] or 0.0) / total if total else None)
-        for i, _, _ in members
-    }
-
-
 def _judge(rule: Rule, finding: Finding | Exception) -> Result:
     if isinstance(finding, Exception):
-        return Result(rule, "error", None, {}, None, str(finding).splitlines()[0] if str(finding) else type(finding).__name__)
+        return Result(rule, "error", None, {}, None, str(finding).splitlines()[0] if str(finding) else type(finding).__name__, _threshold(rule))
     if finding.skipped:
-        return Result(rule, "skipped", None, finding.measured, None, finding.skipped)
+        return Result(rule, "skipped", None, finding.measured, None, finding.skipped, _threshold(rule))
     bad = finding.violating > rule.max_violating_rows
     outcome = {"info": "pass", "warn": "warn", "fail": "fail"}[rule.severity] if bad else "pass"
-    return Result(rule, outcome, finding.violating, finding.measured, finding.exposure_fraction)
+    return Result(rule, outcome, finding.violating, finding.measured, finding.exposure_fraction, threshold=_threshold(rule))
+
+
+def _threshold(rule: Rule) -> dict[str, object]:
+    """What a rule was held against: its numbers and value lists, and the rows it lets pass."""
+    mine = {k: v for k, v in rule.params.items() if isinstance(v, (int, float)) or k == "values"}
+    return mine | {"max_violating_rows": rule.max_violating_rows}
 
 
 def overall(results: Sequence[Result]) -> str:
@@ -611,6 +763,12 @@ def offending_sample(ctx: Context, rule: Rule, keys: Sequence[str]) -> DataFrame
     return ctx.tables[rule.table].where(predicate).select(*keys).orderBy(*keys).limit(SAMPLE)
 
 
+def detailed_frame(spark, results: Sequence[Result]) -> DataFrame:
+    """Outcome, threshold as JSON, and affected rows and share of the exposure, of every rule."""
+    rows = [(r.rule.slug, r.outcome, json.dumps(r.threshold, sort_keys=True, default=str), r.violating, r.exposure_fraction) for r in results]
+    return spark.createDataFrame(rows, "rule string, outcome string, threshold string, violating_rows long, exposure_fraction double")
+
+
 def report_frame(spark, results: Sequence[Result]) -> DataFrame:
     rows = [(r.rule.slug, r.rule.layer, r.rule.severity, r.outcome, r.violating) for r in results]
     return spark.createDataFrame(rows, "rule string, layer string, severity string, outcome string, violating_rows long")

@@ -205,3 +205,62 @@ def validation_offending_keys(spark, sf):
     rule = _ROW_RULES[6][0]
     ctx = Context({"book": book(spark, sf)})
     return val.offending_sample(ctx, rule, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]).select("l_orderkey", "l_linenumber")
+
+
+_GROUP_RULES = [
+    # rule, threshold, table, key, predicate of a group
+    (Rule("line-key", "unique_key", "book", params={"columns": ["l_orderkey", "l_linenumber"]}), '{"max_violating_rows": 0}', "book", ("l_orderkey", "l_linenumber"), "count(*) > 1", "sum(n - 1)"),
+    (Rule("policy-year", "policy_year_exposure", "policy_exposure", params={"key": "policy_id", "start": "exposure_start", "max": 2.4}, severity="warn", layer="actuarial"),
+     '{"max": 2.4, "max_violating_rows": 0}', "policy_exposure", ("policy_id", "year(exposure_start)"), "sum(exposure_years) > 2.4", "count(*)"),
+    (Rule("frequency-band", "frequency_plausible", "book", params={"by": "p_brand", "min_frequency": 0.64, "max_frequency": 0.67}, severity="warn", layer="actuarial"),
+     '{"max_frequency": 0.67, "max_violating_rows": 0, "min_frequency": 0.64}', "book", ("p_brand",), "sum(claim_count) / sum(exposure_years) NOT BETWEEN 0.64 AND 0.67", "count(*)"),
+]
+_THRESHOLDS = (
+    '{"max_violating_rows": 0}', '{"max_violating_rows": 0, "values": ["A", "N"]}', '{"max_violating_rows": 0, "min_exclusive": 0}', '{"max_inclusive": 0.95, "max_violating_rows": 0}',
+    '{"integer": true, "max_violating_rows": 0, "min_inclusive": 0}', '{"max_violating_rows": 0}', '{"max_violating_rows": 0}', '{"max_exclusive": 100000, "max_violating_rows": 1000000000}',
+)
+
+
+def _details_sql() -> str:
+    parts = [
+        f"""SELECT '{r.slug}' AS rule, CASE WHEN count(*) FILTER ({p}) > {r.max_violating_rows} THEN '{r.severity}' ELSE 'pass' END AS outcome, '{t}' AS threshold,
+        CAST(count(*) FILTER ({p}) AS BIGINT) AS violating_rows, round(coalesce(sum(exposure_years) FILTER ({p}), 0) / sum(exposure_years), 9) AS exposure_fraction FROM src"""
+        for (r, p), t in zip(_ROW_RULES, _THRESHOLDS, strict=True)
+    ]
+    parts += [
+        f"""SELECT '{r.slug}', CASE WHEN coalesce({n}, 0) > 0 THEN '{r.severity}' ELSE 'pass' END, '{t}', CAST(coalesce({n}, 0) AS BIGINT),
+        round(coalesce(sum(e), 0) / (SELECT sum(exposure_years) FROM {table}), 9) FROM (SELECT count(*) AS n, sum(exposure_years) AS e FROM {table} GROUP BY {", ".join(keys)} HAVING {bad})"""
+        for r, t, table, keys, bad, n in _GROUP_RULES
+    ]
+    return " UNION ALL ".join(parts)
+
+
+@query("validation_details", with_sql(BOOK, POLICY_EXPOSURE, "src AS (SELECT *, nullif(c_mktsegment, 'BUILDING') AS segment FROM book)") + _details_sql())
+def validation_details(spark, sf):
+    """Threshold, affected rows and affected exposure of rules on rows and on groups, from one action."""
+    rules = [r for r, _ in _ROW_RULES] + [g[0] for g in _GROUP_RULES]
+    found = val.detailed_frame(spark, val.run_validation(Context(_tables(spark, sf)), rules))
+    return found.withColumn("exposure_fraction", F.round("exposure_fraction", 9))
+
+
+_BOOK_KEYS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+def _samples_sql() -> str:
+    text = lambda names: " || ',' || ".join(f"'\"{name}\":' || {value}" for name, value in names)
+    row = "'{' || " + text([(c, c) for c in _BOOK_KEYS]) + " || '}'"
+    parts = [
+        f"""SELECT '{r.slug}' AS rule, CAST(row_number() OVER (ORDER BY {", ".join(_BOOK_KEYS)}, key) AS INTEGER) AS place, key FROM (SELECT *, {row} AS key FROM src WHERE {p})"""
+        for r, p in (_ROW_RULES[0], _ROW_RULES[6])
+    ]
+    for r, _, table, keys, bad, _ in _GROUP_RULES:
+        shown = "'{' || " + text([(f"k{j}", f"'\"' || {c} || '\"'" if c == "p_brand" else c) for j, c in enumerate(keys)]) + " || '}'"
+        parts.append(f"SELECT '{r.slug}', CAST(row_number() OVER (ORDER BY key) AS INTEGER), key FROM (SELECT {shown} AS key FROM {table} GROUP BY {', '.join(keys)} HAVING {bad})")
+    return "SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE place <= 100"
+
+
+@query("validation_samples", with_sql(BOOK, POLICY_EXPOSURE, "src AS (SELECT *, nullif(c_mktsegment, 'BUILDING') AS segment FROM book)") + _samples_sql())
+def validation_samples(spark, sf):
+    """Up to 100 offending keys of each rule, smallest first."""
+    rules = [_ROW_RULES[0][0], _ROW_RULES[6][0], *[g[0] for g in _GROUP_RULES]]
+    return val.offending_samples(Context(_tables(spark, sf)), rules, {"book": _BOOK_KEYS, "policy_exposure": ("period_id",)})
