@@ -6,10 +6,12 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from premia.operators.banding import Banding, band_label
+from premia.operators.columns_read import columns_of
 from premia.operators.grouping import Grouping, apply_grouping
 from premia.session import small
 
@@ -49,10 +51,16 @@ def rateable(factors: Sequence[Factor]) -> list[Factor]:
     return [f for f in factors if f.intent not in REFUSED_INTENTS]
 
 
-def needed_columns(factors: Sequence[Factor], offsets: Sequence[str] = ()) -> list[str]:
-    """Source columns a fit reads."""
+def needed_columns(factors: Sequence[Factor], offsets: Sequence[str] = (), df: DataFrame | None = None) -> list[str]:
+    """Source columns a fit reads, each once: offsets, then every factor's.
+
+    An expression's are those its resolved tree refers to; that takes the table, `df`.
+    """
     out = dict.fromkeys(offsets)
     for f in factors:
+        if f.kind == "expression" and df is not None:
+            out.update(dict.fromkeys(factor_columns(df, f)))
+            continue
         banded = f.banding.column if f.banding and f.kind == "banding" else None
         for c in (f.column, banded, f.grouping and f.grouping.column):
             if c:
@@ -60,6 +68,16 @@ def needed_columns(factors: Sequence[Factor], offsets: Sequence[str] = ()) -> li
     return list(out)
 
 
+def factor_columns(df: DataFrame, factor: Factor) -> list[str]:
+    """Columns of `df` that one factor reads; an interaction reads its operands' through them."""
+    if factor.kind != "expression":
+        return needed_columns([factor])
+    try:
+        return columns_of(df, factor.expression)
+    except AnalysisException as e:
+        raise FactorError(f"factor {factor.slug!r}: {str(e).splitlines()[0]}") from e
+
+
 def resolve_factors(df: DataFrame, factors: Sequence[Factor]) -> Resolved:
     """Add `<slug>__resolved` for every transformed factor; an identity keeps its column.
 
@@ -71,7 +89,7 @@ def resolve_factors(df: DataFrame, factors: Sequence[Factor]) -> Resolved:
     by_slug = {f.slug: f for f in factors}
     if len(by_slug) != len(factors):
         raise FactorError("factor slugs repeat")
-    missing = [c for c in needed_columns([f for f in factors]) if c not in df.columns]
+    missing = [c for c in needed_columns(factors, df=df) if c not in df.columns]
     if missing:
         raise FactorError(f"column(s) {missing} are absent")
     terms: dict[str, str] = {}

@@ -224,6 +224,23 @@ def resolve_factors(spark, sf):
     )
 
 
+_FACTOR_COLUMNS = (("size", "p_size"), ("brand", "p_brand"), ("segment", "c_mktsegment"), ("price", "l_quantity"), ("price", "l_extendedprice"), ("status", "l_returnflag"), ("status", "l_linestatus"))
+
+
+@query(
+    "factor_columns_read",
+    with_sql(BOOK) + " UNION ALL ".join(f"SELECT '{f}' AS factor, '{c}' AS \"column\", count(DISTINCT {c}) AS levels FROM book" for f, c in _FACTOR_COLUMNS),
+)
+def factor_columns_read(spark, sf):
+    """Columns that each factor reads, expressions by their resolved trees, and how many levels they have."""
+    b = book(spark, sf, "part", "customer")
+    pairs = [(f.slug, c) for f in FACTORS for c in fc.factor_columns(b, f)]
+    needed = fc.needed_columns(FACTORS, df=b)
+    entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level")) for c in needed])
+    levels = b.select(F.inline(entries)).where("level is not null").distinct().groupBy("column").agg(F.count(F.lit(1)).alias("levels"))
+    return spark.createDataFrame(pairs, "factor string, column string").join(levels, "column")
+
+
 @query(
     "unseen_level_counts",
     with_sql(BOOK, f"b AS (SELECT *, CASE WHEN start_date >= DATE '{VERSION_CUT}' AND p_size > 45 THEN 'big' ELSE p_type END AS kind FROM book)")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from premia.functions import scalar
+from premia.operators import columns_read as lineage
 from premia.operators import ingest, prepare, splits
 from premia.plans.registry import query
 from premia.plans.views import (
@@ -271,6 +272,49 @@ def recipe_clean_rows(spark, sf):
     return done.tables["orders"].withColumn("start_date", F.col("start_date").cast("string"))
 
 
+_LINEAGE = (("customer", "policy_id"), ("k", "k"), ("level", "level"), ("premium", "loaded"), ("premium", "premium"), ("start_date", "start_date"), ("status", "status"))
+
+
+@query(
+    "recipe_lineage",
+    # a source column's values in the raw table, and how many distinct ones the clean column has
+    with_sql(_RECIPE_SOURCE, _CLEAN)
+    + ", done AS (SELECT k, lvl AS level, CAST(premium AS BIGINT) AS premium, start_date, coalesce(status, 'unknown') AS status, customer AS policy_id, loaded"
+    + " FROM clean WHERE loaded > 100001 QUALIFY row_number() OVER (PARTITION BY customer, lvl ORDER BY k) = 1)"
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", '{s}' AS source, (SELECT count({s}) FROM src) AS source_values, (SELECT count(DISTINCT {c}) FROM done) AS levels" for s, c in _LINEAGE
+    ),
+)
+def recipe_lineage(spark, sf):
+    """Which source columns each clean column comes from, with the values of both."""
+    source = _recipe_source(spark, sf)
+    found = lineage.recipe_lineage({"orders": source}, _RECIPE)
+    done = prepare.apply_recipe({"orders": source}, _RECIPE, row_keys={"orders": "k"}).tables["orders"]
+    pairs = [(c, s) for (_, c), sources in sorted(found.items()) for _, s in sorted(sources)]
+    values = source.agg(*[F.count(c).alias(c) for c in source.columns]).select(F.inline(F.array(*[F.struct(F.lit(c).alias("source"), F.col(c).alias("source_values")) for c in source.columns])))
+    entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level")) for c in done.columns])
+    levels = done.select(F.inline(entries)).where("level is not null").distinct().groupBy("column").agg(F.count(F.lit(1)).alias("levels"))
+    return spark.createDataFrame(pairs, "column string, source string").join(values, "source").join(levels, "column")
+
+
+_READS = ((0, "trim_whitespace", "level"), (1, "normalise_case", "level"), (2, "cast", "premium"), (2, "cast", "customer"), (3, "parse_date", "start_date"), (4, "map_values", "level"),
+          (5, "fill_null", "status"), (6, "derive_expression", "premium"), (7, "filter_rows", "loaded"), (8, "deduplicate", "customer"), (8, "deduplicate", "level"), (9, "rename", "customer"))
+
+
+@query(
+    "recipe_columns_read",
+    with_sql(_RECIPE_SOURCE)
+    + " UNION ALL ".join(f"SELECT {i} AS step, '{kind}' AS kind, '{c}' AS reads, (SELECT count({c if c != 'loaded' else 'NULL'}) FROM src) AS source_values" for i, kind, c in _READS),
+)
+def recipe_columns_read(spark, sf):
+    """Columns that each step of the recipe reads, and how many values the source has of them."""
+    source = _recipe_source(spark, sf)
+    pairs = [(s.index, s.kind, c) for s in lineage.recipe_columns({"orders": source}, _RECIPE) for c in s.reads]
+    values = source.agg(*[F.count(c).alias(c) for c in source.columns]).select(F.inline(F.array(*[F.struct(F.lit(c).alias("reads"), F.col(c).alias("n")) for c in source.columns])))
+    read = spark.createDataFrame(pairs, "step int, kind string, reads string").join(values, "reads", "left")
+    return read.select("step", "kind", "reads", F.coalesce("n", F.lit(0)).cast("long").alias("source_values"))
+
+
 @query(
     "recipe_quarantine",
     with_sql(_RECIPE_SOURCE)
