@@ -286,3 +286,11 @@ def test_map_from_table(spark):
 def test_unknown_cast_of_a_recipe_raises_at_build(spark):
     with pytest.raises((ValueError, PySparkException)):
         scalar.cast_to("x", "decimal")
+
+
+def test_positions_fall_into_parts_by_name(spark):
+    at = spark.createDataFrame([(u,) for u in (0.0, 0.1999, 0.2, 0.45, 0.5, 0.99, 1.0, None)], "u double")
+    got = [r.part for r in at.select(splits.part_at(F.col("u"), {"c": 0.5, "a": 0.2, "b": 0.3, "none": 0.0}).alias("part")).collect()]
+    assert got == ["a", "a", "b", "b", "c", "c", "none", "none"]
+    stretched = at.select(splits.part_at(F.col("u"), {"a": 0.5, "b": 0.5005}).alias("part")).collect()
+    assert [r.part for r in stretched] == ["a", "a", "a", "a", "b", "b", "b", "b"]
