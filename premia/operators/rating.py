@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from premia.functions.hashing import hash_unit
 from premia.functions.scalar import round_exact
 from premia.operators import reference
-from premia.session import BROADCAST_ROWS
+from premia.session import BROADCAST_ROWS, small
 
 #: Unrounded money inside the ladder.
 AMOUNT = "decimal(28,8)"
@@ -403,12 +403,30 @@ def sample_traces(scored: DataFrame, rate: float, seed: int, quote: str = "quote
 
 
 def query_traces(traces: DataFrame, *, version: str, since: str, until: str, time: str = "scored_on") -> DataFrame:
-    """Production traces of a version in `[since, until)`; `time` is the store's partition column."""
+    """Production traces of a version in `[since, until)`.
+
+    Of a trace store only the folders of that version and those months are read: the months follow from the dates.
+    """
+    if "scored_month" in traces.columns:
+        month = F.col("scored_month")
+        traces = traces.where((month >= F.date_format(F.lit(since).cast("date"), "yyyy-MM")) & (month <= F.date_format(F.lit(until).cast("date"), "yyyy-MM")))
     return traces.where(
         (F.col("version") == version) & (F.col(time) >= F.lit(since).cast("date")) & (F.col(time) < F.lit(until).cast("date")) & (F.col("environment") == "production")
     )
 
 
+def traces_of_releases(store: DataFrame, releases: DataFrame, time: str = "scored_on") -> DataFrame:
+    """Traces of many releases (version, environment, since, until) at once, `until` excluded, with the release's `release`.
+
+    Releases become rows of (environment, version, month), which meet the store on its folders' columns: once they are
+    known, Spark reads only the folders that some release names. A trace in two releases' periods comes with each.
+    """
+    months = F.sequence(F.trunc("since", "month"), F.trunc(F.date_sub("until", 1), "month"), F.expr("interval 1 month"))
+    spans = releases.where("since < until").select("release", "version", "environment", "since", "until", F.explode(F.transform(months, lambda m: F.date_format(m, "yyyy-MM"))).alias("scored_month"))
+    met = store.join(small(spans), ["environment", "version", "scored_month"])
+    return met.where((F.col(time) >= F.col("since")) & (F.col(time) < F.col("until"))).drop("since", "until")
+
+
 def reproduce(stored: DataFrame, again: DataFrame, quote: str = "quote_id") -> DataFrame:
     """Stored quotes against a re-score: whether each compared field is exactly the same."""
     fields = ("outcome", "reasons", "premium_minor", "ladder")

@@ -292,6 +292,29 @@ def trace_query(spark, sf):
     return ra.query_traces(store, version="motor@1", since="1997-01-01", until="1997-07-01").groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
+_RELEASES = (("early", "motor@1", "production", "1996-03-15", "1996-05-02"), ("late", "motor@1", "staging", "1997-11-01", "1998-02-01"), ("none", "motor@9", "production", "1996-01-01", "1997-01-01"))
+
+
+@query(
+    "trace_store_releases",
+    with_sql(QUOTES, RATES, _scored_sql("s", 1))
+    + " UNION ALL ".join(
+        f"""SELECT '{r}' AS release, outcome, CAST(count(*) AS BIGINT) AS n FROM s WHERE '{v}' = 'motor@1' AND (purpose = 'renewal') = ('{e}' = 'production')
+        AND as_at >= DATE '{a}' AND as_at < DATE '{b}' GROUP BY outcome"""
+        for r, v, e, a, b in _RELEASES
+    ),
+)
+def trace_store_releases(spark, sf):
+    """Outcomes of releases from a store in folders, of which only theirs are read."""
+    s = ra.score(quotes(spark, sf), algorithm(rates(spark, sf), 1))
+    traces = s.select(
+        "quote_id", "outcome", F.lit("motor@1").alias("version"), F.col("as_at").alias("scored_on"), F.when(F.col("purpose") == "renewal", "production").otherwise("staging").alias("environment")
+    )
+    store = spark.read.parquet(sinks.write_traces(traces, sinks.scratch_path(spark, "traces")))
+    releases = spark.createDataFrame(_RELEASES, "release string, version string, environment string, since string, until string").withColumns({c: F.col(c).cast("date") for c in ("since", "until")})
+    return ra.traces_of_releases(store, releases).groupBy("release", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "reproduction_check",
     with_sql(QUOTES, RATES, _scored_sql("s", 1), _scored_sql("u", 2))

@@ -43,6 +43,22 @@ def write_scores(df: DataFrame, path: str, *, partition_by: str | None = None) -
     return path
 
 
+#: Columns that a trace store has folders for, from the coarsest on; a month keeps folders few and their files large.
+TRACE_FOLDERS = ("environment", "version", "scored_month")
+
+
+def write_traces(traces: DataFrame, path: str, *, time: str = "scored_on", quote: str = "quote_id", pieces: int = 8, append: bool = False) -> str:
+    """Traces in folders by environment, version and month of `time`, so that a question about some of them reads no others.
+
+    The rows of a folder are dealt to up to `pieces` tasks by a hash of the quote: a folder gets few files, and none is
+    written by one task alone however many traces a month has.
+    """
+    months = traces.withColumn("scored_month", F.date_format(time, "yyyy-MM"))
+    dealt = months.repartition(*TRACE_FOLDERS, F.pmod(F.xxhash64(quote), F.lit(pieces)))
+    dealt.write.mode("append" if append else "error").option("compression", "zstd").partitionBy(*TRACE_FOLDERS).parquet(path)
+    return path
+
+
 def write_rate_table_csv(cells: DataFrame, path: str) -> str:
     """Rate-table cells as text rows of keys and value."""
     cells.select(*[F.col(c).cast("string") for c in cells.columns]).write.mode("error").option("header", True).csv(path)
