@@ -230,8 +230,9 @@ def _verify(batches):
         keep = np.zeros(len(a), bool)
         last, x = None, None
         for k in range(len(a)):
-            if last != a[k]:
-                last, x = a[k], np.sort(unpack(ta[k].as_py())[0])
+            own = ta[k].as_py()
+            if last != own:
+                last, x = own, np.sort(unpack(own)[0])
             (y,) = unpack(tb[k].as_py())
             both = int(contains(x, y).sum())
             keep[k] = 100 * both >= PERCENT * (int(na[k]) + int(nb[k]) - both)
