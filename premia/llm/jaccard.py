@@ -9,7 +9,9 @@ ones, two of which fall into the same one of `m` token classes, so that pairs of
 Documents with equal token sets form one class, represented by its smallest id. Candidates that share a signature are
 verified on their exact token sets: first all with the smallest of their group, then, in groups that are not yet one
 component, the pairs across components. Pairs inside a component cannot change the result and are never made; of the
-others, bitmaps of the tokens tell in the join itself which cannot be similar, and those are not made either.
+others, sizes and bitmaps of the tokens tell which cannot be similar, block by block inside a task, and those do not become
+rows either. Signatures that the same documents have (by number, smallest id and a 64-bit sum) are one group, and a group
+over PART_ROWS documents is split, each pair of its parts being a block of its own.
 
 Tokens are 56 bits of a hash: a false match inside one pair of documents has odds of about 1 in 10^12 for usual texts.
 
@@ -26,15 +28,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from premia.llm.blobs import block_ids, pack, unpack
-from premia.llm.common import as_long, components, contains, heavy_items, joined, lean, mix, pieces, rows_of, slices, text_size, words, written
+from premia.llm.common import as_long, components, contains, heavy_items, joined, lean, mix, pieces, ranges, rows_of, slices, text_size, words, written
 
 SHINGLE, PERCENT = 5, 80
 #: Documents that a rare token occurs in at most.
 RARE = 16
 #: Bits of the map that bounds two documents' common tokens from above.
 BITS = 2048
+#: Rows of a signature's group that one task compares with each other; larger groups are split, and every pair of parts compared.
+PART_ROWS = 4096
 _BLOCK_BYTES, _RANGE_BYTES = 2 << 20, 6 << 20
 _WORK_BYTES = 512 << 10
+_PAIRS = 1 << 15
 _MOST = np.uint32(1 << 31)
 _SENT = "part int, block long, kind int, payload binary"
 _SETS = "doc long, n int, d1 long, d2 long, rare int, tokens binary"
@@ -205,7 +210,7 @@ def _signatures(batches):
 
 def _bitmaps(batches):
     """A bitmap of each document's tokens: a bit that only one of two documents has is a token that only it has."""
-    schema = pa.schema([("doc", pa.int64()), ("n", pa.int32()), ("s", pa.int32()), ("bits", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc", pa.int64()), ("n", pa.int32()), ("s", pa.int32()), ("bits", pa.binary())])
     for batch in batches:
         size, bits = [], []
         for blob in batch.column("tokens").to_pylist():
@@ -213,13 +218,61 @@ def _bitmaps(batches):
             on = np.zeros(BITS, bool)
             on[(mix(t) % np.uint64(BITS)).astype(np.int64)] = True
             size.append(len(t))
-            bits.append(np.packbits(on).view(np.int64))
-        yield rows_of(schema, doc=batch.column("doc"), n=batch.column("n"), s=size, bits=pa.array(bits, pa.list_(pa.int64())))
+            bits.append(np.packbits(on).tobytes())
+        yield rows_of(schema, doc=batch.column("doc"), n=batch.column("n"), s=size, bits=pa.array(bits, pa.binary()))
 
 
-def _apart(x: str, y: str):
-    """Bits of x that y lacks."""
-    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseAND(F.bitwise_not(b)))), F.lit(0), lambda s, v: s + v)
+def _near(batches):
+    """(a, b) of each cell's rows that may be similar, from rows in the order of their cells.
+
+    A cell holds a group's rows, or two parts of a large group, of which only rows of different parts meet.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        cell = _cells(rows)
+        done = int(np.searchsorted(cell, cell[-1])) if len(cell) else 0
+        yield from (rows_of(schema, a=a, b=b) for a, b in _pairs(rows.slice(0, done), cell[:done]))
+        held = rows.slice(done).combine_chunks()
+    if held is not None:
+        yield from (rows_of(schema, a=a, b=b) for a, b in _pairs(held, _cells(held)))
+
+
+def _cells(rows: pa.Table) -> np.ndarray:
+    """Number of each row's cell, from 0."""
+    sig, one, two = (rows[c].to_numpy() for c in ("sig", "one", "two"))
+    return np.cumsum((np.diff(sig, prepend=sig[:1]) != 0) | (np.diff(one, prepend=one[:1]) != 0) | (np.diff(two, prepend=two[:1]) != 0))
+
+
+def _pairs(rows: pa.Table, cell: np.ndarray):
+    if not rows.num_rows:
+        return
+    doc, n, s, part, mine, one, two = (rows[c].to_numpy() for c in ("doc", "n", "s", "component", "mine", "one", "two"))
+    n, s = n.astype(np.int64), s.astype(np.int64)
+    bits = np.frombuffer(b"".join(rows["bits"].to_pylist()), np.uint64).reshape(-1, BITS // 64)
+    on = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    after = np.searchsorted(cell, cell, side="right") - np.arange(len(cell)) - 1  # rows of the cell that follow
+    total = np.cumsum(after)
+    at = 0
+    while at < len(cell):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + _PAIRS, side="right")))
+        left = np.repeat(np.arange(at, to), after[at:to])
+        right = ranges(np.arange(at, to) + 1, after[at:to])
+        at = to
+        meet = (part[left] != part[right]) & ((one[left] == two[left]) | (mine[left] != mine[right])) & (doc[left] != doc[right])
+        left, right = left[meet], right[meet]
+        most = np.minimum(s[left], s[right])  # common tokens are at most that many, and no more than a set has
+        sizes = n[left] + n[right]
+        fits = 100 * most >= PERCENT * (sizes - most)
+        left, right, sizes = left[fits], right[fits], sizes[fits]
+        # of each side's tokens, those whose bit the other lacks are not common
+        common = np.bitwise_count(bits[left] & bits[right]).sum(axis=1, dtype=np.int64)
+        most = np.minimum(s[left] - on[left], s[right] - on[right]) + common
+        keep = 100 * most >= PERCENT * (sizes - most)
+        if keep.any():
+            x, y = doc[left[keep]], doc[right[keep]]
+            yield np.minimum(x, y), np.maximum(x, y)
 
 
 def _verify(batches):
@@ -259,7 +312,9 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", size
     member = written(able.select("doc", "n", "d1", "d2").join(classes, ["n", "d1", "d2"]).groupBy("doc").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")))
     own = able.join(classes.select(F.col("rep").alias("doc"), "n", "d1", "d2"), ["doc", "n", "d1", "d2"], "left_semi").dropDuplicates(["doc", "n", "d1", "d2"])
     signed = own.select("doc", "n", "rare", "tokens").mapInArrow(_signatures, "sig long, doc long, n int, s int")
-    groups = signed.groupBy("sig").agg(F.min("doc").alias("lead"), F.count("*").alias("size")).where("size > 1")
+    members = F.sum(F.xxhash64("doc", "n", "s").cast("decimal(38,0)"))
+    groups = signed.groupBy("sig").agg(F.min("doc").alias("lead"), F.count("*").alias("size"), members.alias("members")).where("size > 1")
+    groups = groups.groupBy("lead", "size", "members").agg(F.min("sig").alias("sig"))  # signatures of the same documents are one
     rows = written(signed.join(groups, "sig").select("sig", "doc", "n", "s", "lead"))
     sizes = rows.select("doc", "n", "s").distinct()
     star = rows.where("doc <> lead").select(F.col("lead").alias("a"), F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb")).distinct()
@@ -269,14 +324,14 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", size
     first = written(_links(star, own).unionByName(same))
     part = components(first)
     labelled = rows.join(part.toDF("doc", "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    open_ = labelled.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sig")
-    open_rows = written(labelled.join(open_, "sig", "left_semi").select("sig", "doc", "n", "s", "component"))
-    maps = own.join(open_rows.select("doc").distinct(), "doc", "left_semi").select("doc", "n", "tokens").mapInArrow(_bitmaps, "doc long, n int, s int, bits array<long>")
-    left = written(open_rows.join(maps, ["doc", "n", "s"]).select("sig", "doc", "n", "s", "component", "bits"))
-    # common tokens are at most each side's shared ones less the bits that the other lacks
-    both = F.least(F.col("sa") - _apart("xa", "xb"), F.col("sb") - _apart("xb", "xa"))
-    near = (F.col("sig") == F.col("sig_b")) & F.expr("a < b AND ca <> cb") & F.expr(_possible("na", "nb", "sa", "sb")) & (100 * both >= PERCENT * (F.col("na") + F.col("nb") - both))
-    across = left.toDF("sig", "a", "na", "sa", "ca", "xa").join(left.toDF("sig_b", "b", "nb", "sb", "cb", "xb"), near).select("a", "b").distinct()
+    open_ = labelled.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
+    open_rows = written(labelled.join(open_.where("low < high"), "sig").select("sig", "doc", "n", "s", "component", "parts"))
+    maps = own.join(open_rows.select("doc").distinct(), "doc", "left_semi").select("doc", "n", "tokens").mapInArrow(_bitmaps, "doc long, n int, s int, bits binary")
+    dealt = open_rows.withColumn("mine", F.pmod(F.xxhash64("doc"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.withColumn("one", F.least("mine", "other")).withColumn("two", F.greatest("mine", "other"))
+    left = dealt.join(maps, ["doc", "n", "s"]).select("sig", "one", "two", "mine", "doc", "n", "s", "component", "bits")
+    cell = ["sig", "one", "two"]
+    across = left.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_near, "a long, b long").distinct()
     second = _links(across.join(star, ["a", "b"], "left_anti"), own)
     found = components(first.unionByName(second)).toDF("rep", "component")
     placed = member.select("doc", "rep").join(found, "rep", "left").select(F.col("doc").alias("_doc"), F.coalesce("component", "rep").alias("_component"))
