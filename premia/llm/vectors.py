@@ -169,6 +169,12 @@ def near_duplicates(vectors: DataFrame, threshold: float, key: str = "vec_id", l
 SAMPLE, TRIAL, RECALL = 1 << 15, 200, 0.95
 #: Columns of a block, and how far beyond its expectation a partial distance must lie to abandon a candidate.
 COLUMNS, DOUBT = 16, 2.1
+#: Share of a block's candidates below which columns are added for the candidates alone.
+FEW = 0.05
+#: Sample rows that a query's first limit is taken from.
+LIMIT_ROWS = 1024
+#: Sample rows for each list at least, so there are no more than SAMPLE / LIST_SAMPLE lists.
+LIST_SAMPLE = 8
 #: Rows of a list that one task scans; longer lists are split.
 LIST_ROWS = 8192
 #: Queries of a list that one task answers; more are split, and the list's rows go to each part.
@@ -205,33 +211,51 @@ def fit_lists(sample: np.ndarray, lists: int, k: int) -> tuple[np.ndarray, int]:
     return centres, int(needed[min(len(needed) - 1, int(RECALL * len(needed)))]) + 1
 
 
-def scan(query: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, row of `x`) that may be among a (rotated) query's k nearest: others are abandoned by partial distances."""
+def scan(query: np.ndarray, x: np.ndarray, k: int, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row of `x`) that may be among a (rotated) query's k nearest: others are abandoned by partial distances.
+
+    `known` is a distance (squared) that a query's k nearest of all rows are known to keep to. Blocks of columns are added
+    for whole blocks of rows while many candidates go on, and for the candidates alone once they are few.
+    """
     out_q, out_r = [], []
+    size = x.shape[1]
     best = np.full((len(query), k), np.inf)
     slack = SLACK * ((query * query).sum(axis=1) + (x * x).sum(axis=1).max(initial=0))
+
+    def allowed(limit: np.ndarray, seen: int) -> np.ndarray:
+        """The largest partial distance over `seen` columns that may still end within the limit."""
+        return limit * (seen / size) * ((1 + DOUBT / math.sqrt(seen)) ** 2 if seen < size else 1)
+
     for at in range(0, len(x), 512):
         block = x[at : at + 512]
         limit = best.max(axis=1)
         partial = _distances(query[:, :COLUMNS], block[:, :COLUMNS])
-        seen = min(COLUMNS, x.shape[1])
-        if not at and len(block) > k:  # a first limit: the whole distances of the k that look nearest so far
+        seen = min(COLUMNS, size)
+        if known is None and not at and len(block) > k:  # a first limit: the whole distances of the k that look nearest so far
             near = np.argpartition(partial, k - 1, axis=1)[:, :k]
             for c in range(0, len(query), 64):
                 step = query[c : c + 64, None] - block[near[c : c + 64]]
                 limit[c : c + 64] = (step * step).sum(axis=2).max(axis=1)
+        if known is not None:
+            limit = np.minimum(limit, known)
         limit = limit + slack
-        q, r = np.nonzero(partial * (x.shape[1] / seen) <= (limit * (1 + DOUBT / math.sqrt(seen)) ** 2)[:, None])
+        going = partial <= allowed(limit, seen)[:, None]
+        while seen < size and going.sum() > FEW * going.size:
+            to = min(seen + COLUMNS, size)
+            partial += _distances(query[:, seen:to], block[:, seen:to])
+            seen = to
+            going &= partial <= allowed(limit, seen)[:, None]
+        q, r = np.nonzero(going)
         value = partial[q, r]
-        while seen < x.shape[1] and len(q):
-            to = min(seen + COLUMNS, x.shape[1])
+        while seen < size and len(q):
+            to = min(seen + COLUMNS, size)
             for c in range(0, len(q), 1 << 16):
                 s = slice(c, c + (1 << 16))
                 step = query[q[s], seen:to] - block[r[s], seen:to]
                 value[s] += (step * step).sum(axis=1)
             seen = to
-            going = value * (x.shape[1] / seen) <= limit[q] * ((1 + DOUBT / math.sqrt(seen)) ** 2 if seen < x.shape[1] else 1)
-            q, r, value = q[going], r[going], value[going]
+            on = value <= allowed(limit, seen)[q]
+            q, r, value = q[on], r[on], value[on]
         out_q.append(q)
         out_r.append(r + at)
         if at + 512 < len(x):
@@ -245,7 +269,8 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, key: str = "vec_id",
     """(query_id, rank, vec_id, score): each query's k vectors of largest inner product, found in its probed lists.
 
     Lists are fitted on a sample of SAMPLE rows at most; every row is put into one. Rotated vectors are scanned in blocks
-    of columns, and a candidate whose partial distance is too large for its query's k nearest so far is abandoned. Lists
+    of columns, and a candidate whose partial distance is too large for its query's k nearest so far is abandoned; a query
+starts with the limit that its k nearest of LIMIT_ROWS rows of the sample set, and these count as found. Lists
     over LIST_ROWS rows are split by a hash, and so are the queries of a list over ASK_ROWS. Scores are inner products of the original vectors in double precision.
 
     Defined results: a key with several usable rows counts once, with its least vector. A query is no candidate of its
@@ -278,11 +303,13 @@ def _dealt(members: DataFrame, asked: DataFrame, lists: DataFrame) -> tuple[Data
 def _nearest(own: DataFrame, size: int, is_query: str, k: int) -> DataFrame:
     square = F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)
     most, n = own.agg(F.max(F.sqrt(square)), F.count("*")).first()
-    taken = own.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("x").toPandas()["x"]
-    sample = lifted(np.stack(taken.to_numpy()).astype(float), most)
-    lists = max(1, min(len(sample) // 32, int(math.sqrt(n))))
+    taken = own.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).toPandas()
+    sample = lifted(np.stack(taken["x"].to_numpy()).astype(float), most)
+    lists = max(1, min(len(sample) // LIST_SAMPLE, int(math.sqrt(n))))
     centres, probes = fit_lists(sample, lists, k)
+    some, some_ids = np.ascontiguousarray(sample[:LIMIT_ROWS, :-1]), taken["key"].to_numpy()[:LIMIT_ROWS]
     turn = rotation(size + 1, 0)
+    found_schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def assign(batches):
         for batch in batches:
@@ -295,6 +322,25 @@ def _nearest(own: DataFrame, size: int, is_query: str, k: int) -> DataFrame:
         x = matrix(part.column("x"))
         return x, np.argsort(_distances(np.hstack([x, np.zeros((len(x), 1))]), centres), axis=1, kind="stable")[:, :probes]
 
+    def first(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """k + 1 rows of the sample (the query may be one of them), and the squared distance of the last: the nearest are no further."""
+        product = x @ some.T
+        if len(some) <= k:
+            return np.tile(np.arange(len(some)), (len(x), 1)), np.full(len(x), np.inf)
+        rows = np.argpartition(-product, k, axis=1)[:, : k + 1]
+        return rows, (x * x).sum(axis=1) + most**2 - 2 * np.take_along_axis(product, rows, axis=1).min(axis=1)
+
+    def begin(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                x, asks = matrix(part.column("x")), part.column("key").to_numpy()
+                rows, _ = first(x)
+                which, rows = np.repeat(np.arange(len(x)), rows.shape[1]), rows.ravel()
+                other = some_ids[rows] != asks[which]
+                which, rows = which[other], rows[other]
+                yield rows_of(found_schema, query_id=asks[which], vec_id=some_ids[rows], score=(some[rows] * x[which]).sum(axis=1))
+
     def load(batches):
         total = np.zeros(len(centres), np.int64)
         for batch in batches:
@@ -309,26 +355,26 @@ def _nearest(own: DataFrame, size: int, is_query: str, k: int) -> DataFrame:
                 part = batch.slice(at, 1024)
                 x, near = probed(part)
                 rows = pa.array(np.repeat(np.arange(len(x)), near.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), part.column("key").take(rows), part.column("x").take(rows)], names=["list", "key", "x"])
+                known = pa.array(first(x)[1]).take(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), part.column("key").take(rows), part.column("x").take(rows), known], names=["list", "key", "x", "known"])
 
     placed = own.mapInArrow(assign, "list int, key long, x array<double>")
     splits = placed.groupBy("list").agg(F.ceil(F.count("*") / LIST_ROWS).cast("int").alias("splits"))
     parts = own.where(is_query).mapInArrow(load, "list int, n long").groupBy("list").agg(F.ceil(F.sum("n") / ASK_ROWS).cast("int").alias("parts"))
     dealt = splits.join(parts, "list")
-    members, asked = _dealt(placed, own.where(is_query).mapInArrow(probe, "list int, key long, x array<double>"), dealt)
-    found_schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    members, asked = _dealt(placed, own.where(is_query).mapInArrow(probe, "list int, key long, x array<double>, known double"), dealt)
 
     def search(questions: pa.Table, rows: pa.Table) -> pa.Table:
         if not questions.num_rows or not rows.num_rows:
             return found_schema.empty_table()
         q, x = matrix(questions["x"]), matrix(rows["x"])
-        asks, ids = questions["key"].to_numpy(), rows["key"].to_numpy()
+        asks, ids, known = questions["key"].to_numpy(), rows["key"].to_numpy(), questions["known"].to_numpy()
         turned = lifted(x, most) @ turn
         out = []
         for at in range(0, len(q), 256):
             part = q[at : at + 256]
             # the query itself may be a row, so one more is kept
-            which, rows_ = scan(np.hstack([part, np.zeros((len(part), 1))]) @ turn, turned, k + 1)
+            which, rows_ = scan(np.hstack([part, np.zeros((len(part), 1))]) @ turn, turned, k + 1, known[at : at + 256])
             other = ids[rows_] != asks[at + which]
             which, rows_ = which[other], rows_[other]
             score = np.empty(len(which))
@@ -343,5 +389,7 @@ def _nearest(own: DataFrame, size: int, is_query: str, k: int) -> DataFrame:
 
     group = ["list", "split", "part"]
     found = asked.groupBy(*group).cogroup(members.groupBy(*group)).applyInArrow(search, "query_id long, vec_id long, score double")
+    # the rows that set a first limit count as found, so a query has k rows whatever its lists hold
+    found = found.unionByName(own.where(is_query).mapInArrow(begin, "query_id long, vec_id long, score double")).distinct()
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
