@@ -171,8 +171,8 @@ SAMPLE, TRIAL, RECALL = 1 << 15, 200, 0.95
 COLUMNS, DOUBT = 16, 2.1
 #: Share of a block's candidates below which columns are added for the candidates alone.
 FEW = 0.05
-#: Sample rows that a query's first limit is taken from.
-LIMIT_ROWS = 1024
+#: Sample rows that a query's first limit is taken from, as a multiple of the square root of all rows: they grow as the lists do.
+LIMIT_ROWS = 8
 #: Sample rows for each list at least, so there are no more than SAMPLE / LIST_SAMPLE lists.
 LIST_SAMPLE = 8
 #: Rows of a list that one task scans; longer lists are split.
@@ -270,7 +270,7 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, key: str = "vec_id",
 
     Lists are fitted on a sample of SAMPLE rows at most; every row is put into one. Rotated vectors are scanned in blocks
     of columns, and a candidate whose partial distance is too large for its query's k nearest so far is abandoned; a query
-starts with the limit that its k nearest of LIMIT_ROWS rows of the sample set, and these count as found. Lists
+starts with the limit that its k nearest of some rows of the sample set (LIMIT_ROWS), and these count as found. Lists
     over LIST_ROWS rows are split by a hash, and so are the queries of a list over ASK_ROWS. Scores are inner products of the original vectors in double precision.
 
     Defined results: a key with several usable rows counts once, with its least vector. A query is no candidate of its
@@ -307,7 +307,8 @@ def _nearest(own: DataFrame, size: int, is_query: str, k: int) -> DataFrame:
     sample = lifted(np.stack(taken["x"].to_numpy()).astype(float), most)
     lists = max(1, min(len(sample) // LIST_SAMPLE, int(math.sqrt(n))))
     centres, probes = fit_lists(sample, lists, k)
-    some, some_ids = np.ascontiguousarray(sample[:LIMIT_ROWS, :-1]), taken["key"].to_numpy()[:LIMIT_ROWS]
+    limits = LIMIT_ROWS * math.ceil(math.sqrt(n))
+    some, some_ids = np.ascontiguousarray(sample[:limits, :-1]), taken["key"].to_numpy()[:limits]
     turn = rotation(size + 1, 0)
     found_schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
