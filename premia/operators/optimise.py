@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from premia.operators import partials
 
 LOW_VARIATION = 0.02
 EXTRAPOLATION = 0.20
+#: Numbers that one step over risks and draws works on, and sums that a task holds before it sends them on.
+_BLOCK, _HELD = 1 << 18, 1 << 22
 
 
 class OptimiseError(ValueError):
@@ -128,19 +135,82 @@ def efficient_frontier(space: DataFrame, segment: str, multipliers: Sequence[flo
     return points.withColumn("dominated", F.coalesce(better >= F.col("profit"), F.lit(False)))
 
 
+def _draw_sums(sampled: np.ndarray, schema: pa.Schema):
+    """Of each partition: (segment, volume, profit) with one sum for each draw, and how many risks the sums are of."""
+
+    def flush(held: dict):
+        names = pa.array([k for k, _ in held.values()], schema.field("segment").type)
+        columns = [pa.array([v[i].tolist() for _, v in held.values()], schema.field(c).type) for i, c in enumerate(("volume", "profit"))]
+        counts = [pa.array([int(v[i]) for _, v in held.values()], pa.int64()) for i in (2, 3)]
+        return pa.RecordBatch.from_arrays([names, *columns, *counts], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        step = max(1, _BLOCK // len(sampled))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                rows = batch.slice(at, step)
+                coded = rows.column(0).dictionary_encode(null_encoding="encode")
+                base, price, cost = (rows.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (1, 2, 3))
+                with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+                    p = 1 / (1 + np.exp(-(base[:, None] + sampled * np.log(np.where(price > 0, price, np.nan))[:, None])))
+                    profit = p * (price - cost)[:, None]
+                code = np.asarray(coded.indices)
+                for k, name in enumerate(coded.dictionary.to_pylist()):
+                    own = code == k
+                    known, paid = own & ~np.isnan(p[:, 0]), own & ~np.isnan(profit[:, 0])
+                    _, total = held.setdefault((name is None, name), (name, [np.zeros(len(sampled)), np.zeros(len(sampled)), 0, 0]))
+                    total[0] += p[known].sum(axis=0)
+                    total[1] += profit[paid].sum(axis=0)
+                    total[2] += known.sum()
+                    total[3] += paid.sum()
+            if len(held) * len(sampled) > _HELD:
+                yield flush(held)
+                held = {}
+        if held:
+            yield flush(held)
+
+    return run
+
+
+def _added(table: pa.Table) -> tuple[list[np.ndarray], list[int]]:
+    sums = []
+    for c in ("volume", "profit"):
+        column = table[c].combine_chunks()
+        sums.append(column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).sum(axis=0))
+    return sums, [int(table[c].to_numpy().sum()) for c in ("volumes", "profits")]
+
+
 def outcome_ranges(space_rows: DataFrame, demand: Demand, *, segment: str, price: str, cost: str, draws: int, seed: int, probs: Sequence[float] = (0.05, 0.5, 0.95)) -> DataFrame:
     """Ranges of each segment's volume and profit over seeded draws of the price coefficient.
 
-    Risks of equal segment, predictor, price and cost are pooled before they meet the draws.
+    A risk meets all draws inside its task, as numbers and not as rows. What is shuffled is one row of sums for each
+    partition and segment, added up in two steps, so that no task gets the sums of all partitions. A risk without predictor or
+    positive price counts in neither range, one without cost not in the profit; a range of no risks is null.
     """
+    if draws < 1:
+        raise OptimiseError("a range needs one draw at least")
     sampled = np.random.default_rng(seed).normal(demand.price_coefficient, demand.standard_error, draws)
-    pooled = space_rows.groupBy(segment, demand.base, price, cost).agg(F.count(F.lit(1)).alias("n"))
-    table = json.dumps([{"draw": i, "b": float(b)} for i, b in enumerate(sampled)])
-    rows = pooled.select("*", F.inline(F.from_json(F.lit(table), "array<struct<draw:int,b:double>>")))
-    p = 1 / (1 + F.exp(-(F.col(demand.base) + F.col("b") * F.ln(price))))
-    per_draw = rows.groupBy(segment, "draw").agg(F.sum(F.col("n") * p).alias("volume"), F.sum(F.col("n") * p * (F.col(price) - F.col(cost))).alias("profit"))
-    picks = F.array(*[F.lit(q) for q in probs])
-    return per_draw.groupBy(segment).agg(F.percentile("volume", picks).alias("volume"), F.percentile("profit", picks).alias("profit"))
+    own = space_rows.select(F.col(segment).alias("segment"), *[F.col(c).cast("double") for c in (demand.base, price, cost)])
+    kind = own.schema["segment"].dataType.simpleString()
+    sums = f"segment {kind}, volume array<double>, profit array<double>, volumes long, profits long"
+    array = pa.list_(pa.float64())
+    schema = pa.schema([to_arrow_schema(own.select("segment").schema).field(0).with_nullable(True), ("volume", array), ("profit", array), ("volumes", pa.int64()), ("profits", pa.int64())])
+    parts = own.mapInArrow(_draw_sums(sampled, schema), sums)
+    picks = [100 * q for q in probs]
+
+    def add(table: pa.Table) -> pa.Table:
+        (volume, profit), (volumes, profits) = _added(table)
+        return pa.table([table["segment"][:1], [volume.tolist()], [profit.tolist()], [volumes], [profits]], schema=schema)
+
+    def ranges(table: pa.Table) -> pa.Table:
+        found = [np.percentile(x, picks).tolist() if n else None for x, n in zip(*_added(table), strict=True)]
+        return pa.table({"segment": table["segment"][:1], **{c: pa.array([x], array) for c, x in zip(("volume", "profit"), found, strict=True)}})
+
+    salted = parts.withColumn("salt", F.spark_partition_id() % max(1, math.isqrt(partials.partitions(own))))
+    some = salted.groupBy("segment", "salt").applyInArrow(add, sums)
+    out = some.groupBy("segment").applyInArrow(ranges, f"segment {kind}, volume array<double>, profit array<double>")
+    return out.withColumnRenamed("segment", segment)
 
 
 def compare_runs(a: DataFrame, b: DataFrame, segment: str) -> DataFrame:
