@@ -10,6 +10,7 @@ from premia.operators.validate import Context, Rule
 from premia.plans.preparation import _RECIPE, _RECIPE_SOURCE, _recipe_source
 from premia.plans.profiling import _REFERENCE, reference_rows
 from premia.plans.registry import query
+from premia.session import stored
 from premia.plans.views import BOOK, CLAIM, POLICY_EXPOSURE, VERSION_CUT, book, claim, policy_exposure, table, versions, with_sql
 
 
@@ -179,8 +180,11 @@ _TWO = f"""two AS (SELECT *, start_date >= DATE '{VERSION_CUT}' AS cur,
 
 
 @query("validation_against_version", with_sql(BOOK, _TWO) + _report_sql(_DRIFT_RULES))
+#: What the rules read of the book, and what their columns are made from.
+_DRIFT_COLUMNS = ("exposure_years", "claim_count", "claim_amount_minor", "o_orderpriority", "p_type", "l_tax", "l_quantity", "l_linestatus")
+
 def validation_against_version(spark, sf):
-    cur, prev = versions(spark, sf, "part")
+    cur, prev = versions(spark, sf, "part", keep=_DRIFT_COLUMNS)
     cur = cur.withColumns(
         {
             "mixed": F.replace(F.col("o_orderpriority"), F.lit("1-URGENT"), F.lit("6-NEW")),

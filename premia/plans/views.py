@@ -10,6 +10,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from premia.session import stored
 from premia.sources.files import spread
 
 
@@ -91,7 +92,8 @@ def row_key():
 def book(spark, sf, *dimensions: str) -> DataFrame:
     """One row per line: exposure, claims and the levels of the asked dimensions.
 
-    `dimensions` names any of "orders", "part", "customer", "nation".
+    `dimensions` names any of "orders", "part", "customer", "nation". Customers and nations are joined to the orders, of
+    which there are fewer, so lines are dealt out once by order and once by part.
     """
     wanted = set(dimensions)
     if "nation" in wanted:
@@ -101,16 +103,16 @@ def book(spark, sf, *dimensions: str) -> DataFrame:
     df = table(spark, sf, "lineitem")
     if "orders" in wanted:
         o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+        if "customer" in wanted:
+            c = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
+            o = o.join(c, F.col("o_custkey") == F.col("c_custkey"))
+        if "nation" in wanted:
+            n = table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")
+            o = o.join(n, F.col("c_nationkey") == F.col("n_nationkey"))
         df = df.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     if "part" in wanted:
         p = table(spark, sf, "part").select("p_partkey", "p_brand", "p_type", "p_size")
         df = df.join(p, F.col("l_partkey") == F.col("p_partkey"))
-    if "customer" in wanted:
-        c = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
-        df = df.join(c, F.col("o_custkey") == F.col("c_custkey"))
-    if "nation" in wanted:
-        n = table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")
-        df = df.join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     is_claim = F.col("l_returnflag") == "R"
     columns = {
         "row_key": row_key(),
@@ -138,9 +140,11 @@ VERSION_CUT = "1998-04-01"
 ROW_ORDER = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
 
 
-def versions(spark, sf, *dimensions) -> tuple[DataFrame, DataFrame]:
-    """(current, reference): the book split at the version cut."""
+def versions(spark, sf, *dimensions, keep=()) -> tuple[DataFrame, DataFrame]:
+    """(current, reference): the book split at the version cut. With `keep`, both are read from one stored book of these columns."""
     b = book(spark, sf, "orders", *dimensions)
+    if keep:
+        b = stored(b, "start_date", *keep)
     cut = F.lit(VERSION_CUT).cast("date")
     return b.where(F.col("start_date") >= cut), b.where(F.col("start_date") < cut)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +53,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, *columns: str) -> DataFrame:
+    """`df`, or these columns of it, written once as Parquet into the checkpoint folder and read back.
+
+    For tables of as many rows as the input that are passed over again and again: a join behind them runs once, and a
+    pass reads the columns it needs from encoded files, not whole serialised rows. Removed when the application ends.
+    """
+    spark = df.sparkSession
+    kept = df.select(*columns) if columns else df
+    path = f"{checkpoint_dir(spark).rstrip('/')}/premia-{uuid.uuid4().hex}"
+    kept.write.option("compression", "zstd").parquet(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.schema(kept.schema).parquet(path)
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """`df` with a broadcast hint if it is counted to hold at most `limit` rows."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
