@@ -14,6 +14,7 @@ from premia.operators import perils as pe
 from premia.operators.glm import Spec, Variant
 from premia.operators.splits import assign_folds
 from premia.plans.registry import query
+from premia.session import stored
 from premia.plans.views import BOOK, ROW_ORDER, VERSION_CUT, book, table, versions, with_sql
 
 # -- GLM: at the fitted coefficients the score equations hold, which SQL can state -------------
@@ -506,7 +507,7 @@ def relativity_differences(spark, sf):
       UNION ALL SELECT 'p_type', p_type, sum(claim_count)::DOUBLE, round(sum(expected), 4), round(sum(claim_count) / sum(expected), 6) FROM s GROUP BY p_type""",
 )
 def backtest(spark, sf):
-    cur, prev = versions(spark, sf, "part")
+    cur, prev = versions(spark, sf, "part", keep=["row_key", "claim_count", "exposure_years", "p_type"])
     m = glm.fit_glm(prev, Spec("claim_count", "poisson", ("p_type",), exposure="exposure_years"))
     out = dg.backtest(cur, m, actual="claim_count", exposure="exposure_years", factors=["p_type"], trained_on="1", version="2", tie="row_key")["actual_expected"]
     return out.select("factor", "level", "actual", F.round("expected", 4).alias("expected"), F.round("ratio", 6).alias("ratio"))
