@@ -77,7 +77,7 @@ def _cost(spark, sf, *dims):
 
 @query("glm_tweedie_fit", with_sql(BOOK) + _level_sql(TWEEDIE.factors, "CAST(count(*) AS BIGINT) AS n", "1.0::DOUBLE AS score_ratio"))
 def glm_tweedie_fit(spark, sf):
-    b = _cost(spark, sf)
+    b = stored(_cost(spark, sf), "cost", "exposure_years", *TWEEDIE.factors)
     scored = glm.fit_glm(b, TWEEDIE).predict(b, "mu")
     w = F.col("exposure_years") * F.pow("mu", F.lit(-0.5))
     return _by_level(scored, TWEEDIE.factors, F.count(F.lit(1)).alias("n"), F.round(F.sum(w * F.col("cost")) / F.sum(w * F.col("mu")), 5).alias("score_ratio"))
