@@ -549,7 +549,7 @@ def shape_model_score(spark, sf):
 
 @query("shape_model_interactions")
 def shape_model_interactions(spark, sf):
-    b = book(spark, sf, "part", "customer")
+    b = stored(book(spark, sf, "part", "customer"), "claim_count", "exposure_years", "p_type", "c_mktsegment", "p_size")
     f = bo.make_features(b, ["p_type", "c_mktsegment"], ["p_size"], 6)
     m = bo.fit_shapes(b, f, response="claim_count", exposure="exposure_years", rounds=4, pairs=[("p_type", "c_mktsegment"), ("p_type", "p_size")])
     rows = [(a, c, r["strength"]) for r in bo.interaction_strength(m, b) for a, c in [r["pair"]]]
