@@ -519,7 +519,7 @@ def backtest(spark, sf):
 @query("shape_model_fit", with_sql(BOOK) + "SELECT p_type AS label, round(sum(claim_count)::DOUBLE, 0) AS observed, TRUE AS close FROM book GROUP BY 1")
 def shape_model_fit(spark, sf):
     """Cyclic boosting on three binned features: after the last round each level is fitted closely."""
-    b = book(spark, sf, "part", "orders")
+    b = stored(book(spark, sf, "part", "orders"), "claim_count", "exposure_years", "p_type", "o_orderpriority", "p_size")
     f = bo.make_features(b, ["p_type", "o_orderpriority"], ["p_size"], 8)
     m = bo.fit_shapes(b, f, response="claim_count", exposure="exposure_years", rounds=6)
     fitted = m.predict(b, "rate").groupBy(F.col("p_type").alias("label")).agg(
@@ -559,7 +559,7 @@ def shape_model_interactions(spark, sf):
 @query("shape_model_export")
 def shape_model_export(spark, sf):
     """The fitted tables, and whether each is monotone."""
-    b = book(spark, sf, "part")
+    b = stored(book(spark, sf, "part"), "claim_count", "exposure_years", "p_type", "p_size", "l_tax")
     m = bo.fit_shapes(b, bo.make_features(b, ["p_type"], ["p_size", "l_tax"], 6), response="claim_count", exposure="exposure_years", rounds=4, cap=1.0)
     return dg.monotonicity(m.export(spark), group=["feature"], order="position", value="value")
 
