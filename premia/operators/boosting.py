@@ -15,9 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from premia.operators.ordering import first_reaching
+from premia.operators.partials import partitions
 from premia.session import cut_lineage
 
 
+#: Rows of one part of the table that boosted trees keep and read in every pass.
+ROWS_PER_PART = 500_000
+
+
 class BoostingError(ValueError):
     """A model that cannot be fitted or applied."""
 
@@ -227,10 +232,16 @@ def interaction_strength(model: ShapeModel, df: DataFrame, exposure: str = "expo
 
 
 def boosted_trees(df: DataFrame, *, response: str, features: Sequence[str], depth: int = 3, rounds: int = 10, seed: int = 0):
-    """Gradient-boosted trees of Spark ML with the loss after every round and feature importance."""
+    """Gradient-boosted trees of Spark ML with the loss after every round and feature importance.
+
+    Spark ML keeps the rows as they are parted, so a larger table is dealt out into more parts first.
+    """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
+    n = df.count()
+    if n > ROWS_PER_PART * partitions(df):
+        df = df.select(*dict.fromkeys([*features, response])).repartition(-(-n // ROWS_PER_PART))
     rows = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error").transform(df).select(
         "features", F.col(response).cast("double").alias("label")
     )

@@ -566,7 +566,7 @@ def shape_model_export(spark, sf):
 
 @query("boosted_trees")
 def boosted_trees(spark, sf):
-    b = book(spark, sf, "part")
+    b = stored(book(spark, sf, "part"), "claim_amount_minor", "l_extendedprice", "l_discount", "p_size")
     _, curve, importance = bo.boosted_trees(b, response="claim_amount_minor", features=["l_extendedprice", "l_discount", "p_size"], depth=3, rounds=4)
     rows = [("loss", str(i), v) for i, v in enumerate(curve)] + [("importance", n, v) for n, v in importance]
     return spark.createDataFrame(rows, "kind string, name string, value double")

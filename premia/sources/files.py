@@ -45,6 +45,8 @@ def read_parquet(spark: SparkSession, *paths: str) -> DataFrame:
 
 #: A split with more rows than this is dealt out when cores would otherwise be idle.
 ROWS_PER_SPLIT = 100_000
+#: Rows of one part of a table that is dealt out: a larger table has more parts, not larger ones.
+ROWS_PER_PART = 500_000
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -55,9 +57,12 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     splits = df.rdd.getNumPartitions()
-    if splits >= cores or df.count() < ROWS_PER_SPLIT * splits:
+    if splits >= cores:
         return df
-    return df.repartition(cores)
+    rows = df.count()
+    if rows < ROWS_PER_SPLIT * splits:
+        return df
+    return df.repartition(max(cores, -(-rows // ROWS_PER_PART)))
 
 
 def footer_schema(spark: SparkSession, path: str) -> T.StructType:
