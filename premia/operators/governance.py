@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from premia.functions.scalar import flatten_json
-from premia.session import cut_lineage
+from premia.session import BROADCAST_ROWS, cut_lineage
 
 GENESIS = "0" * 64
 
@@ -76,10 +76,16 @@ def history(events: DataFrame, entity: str, *, column: str = "entity_ref", order
     return events.where(F.col(column) == entity).orderBy(order)
 
 
+def _side(df: DataFrame, rows: int) -> DataFrame:
+    """One side of a join, broadcast if it has few rows and dealt out by key otherwise."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("merge")
+
+
 def lineage(edges: DataFrame, start: Sequence, *, up: bool = True, parent: str = "parent", child: str = "child") -> DataFrame:
     """Ancestors (or descendants) of some versions with their distance: (node, distance).
 
-    Breadth first until no new node is found: each round joins the edges with the newest nodes only.
+    Breadth first until no new node is found: each round joins the edges with the newest nodes only. Nodes are broadcast
+    while they are few; more than that never pass through the driver.
     """
     a, b = (child, parent) if up else (parent, child)
     steps = edges.select(F.col(a).alias("at"), F.col(b).alias("to")).where("to is not null")
@@ -87,11 +93,14 @@ def lineage(edges: DataFrame, start: Sequence, *, up: bool = True, parent: str =
     spark = edges.sparkSession
     seen = spark.createDataFrame([(s, 0) for s in start], f"node {kind.simpleString()}, distance int")
     frontier = seen
+    newest = total = len(start)
     for depth in itertools.count(1):
-        found = steps.join(frontier, steps["at"] == frontier["node"]).select(F.col("to").alias("node")).distinct()
-        fresh = cut_lineage(found.join(seen, "node", "left_anti").withColumn("distance", F.lit(depth)))
-        if not fresh.limit(1).count():
+        found = steps.join(_side(frontier, newest), steps["at"] == frontier["node"]).select(F.col("to").alias("node")).distinct()
+        fresh = cut_lineage(found.join(_side(seen, total), "node", "left_anti").withColumn("distance", F.lit(depth)))
+        newest = fresh.count()
+        if not newest:
             break
+        total += newest
         seen = seen.unionAll(fresh)
         frontier = fresh
     return seen.where("distance > 0")
