@@ -10,9 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from premia.operators.rating import ladder_reconciles
+from premia.session import shuffle_buckets
 
 GRID_POINTS = 21
 SAMPLED_POINTS = 10
+#: Swept rows of one part of the contexts.
+SWEPT_ROWS = 4_000_000
 
 
 class SuiteError(ValueError):
@@ -90,10 +93,13 @@ def monotone_sweep(
     """Sweep one input of every context over `points` and compare adjacent quoted premiums, across
     declined gaps: (quote, quoted_points, breaks, broken_from, broken_to).
 
-    Each context becomes a fixed number of rows, so work grows with contexts times grid.
+    Each context becomes a fixed number of rows, so work grows with contexts times grid. Contexts are dealt out by quote
+    before they are swept, into parts of at most SWEPT_ROWS swept rows or so: where `rate` joins small tables only, all
+    rows of a quote are then together already, and the swept rows are not shuffled.
     """
+    parts = max(shuffle_buckets(contexts.sparkSession), -(-contexts.count() * len(points) // SWEPT_ROWS))
     grid = F.array(*[F.struct(F.lit(i).alias("__i"), F.lit(str(p)).cast(contexts.schema[name].dataType).alias(name)) for i, p in enumerate(points)])
-    swept = contexts.drop(name).select("*", F.inline(grid))
+    swept = contexts.drop(name).repartition(parts, quote).select("*", F.inline(grid))
     scored = rate(swept)
     w = Window.partitionBy(quote).orderBy("__i").rowsBetween(Window.unboundedPreceding, -1)
     last_premium = F.last(F.when(F.col("outcome") == "quoted", F.col("premium_minor")), ignorenulls=True).over(w)
