@@ -234,8 +234,11 @@ def score(df: DataFrame, algorithm: Algorithm, prefix: str = "") -> DataFrame:
         declined = declined | F.coalesce(c, F.lit(False))
     last = rungs[-1]
     df = df.withColumns({f"{prefix}error_codes": codes, f"{prefix}reasons": fired})
+    failed = F.lit(False)
+    for c, _ in errors:
+        failed = failed | F.coalesce(c, F.lit(False))
     outcome = (
-        F.when(F.size(f"{prefix}error_codes") > 0, "error").when(declined, "declined").when(F.col(last["value"]).isNull(), "error").otherwise("quoted")
+        F.when(failed, "error").when(declined, "declined").when(F.col(last["value"]).isNull(), "error").otherwise("quoted")
     )
     df = df.withColumn(f"{prefix}outcome", outcome)
     quoted = F.col(f"{prefix}outcome") == "quoted"
