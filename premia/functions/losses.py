@@ -170,11 +170,13 @@ def weighted_metric(loss: Column, weight=None) -> Column:
 def tweedie_log_density(phi: float, power: float):
     """UDF (y, mu) -> log density of the Tweedie family, 1 < power < 2.
 
-    The series is summed in logs over a window around its largest term.
+    The series is summed in logs over a window around its largest term, at centre; d terms from there the logarithm is
+    lower by (1 + shape) * d^2 / 2 / (centre + d / 3) at least, and terms that are lower by 45 are left out.
     """
     if not (phi > 0 and 1 < power < 2):
         raise ValueError("the Tweedie density needs phi > 0 and a power strictly between 1 and 2")
     shape = (2 - power) / (power - 1)
+    near = 45 / (1 + shape)
 
     def series(y: np.ndarray) -> np.ndarray:
         centre = np.maximum(1.0, np.round(y ** (2 - power) / (phi * (2 - power))))
@@ -184,11 +186,18 @@ def tweedie_log_density(phi: float, power: float):
         for block in np.array_split(order, max(1, len(y) // 2048)):
             if not len(block):
                 continue
-            reach = int(60 + 12 * math.sqrt(centre[block].max()))
+            reach = int(near / 3 + math.sqrt(near * near / 9 + 2 * near * centre[block].max())) + 4
             j = centre[block][:, None] + np.arange(-reach, reach + 1)[None, :]
             valid = j >= 1
             safe = np.where(valid, j, 1.0)
-            terms = np.where(valid, step[block][:, None] * safe - _lgamma(safe + 1) - _lgamma(shape * safe), -np.inf)
+            low, high = safe.min(), safe.max()
+            if high - low < safe.size:
+                # terms are numbered alike in all rows: their gammas are worked out once for a block
+                number = np.arange(low, high + 1)
+                gammas = (_lgamma(number + 1) + _lgamma(shape * number))[(safe - low).astype(np.int64)]
+            else:
+                gammas = _lgamma(safe + 1) + _lgamma(shape * safe)
+            terms = np.where(valid, step[block][:, None] * safe - gammas, -np.inf)
             top = terms.max(axis=1)
             out[block] = top + np.log(np.exp(terms - top[:, None]).sum(axis=1))
         return out

@@ -195,6 +195,7 @@ def glm_penalty_path(spark, sf):
 @query("glm_tweedie_power")
 def glm_tweedie_power(spark, sf):
     b = _cost(spark, sf).where("exposure_years > 0").withColumn("cost", F.col("cost") / 100000)
+    b = stored(b, "cost", "p_type")
     grid = [1.1, 1.2, 1.3, 1.5, 1.7]
     spec = Spec("cost", "tweedie", ("p_type",))
     fits = glm.fit_variants(b, spec, [Variant(str(p), power=p) for p in grid])
