@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from premia.functions import losses
 from premia.functions.special import chi2_tail, normal_ppf
 from premia.operators.partials import partitions, tree_sum
-from premia.session import cut_lineage
+from premia.session import cut_lineage, stored
 
 MAX_ITERATIONS = 50
 TOLERANCE = 1e-8
@@ -237,6 +237,11 @@ def degenerate_levels(df: DataFrame, factors: Sequence[str], *, min_claims: int
 # -- fitting ---------------------------------------------------------------------------------
 
 
+def _pools(spec: Spec) -> bool:
+    """Whether rows pool to level combinations."""
+    return not spec.numerics and ((spec.family == "poisson" and spec.link == "log") or (spec.exposure is None and spec.offset is None))
+
+
 def _cells(df: DataFrame, spec: Spec, fold: str | None) -> DataFrame:
     """Cells with weight `w`, mean response `y` and offset `o`: distinct ones, or rows where a number or offset tells most apart.
 
@@ -248,13 +253,11 @@ def _cells(df: DataFrame, spec: Spec, fold: str | None) -> DataFrame:
     keys = [level_text(f).alias(f) for f in spec.factors] + [F.col(n).cast("double").alias(n) for n in spec.numerics]
     if fold:
         keys.append(F.col(fold).alias("__fold"))
-    pooled = not spec.numerics
     if spec.family == "poisson" and spec.link == "log":
         rows = df.select(*keys, (weight * F.exp(offset)).alias("w"), (weight * y).alias("wy"), F.lit(0.0).alias("o"))
     else:
         rows = df.select(*keys, weight.alias("w"), (weight * y).alias("wy"), offset.alias("o"))
-        pooled = pooled and spec.exposure is None and spec.offset is None
-    if not pooled:
+    if not _pools(spec):
         return rows.where("w > 0").withColumn("y", F.col("wy") / F.col("w")).drop("wy")
     names = [*spec.factors, *spec.numerics, *(["__fold"] if fold else []), "o"]
     grouped = rows.where("w > 0").groupBy(*names).agg(F.sum("w").alias("w"), F.sum("wy").alias("wy"))
@@ -276,9 +279,12 @@ def _levels(cells: DataFrame, factors: Sequence[str]) -> dict[str, list[str]]:
     return out
 
 
-def _encode(cells: DataFrame, spec: Spec, levels: Mapping[str, Sequence[str]]) -> tuple[DataFrame, list[tuple[Column, Column]], int]:
-    """Cells with one index column per term, the (index, value) slots, and the number of columns."""
-    slots = [(F.lit(0), F.lit(1.0))]
+def _encode(cells: DataFrame, spec: Spec, levels: Mapping[str, Sequence[str]]) -> tuple[DataFrame, list[tuple[Column | int, Column | None]], int]:
+    """Cells with one index column per factor, the (index, value) slots, and the number of columns.
+
+    A slot of one column has its number as index; a slot that is 1 where it applies has no value.
+    """
+    slots = [(0, None)]
     p = 1
     for f in spec.factors:
         pairs = [(levels[f][0], -1)] + [(level, p + k) for k, level in enumerate(levels[f][1:])]
@@ -288,9 +294,9 @@ def _encode(cells: DataFrame, spec: Spec, levels: Mapping[str, Sequence[str]]) -
         else:
             side = cells.sparkSession.createDataFrame(pairs, f"`{f}` string, `__i_{f}` int")
             cells = cells.join(F.broadcast(side), f)
-        slots.append((F.col(f"__i_{f}"), F.lit(1.0)))
+        slots.append((F.col(f"__i_{f}"), None))
     for n in spec.numerics:
-        slots.append((F.lit(p), F.col(n)))
+        slots.append((p, F.col(n)))
         p += 1
     return cells, slots, p
 
@@ -300,7 +306,8 @@ def fit_variants(df: DataFrame, spec: Spec, variants: Sequence[Variant], *, fold
     if spec.family not in losses.FAMILIES:
         raise GlmError(f"unknown family {spec.family!r}")
     df, _ = check_weights(df, spec.weight)
-    cells = cut_lineage(_cells(df, spec, fold))
+    cells = _cells(df, spec, fold)
+    cells = cut_lineage(cells) if _pools(spec) else stored(cells)
     levels = _levels(cells, spec.factors)
     parts = partitions(cells)
     cells, slots, p = _encode(cells, spec, levels)
@@ -383,7 +390,9 @@ def _sums(slots, p: int, spec: Spec) -> dict[str, Column]:
     """The columns every iteration adds: they name the coefficients (`b`), not their values."""
     eta = F.col("o")
     for i, x in slots:
-        eta = eta + F.when(i >= 0, F.get("__b", i) * x).otherwise(F.lit(0.0))
+        term = F.get("__b", F.lit(i) if isinstance(i, int) else i)
+        term = term if x is None else term * x
+        eta = eta + (term if isinstance(i, int) else F.when(i >= 0, term).otherwise(F.lit(0.0)))
     mu = F.col("__mu")
     slope = losses.mean_slope(mu, spec.link)
     power = F.col("__power") if spec.family == "tweedie" else spec.power
@@ -413,25 +422,40 @@ def _iteration(cells, sums, slots, parts, p, spec, variants, beta, folded) -> li
         rows = rows.where("__fold <> __out")
     rows = rows.withColumn("__eta", sums["__eta"]).withColumn("__mu", sums["__mu"]).withColumns({"__wt": sums["__wt"], "__z": sums["__z"], "__loss": sums["__loss"]})
     n, many = len(slots), len(variants)
-    picked = rows.select("__m", "__wt", "__z", "__loss", *[i.cast("int").alias(f"__c{k}") for k, (i, _) in enumerate(slots)], *[x.cast("double").alias(f"__x{k}") for k, (_, x) in enumerate(slots)])
+    indexed = [k for k, (i, _) in enumerate(slots) if not isinstance(i, int)]
+    valued = [k for k, (_, x) in enumerate(slots) if x is not None]
+    fixed = {k: i for k, (i, _) in enumerate(slots) if isinstance(i, int)}
+    picked = rows.select("__m", "__wt", "__z", "__loss", *[slots[k][0].cast("int").alias(f"__c{k}") for k in indexed], *[slots[k][1].cast("double").alias(f"__x{k}") for k in valued])
 
     def part(batch):
         # a null level, number or loss adds nothing, as in a SQL sum
         of = lambda c, kind: batch.column(c).fill_null(kind).to_numpy(zero_copy_only=False)
         m, wt, z, loss = of(0, 0).astype(np.int64), of(1, 0.0), of(2, 0.0), of(3, 0.0)
-        column = [of(4 + k, -1).astype(np.int64) for k in range(n)]
-        x = [of(4 + n + k, 0.0) for k in range(n)]
-        where, what = [m * size + p * p + p], [loss]
+        column = {k: of(4 + j, -1).astype(np.int64) for j, k in enumerate(indexed)}
+        there = {k: c >= 0 for k, c in column.items()}
+        x = {k: of(4 + len(indexed) + j, 0.0) for j, k in enumerate(valued)}
+        out = np.zeros((many, size))
+
+        def add(values, offset, a, step=1, b=None):
+            """Adds `values` at offset + step * (column of slot a) + (column of slot b)."""
+            at, on = np.full(1, offset), None
+            for k, by in ((a, step), (b, 1)):
+                if k in fixed:
+                    at = at + by * fixed[k]
+                elif k is not None:
+                    at, on = at + by * column[k], there[k] if on is None else on & there[k]
+            if on is None:
+                out[:, at[0]] += np.bincount(m, weights=values, minlength=many)
+            else:
+                out.ravel()[:] += np.bincount((m * size + at)[on], weights=values[on], minlength=many * size)
+
+        out[:, -1] += np.bincount(m, weights=loss, minlength=many)
         for a in range(n):
-            wx, row = wt * x[a], m * size + column[a] * p
+            wx = wt * x[a] if a in x else wt
             for b in range(a, n):
-                there = (column[a] >= 0) & (column[b] >= 0)
-                where.append((row + column[b])[there])
-                what.append((wx * x[b])[there])
-            there = column[a] >= 0
-            where.append((m * size + p * p + column[a])[there])
-            what.append((wx * z)[there])
-        return np.bincount(np.concatenate(where), weights=np.concatenate(what), minlength=many * size)
+                add(wx * x[b] if b in x else wx, 0, a, p, b)
+            add(wx * z, p * p, a)
+        return out.ravel()
 
     size = p * p + p + 1
     total = tree_sum(picked, part, parts=parts, size=8 * many * size)

@@ -209,7 +209,7 @@ def glm_tweedie_power(spark, sf):
 @query("glm_collinearity")
 def glm_collinearity(spark, sf):
     b = book(spark, sf, "part").withColumn("price_per_unit", F.col("l_extendedprice") / F.col("l_quantity"))
-    b = b.withColumn("twice", F.col("p_size") * 2.0)
+    b = stored(b.withColumn("twice", F.col("p_size") * 2.0), "claim_count", "exposure_years", "p_type", "p_size", "price_per_unit", "twice")
     m = glm.fit_glm(b, Spec("claim_count", "poisson", ("p_type",), ("p_size", "price_per_unit", "twice"), exposure="exposure_years"))
     bad = set(glm.aliased(m))
     rows = [(k[0], k[1], v, k in bad) for k, v in glm.variance_inflation(m).items()]
